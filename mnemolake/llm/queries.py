@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from mnemolake.llm.decontamination import op4_decontamination
+from mnemolake.llm.near_dedup import op5_near_dedup
 from mnemolake.llm.packing import op6_packing
+from mnemolake.llm.suffix_dedup import op1_suffix_dedup
 from mnemolake.llm.token_counts import op7_token_counts
 from mnemolake.llm.token_files import op10_token_files
+from mnemolake.llm.topk import op2_exact_topk
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_exact_topk": op2_exact_topk,
+    "op4_decontamination": op4_decontamination,
+    "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op10_token_files": op10_token_files,
