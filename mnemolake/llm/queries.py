@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from mnemolake.llm import license_scan, line_dedup
 from mnemolake.llm.decontamination import op4_decontamination
+from mnemolake.llm.language_id import op9_language_id, op9_language_id_pages
+from mnemolake.llm.license_scan import op8_license_scan
+from mnemolake.llm.line_dedup import op3_line_dedup
 from mnemolake.llm.near_dedup import op5_near_dedup
 from mnemolake.llm.packing import op6_packing
 from mnemolake.llm.suffix_dedup import op1_suffix_dedup
@@ -13,11 +17,18 @@ from mnemolake.llm.topk import op2_exact_topk
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_topk": op2_exact_topk,
+    "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_license_scan": op8_license_scan,
+    "op9_language_id": op9_language_id,
+    "op9_language_id_pages": op9_language_id_pages,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op8_license_scan": license_scan.ORACLE,
+}
