@@ -28,7 +28,7 @@ from mnemolake.llm.common import table, text_bytes, width
 from mnemolake.llm.near_dedup import mix
 
 LENGTH = 50
-GRAM = 8
+GRAM = 24  # long enough to be rare in a language's text, so that few anchors are shared by chance
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)  # every difference modulo 21 is one of two of these
 SLICE_BYTES = 1 << 20
@@ -55,8 +55,8 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     n = len(raw) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    words = np.lib.stride_tricks.as_strided(raw, (n, GRAM), (1, 1)).copy().view("<u8").ravel()
-    return mix(words * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))
+    words = np.lib.stride_tricks.as_strided(raw, (n + GRAM - 8, 8), (1, 1)).copy().view("<u8").ravel()
+    return mix(words[:n] * np.uint64(0x9FB21C651E98DF25) + words[8 : n + 8] * np.uint64(0xD6E8FEB86659FD93) + words[16 : n + 16] * np.uint64(0xA0761D6478BD642F))
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,6 +166,8 @@ class Chunk:
         kind = np.fromiter((number.setdefault(x, len(number)) for x in blobs), np.int64, len(blobs))
         self.blobs = list(number)
         own, all_sizes, all_keys = np.concatenate(owner), np.concatenate(size), np.concatenate(keys)
+        self.anchor = np.zeros(len(number), np.uint64)
+        self.anchor[kind] = all_keys
         self.owner, self.kind, self.members = own, kind, np.concatenate(where)
         self.least = np.full(len(number), _NO_ID)
         np.minimum.at(self.least, kind, own)
@@ -277,18 +279,37 @@ def equal_strings(text: np.ndarray, at: np.ndarray, length: int = LENGTH, most:
     return out
 
 
-def answer_block(blobs: bytes, strings: np.ndarray, least: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each segment of a block the number of its strings, one bool each: does a smaller doc_id have the string?"""
-    sizes = strings + length - 1
-    text = np.concatenate([np.frombuffer(blobs, np.uint8), np.zeros(length + 32, np.uint8)])
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    n = int(strings.sum())
-    at = np.arange(n) - np.repeat(np.cumsum(strings) - strings - begin, strings)
-    owner = np.repeat(least, strings)
-    cls = equal_strings(text, at, length)
-    smallest = np.full(int(cls.max(initial=-1)) + 1, _NO_ID)
-    np.minimum.at(smallest, cls, owner)
-    return smallest[cls] < owner
+def answer_block(blobs: list[bytes], anchors: np.ndarray, strings: np.ndarray, least: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each segment of a block the number of its strings, one bool each: does a smaller doc_id have the string?
+
+    Equal segments are one, and what its smallest doc_id has is gone from the others. A segment that is the only one
+    of its anchor shares no string with another; the rest is the text whose suffixes are sorted.
+    """
+    number: dict[bytes, int] = {}
+    kind = np.fromiter((number.setdefault(x, len(number)) for x in blobs), np.int64, len(blobs))
+    some = np.zeros(len(number), np.int64)
+    some[kind] = np.arange(len(kind))
+    smallest = np.full(len(number), _NO_ID)
+    np.minimum.at(smallest, kind, least)
+    count = strings[some]
+    _, anchor, shared = np.unique(anchors[some], return_inverse=True, return_counts=True)
+    sort = np.flatnonzero(shared[anchor] > 1)
+
+    first = np.concatenate([[0], np.cumsum(count)])
+    gone = np.zeros(int(first[-1]), bool)
+    if len(sort):
+        kinds = list(number)
+        text = np.concatenate([np.frombuffer(b"".join([kinds[k] for k in sort.tolist()]), np.uint8), np.zeros(length + 32, np.uint8)])
+        k = count[sort]
+        begin = np.cumsum(k + length - 1) - (k + length - 1)
+        step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        cls = equal_strings(text, np.repeat(begin, k) + step, length)
+        owner = np.repeat(smallest[sort], k)
+        best = np.full(int(cls.max()) + 1, _NO_ID)
+        np.minimum.at(best, cls, owner)
+        gone[np.repeat(first[sort], k) + step] = best[cls] < owner
+    step = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+    return gone[np.repeat(first[kind], strings) + step] | np.repeat(least > smallest[kind], strings)
 
 
 # -- the exchanges -------------------------------------------------------------------------------------------------
@@ -365,21 +386,25 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return _SENT_ARROW.empty_table()
         c, rows, squeeze = again(docs_of, answers), [], zstandard.ZstdCompressor(level=3)
         for b, own in c.by_bucket():
-            raw = c.strings[own].astype(np.uint8).tobytes() + c.least[own].tobytes() + b"".join([c.blobs[k] for k in own.tolist()])
+            raw = c.strings[own].astype(np.uint8).tobytes() + (c.anchor[own] // np.uint64(n)).astype("<u4").tobytes() + c.least[own].tobytes() + b"".join([c.blobs[k] for k in own.tolist()])
             rows.append({"bucket": b, "chunk": docs_of["chunk"][0].as_py(), "packed": squeeze.compress(raw), "segments": len(own)})
         return pa.Table.from_pylist(rows, _SENT_ARROW)
 
     def tell_strings(t: pa.Table) -> pa.Table:
         import zstandard
 
-        squeeze, raws = zstandard.ZstdDecompressor(), []
+        squeeze, parts, blobs = zstandard.ZstdDecompressor(), [], []
         for packed, k in zip(t["packed"].to_pylist(), t["segments"].to_pylist(), strict=True):
             raw = squeeze.decompress(packed)
-            raws.append((np.frombuffer(raw, np.uint8, k).astype(np.int64), np.frombuffer(raw, np.int64, k, k), raw[9 * k :]))
-        strings, least = (np.concatenate([r[k] for r in raws]) for k in (0, 1))
-        gone = answer_block(b"".join([r[2] for r in raws]), strings, least, length)
+            strings, at = np.frombuffer(raw, np.uint8, k).astype(np.int64), 13 * k
+            parts.append((np.frombuffer(raw, "<u4", k, k), strings, np.frombuffer(raw, np.int64, k, 5 * k)))
+            for size in (strings + length - 1).tolist():
+                blobs.append(raw[at : at + size])
+                at += size
+        anchors, strings, least = (np.concatenate([r[k] for r in parts]) for k in range(3))
+        gone = answer_block(blobs, anchors, strings, least, length)
         rows, at = [], 0
-        for chunk, (own, _, _) in zip(t["chunk"].to_pylist(), raws, strict=True):
+        for chunk, (_, own, _) in zip(t["chunk"].to_pylist(), parts, strict=True):
             k = int(own.sum())
             rows.append({"chunk": chunk, "bucket": t["bucket"][0].as_py(), "of_strings": True, "bits": _bits(gone[at : at + k])})
             at += k
