@@ -18,7 +18,7 @@ BROADCAST_HASHES = 1_000_000
 
 def _hashes(text: Column) -> Column:
     """Hashes of the distinct trimmed lines that aren't blank."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
