@@ -344,9 +344,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Rows with one doc_id are one document and take nothing from each other. Empty table: no rows. Other columns
     aren't read.
     """
-    n = 4 * width(docs.sparkSession)
+    n = width(docs.sparkSession)  # buckets; a chunk sends each of them one row at most
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    chunks = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(width(docs.sparkSession), "chunk")
+    chunks = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(2 * n))).repartition(width(docs.sparkSession), "chunk")
 
     def ask(t: pa.Table) -> pa.Table:
         c, rows = Chunk(t, n, length), []
