@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from mnemolake.llm.common import materialize, table
 
 K = 5
-PIVOTS = 48
+PIVOTS = 16
 QUERY_BLOCK = 512
 DATA_BLOCK = 2048
 SLACK = 1e-9
@@ -65,11 +65,15 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def _pack(ids: np.ndarray, data: np.ndarray) -> tuple[int, bytes, bytes]:
-    return len(ids), ids.astype("<i8").tobytes(), data.astype("<i8").tobytes()
+    """Vectors in the narrowest of 2, 4 and 8 bytes that holds all of them."""
+    most = max(-int(data.min(initial=0)), int(data.max(initial=0)) + 1)
+    kind = "<i2" if most <= 1 << 15 else "<i4" if most <= 1 << 31 else "<i8"
+    return len(ids), ids.astype("<i8").tobytes(), data.astype(kind).tobytes()
 
 
 def _unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i8").reshape(-1, dim)
+    n = len(ids) // 8
+    return np.frombuffer(ids, "<i8"), np.frombuffer(data, f"<i{len(data) // (n * dim)}").reshape(n, dim).astype(np.int64)
 
 
 _NO_ID = np.iinfo(np.int64).max
@@ -112,12 +116,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVO
 
     packs = materialize(vectors.select("vec_id", "v").mapInArrow(lambda b: assign(b, DATA_BLOCK), PACK), "packs")
 
-    # Query rows of a cell are gathered into blocks; a large cell is several groups.
+    # Queries of a cell are one group, or several of about QUERY_BLOCK where it holds more.
     per_cell = materialize(queries.select("vec_id", "v").mapInArrow(lambda b: assign(b, 1), PACK), "queries")
-    spread = Window.partitionBy("cell", "salt").orderBy("block", "ids", "data")
-    salted = per_cell.withColumn("salt", F.pmod("block", F.lit(16)))
-    groups = salted.withColumn("g", F.concat_ws("-", "cell", "salt", F.floor((F.row_number().over(spread) - 1) / QUERY_BLOCK)))
-    groups = materialize(groups.select("g", "cell", "n", "ids", "data"), "query-groups")
+    blocks = {r["cell"]: -(-r["n"] // QUERY_BLOCK) for r in per_cell.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most `pivots` rows
+    if not blocks:
+        return spark.createDataFrame([], schema)
+    per = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
+    g = F.concat_ws("-", "cell", F.pmod(F.xxhash64("ids", "data"), F.element_at(per, F.col("cell"))))
+    groups = materialize(per_cell.select(g.alias("g"), "cell", "n", "ids", "data"), "query-groups")
 
     solved = "g string, q binary, best array<struct<score: long, id: long>>"
 
@@ -158,7 +164,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVO
 
     def summarise(t):
         cell = t["cell"][0].as_py()
-        q = np.concatenate([np.frombuffer(d, "<i8").reshape(-1, dim) for d in t["data"].to_pylist()]).astype(np.float64)
+        q = np.concatenate([_unpack(*r, dim)[1] for r in zip(t["ids"].to_pylist(), t["data"].to_pylist(), strict=True)]).astype(np.float64)
         radius = float(np.sqrt(((q - pivot.value[cell]) ** 2).sum(1)).max())
         return pa.table({"g": [t["g"][0].as_py()], "cell": pa.array([cell], pa.int32()), "radius": [radius], "queries": pa.array([len(set(zip(t["ids"].to_pylist(), t["data"].to_pylist(), strict=True)))], pa.int64())})
 
