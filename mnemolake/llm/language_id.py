@@ -27,7 +27,8 @@ HOST_WEIGHT = 5.0  # a host's prior counts as many pages
 UNKNOWN_PRIOR = 1e-3
 LEAST_POSTERIOR = 0.5
 BROADCAST_HOSTS = 200_000
-_LOWER = np.arange(256, dtype=np.int64)
+SLICE_BYTES = 1 << 20
+_LOWER = np.arange(256, dtype=np.int32)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -39,9 +40,9 @@ def _trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(bucket of the trigram at each byte, whether it counts: within one text, and holding a letter)."""
     n = len(raw)
     if n < 3:
-        return np.zeros(n, np.int64), np.zeros(n, bool)
+        return np.zeros(n, np.int32), np.zeros(n, bool)
     low, letter = _LOWER[raw], _LETTER[raw]
-    bucket = np.zeros(n, np.int64)
+    bucket = np.zeros(n, np.int32)
     bucket[:-2] = (low[:-2] * 40503 + low[1:-1] * 2531 + low[2:] * 157) % BUCKETS
     counts = np.zeros(n, bool)
     counts[:-2] = letter[:-2] | letter[1:-1] | letter[2:]
@@ -71,33 +72,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     return train([(r[0], r[1]) for r in rows], languages)
 
 
-def text_scores(df: DataFrame, text_col: str, model, new: str, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """df and an array column: weighted log likelihoods of the languages and of unknown text, then the trigrams counted."""
-    at = df.columns.index(text_col)
-    names = df.columns
+def text_scores(text: Column, model, languages: tuple[str, ...] = LANGUAGES) -> Column:
+    """Array of weighted log likelihoods of the languages and of unknown text, then the trigrams counted.
 
-    def run(batches):
+    Only the text goes to Python, a slice of SLICE_BYTES at a time.
+    """
+
+    def score(texts: pa.Array) -> pa.Array:
         table_ = model.value
         flat = np.float64(-np.log(BUCKETS))
-        for b in batches:
-            raw, offsets = text_bytes(b.column(at))
-            for i, j in slices(b, np.diff(offsets), 4 << 20):
-                own = offsets[i : j + 1] - offsets[i]
-                bucket, counts = _trigrams(raw[offsets[i] : offsets[j]], own)
-                where = np.flatnonzero(counts)
-                cut = np.searchsorted(where, own)
-                n = np.diff(cut)
-                got = np.zeros((j - i, len(languages) + 2))
-                if len(where):
-                    score = table_[bucket[where]]
-                    starts = cut[:-1][n > 0]
-                    got[n > 0, : len(languages)] = np.add.reduceat(score, starts, axis=0, dtype=np.float64) * TEXT_WEIGHT
-                got[:, -2] = n * flat * TEXT_WEIGHT
-                got[:, -1] = n
-                scores = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * got.shape[1]), pa.array(got.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, scores], [*names, new])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(new, T.ArrayType(T.DoubleType()))]))
+        raw, offsets = text_bytes(texts)
+        got = np.zeros((len(texts), len(languages) + 2))
+        for i, j in slices(texts, np.diff(offsets), SLICE_BYTES):
+            own = offsets[i : j + 1] - offsets[i]
+            bucket, counts = _trigrams(raw[offsets[i] : offsets[j]], own)
+            where = np.flatnonzero(counts)
+            cut = np.searchsorted(where, own)
+            n = np.diff(cut)
+            if len(where):
+                starts = cut[:-1][n > 0]
+                got[i:j][n > 0, : len(languages)] = np.add.reduceat(table_[bucket[where]], starts, axis=0, dtype=np.float64) * TEXT_WEIGHT
+            got[i:j, -2] = n * flat * TEXT_WEIGHT
+            got[i:j, -1] = n
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * got.shape[1]), pa.array(got.ravel()))
+
+    return F.arrow_udf(score, T.ArrayType(T.DoubleType()))(text)
 
 
 def _vote(scores: Column, languages: tuple[str, ...]) -> Column:
@@ -129,12 +128,12 @@ def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declare
     n_lang = len(languages) + 1
     shared = spark.sparkContext.broadcast(model)
     none = F.lit(None).cast("string")
-    given = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), F.col(f"`{text_col}`").alias("text"), declared_language(none if declared is None else declared, languages).alias("declared"), (none if host is None else host).alias("host"))
+    given = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), declared_language(none if declared is None else declared, languages).alias("declared"), (none if host is None else host).alias("host"))
     given = given.withColumn("suffix", suffix_of(F.col("host")))
 
     # Pass over the corpus for counts.
-    votes = text_scores(given.select("text", "declared", "host", "suffix"), "text", shared, "scores", languages)
-    votes = votes.select("declared", "host", "suffix", _vote(F.col("scores"), languages).cast("int").alias("vote"))
+    scores = text_scores(F.col("row").getField(text_col), shared, languages)
+    votes = given.select("declared", "host", "suffix", scores.alias("scores")).select("declared", "host", "suffix", _vote(F.col("scores"), languages).cast("int").alias("vote"))
     cube = materialize(votes.where("vote is not null").groupBy("declared", "host", "suffix", "vote").agg(F.count("*").alias("n")), "votes")
     base = np.full(n_lang, 1.0)
     said: dict[str, np.ndarray] = defaultdict(lambda: np.full(n_lang, 1.0))
@@ -152,7 +151,7 @@ def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declare
     by_suffix = cube.where("suffix is not null").groupBy("suffix").agg(F.array(*counts).alias("suffix_counts"))
     by_host = cube.where("host is not null").groupBy("host", "suffix").agg(F.array(*counts).alias("host_counts")).join(by_suffix, "suffix", "left")
     hosts = materialize(by_host.select("host", "host_counts", "suffix_counts"), "hosts")
-    scored = text_scores(given, "text", shared, "scores", languages).drop("text")
+    scored = given.withColumn("scores", scores)
     joined = scored.join(F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts, "host", "left")
 
     vote = _vote(F.col("scores"), languages)
