@@ -6,14 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mnemolake.functions.columns import count, r6
 from mnemolake.operators.ingest import redacted
 from mnemolake.plans.registry import query
 from mnemolake.plans.storage import shared_dir
 
-RECORD = T.StructType.fromDDL("id string, content string, wing string, room string, hall string, importance double, emotional_weight double, source_file string, tags array<string>, author string, created_at string, metadata map<string, string>")
+RECORD = "id string, content string, wing string, room string, hall string, importance double, emotional_weight double, source_file string, tags array<string>, author string, created_at string, metadata map<string, string>"
 DEFAULTS = {"wing": "default", "room": "general", "hall": "hall_facts", "importance": 3.0, "emotional_weight": 0.0, "source_file": "", "author": ""}
 
 
