@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mnemolake.plans.storage import materialize, shared_dir
 
-__all__ = ["Encoder", "materialize", "shared_dir", "slices", "table", "text_bytes", "width"]
+#: Text that is taken up at a time where Python works on it; what a worker holds beyond it is bounded by Encoder.LIMIT.
+SLICE_BYTES = 1 << 20
+
+__all__ = ["SLICE_BYTES", "Encoder", "materialize", "shared_dir", "slices", "table", "text_bytes", "width"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +58,8 @@ class Encoder:
     characters, doubled or outer white space where that matters, special strings) goes to the library whole.
     """
 
-    LIMIT = 800_000  # entries; beyond it, new chunks are encoded but not kept
+    TAIL = ".,;:!?*#%&$|"
+    LIMIT = 400_000  # entries; beyond it, new chunks are encoded but not kept
     _by_path: dict[str, "Encoder"] = {}
 
     @classmethod
@@ -87,6 +91,7 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.spaced: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.newline = self._plain("\n") if self.kind == "spaced" else b""
         self.mark = "\x01"
         self.mark_ids = self._plain(self.mark) if self.kind == "words" else self.newline
@@ -126,11 +131,33 @@ class Encoder:
                 start = e + 4
         return out
 
+    def _new(self, missing: list[str], known: dict[str, bytes], prefix: str) -> dict[str, bytes]:
+        """Ids of chunks not known. Letters with punctuation behind them are two pre-tokens for either kind, and
+        their letters are often known already, so such a chunk is put together from its parts."""
+        parts, alone = {}, []
+        for w in missing:
+            core = w.rstrip(self.TAIL)
+            if core != w and core.isalpha():
+                parts[w] = core
+            else:
+                alone.append(w)
+        cores = [c for c in set(parts.values()) if c not in known]
+        new = dict(zip(alone, self._encode_many(alone, prefix), strict=True))
+        cores = [c for c in cores if c not in new]
+        new.update(zip(cores, self._encode_many(cores, prefix), strict=True))
+        tails = [t for t in {w[len(c) :] for w, c in parts.items()} if t not in self.tails]
+        if len(self.tails) > 10_000:
+            self.tails, tails = {}, list({w[len(c) :] for w, c in parts.items()})
+        self.tails.update(zip(tails, self._encode_many(tails, ""), strict=True))
+        for w, c in parts.items():
+            new[w] = (new[c] if c in new else known[c]) + self.tails[w[len(c) :]]
+        return new
+
     def _fill(self, wanted: set[str], known: dict[str, bytes], prefix: str) -> dict[str, bytes]:
         missing = [w for w in wanted if w not in known]
         if not missing:
             return known
-        new = dict(zip(missing, self._encode_many(missing, prefix), strict=True))
+        new = self._new(missing, known, prefix)
         if len(known) + len(new) <= self.LIMIT:
             known.update(new)
             return known

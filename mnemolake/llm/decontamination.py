@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from mnemolake.llm.common import slices, table, text_bytes
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
 SAMPLE = 8
 SEPARATOR = 1

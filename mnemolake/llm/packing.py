@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import Encoder, materialize, slices, table, text_bytes, width
+from mnemolake.llm.common import SLICE_BYTES, Encoder, materialize, slices, table, text_bytes, width
 
 SEQUENCE = 2048
 END_ID = 1
@@ -31,7 +31,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEQ
     def run(batches):
         enc, end = Encoder.of(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for i, j in slices(b, np.diff(text_bytes(b.column(1))[1]), 4 << 20):
+            for i, j in slices(b, np.diff(text_bytes(b.column(1))[1]), SLICE_BYTES):
                 part = b.slice(i, j - i)
                 rows, starts, lengths, crcs, totals = [], [], [], [], []
                 for r, ids in enumerate(enc.encode([t or "" for t in part.column(1).to_pylist()])):

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemolake.llm.common import Encoder, slices, table, text_bytes
+from mnemolake.llm.common import SLICE_BYTES, Encoder, slices, table, text_bytes
 
 LIMIT_TOKENS = 2048
 _PROVEN: dict[str, dict[str, int]] = {}
@@ -43,8 +43,16 @@ class Counter:
 
     def __init__(self, path: str):
         self.encoder = Encoder.of(path)
+        self.tails: dict[str, int] = {}
         self.known = dict(prove_whole_tokens(path)) if self.encoder.kind == "words" else {}
 
+    def _tail(self, tail: str) -> int:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {}
+            self.tails[tail] = len(self.encoder._plain(tail)) // 4
+        return self.tails[tail]
+
     def count(self, texts: list[str]) -> list[int]:
         if self.encoder.kind != "words":
             return [len(b) // 4 for b in self.encoder.encode(texts)]
@@ -58,7 +66,14 @@ class Counter:
         wanted = set().union(*split.values())
         known, missing = self.known, [w for w in wanted if w not in self.known]
         if missing:
-            new = {w: len(b) // 4 for w, b in zip(missing, self.encoder._encode_many(missing, ""), strict=True)}
+            new, rest = {}, []
+            for w in missing:  # a known word with punctuation behind it needs no merging either
+                core = w.rstrip(Encoder.TAIL)
+                if core != w and core in known and core.isalpha():
+                    new[w] = known[core] + self._tail(w[len(core) :])
+                else:
+                    rest.append(w)
+            new.update((w, len(b) // 4) for w, b in self.encoder._new(rest, {}, "").items())
             if len(known) + len(new) <= Encoder.LIMIT:
                 known.update(new)
             else:
@@ -80,7 +95,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for b in batches:
             _, offsets = text_bytes(b.column(1))
             sizes = np.diff(offsets)
-            for i, j in slices(b, sizes, 4 << 20):
+            for i, j in slices(b, sizes, SLICE_BYTES):
                 part = b.slice(i, j - i)
                 counts = counter.count([t or "" for t in part.column(1).to_pylist()])
                 n = pa.array(counts, pa.int64())

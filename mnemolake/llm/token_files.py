@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import Encoder, shared_dir, slices, table, text_bytes, width
+from mnemolake.llm.common import SLICE_BYTES, Encoder, shared_dir, slices, table, text_bytes, width
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -158,7 +158,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
         final = f"{root}/part-{ctx.partitionId():06d}.ids"
         own, writer, sink = f"{final}.{ctx.taskAttemptId()}", None, None
         for b in batches:
-            for i, j in slices(b, np.diff(text_bytes(b.column(1))[1]), 4 << 20):
+            for i, j in slices(b, np.diff(text_bytes(b.column(1))[1]), SLICE_BYTES):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     sink = fs.open_output_stream(own, compression=None)
