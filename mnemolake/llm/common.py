@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from mnemolake.plans.storage import materialize, shared_dir
 #: Text that is taken up at a time where Python works on it; what a worker holds beyond it is bounded by Encoder.LIMIT.
 SLICE_BYTES = 1 << 20
 
-__all__ = ["SLICE_BYTES", "Encoder", "materialize", "shared_dir", "slices", "table", "text_bytes", "width"]
+__all__ = ["SLICE_BYTES", "Encoder", "give_back", "materialize", "shared_dir", "slices", "table", "text_bytes", "tidy", "width"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,27 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on beside the stages that follow."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every platform has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """The same function of Arrow batches, which gives memory back when its partition ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def slices(table_: pa.Table | pa.RecordBatch, sizes: np.ndarray, target: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about target bytes each (one row at least), so that working memory doesn't follow the batch size."""
     total, start = 0, 0
@@ -59,7 +81,7 @@ class Encoder:
     """
 
     TAIL = ".,;:!?*#%&$|"
-    LIMIT = 400_000  # entries; beyond it, new chunks are encoded but not kept
+    LIMIT = 300_000  # entries; beyond it, new chunks are encoded but not kept
     _by_path: dict[str, "Encoder"] = {}
 
     @classmethod

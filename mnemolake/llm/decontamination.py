@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemolake.llm.common import slices, table, text_bytes
+from mnemolake.llm.common import slices, table, text_bytes, tidy
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
@@ -259,7 +259,7 @@ def _search(docs: DataFrame, windows, names: list[str], new: str, first: bool) -
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(rows, found_type)], [*names, new])
 
     found = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[n] for n in names), T.StructField(new, found)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*(docs.schema[n] for n in names), T.StructField(new, found)]))
 
 
 def is_contaminated(found: str = "found") -> Column:

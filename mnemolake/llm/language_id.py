@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemolake.llm.common import materialize, slices, table, text_bytes
+from mnemolake.llm.common import give_back, materialize, slices, table, text_bytes
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -94,6 +94,7 @@ def text_scores(text: Column, model, languages: tuple[str, ...] = LANGUAGES) ->
                 got[i:j][n > 0, : len(languages)] = np.add.reduceat(table_[bucket[where]], starts, axis=0, dtype=np.float64) * TEXT_WEIGHT
             got[i:j, -2] = n * flat * TEXT_WEIGHT
             got[i:j, -1] = n
+        give_back()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * got.shape[1]), pa.array(got.ravel()))
 
     return F.arrow_udf(score, T.ArrayType(T.DoubleType()))(text)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import materialize, slices, table, text_bytes
+from mnemolake.llm.common import materialize, slices, table, text_bytes, tidy
 from mnemolake.operators.components import connected_components
 
 SHINGLE = 5
@@ -139,7 +139,7 @@ def features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for b in batches:
             raw, offsets = text_bytes(b.column(1))
-            for i, j in slices(b, np.diff(offsets), 2 << 20):
+            for i, j in slices(b, np.diff(offsets), 1 << 20):
                 sets = distinct_sets(*shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 full = [k for k, s in enumerate(sets) if len(s)]
                 mins = minima([sets[k] for k in full], bands * rows)
@@ -153,7 +153,7 @@ def features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     ["doc_id", "n", "fp", "sig", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fp binary, sig binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n long, fp binary, sig binary, bands array<long>")
 
 
 def fewest_matches(total: int, threshold: float, miss: float, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -192,7 +192,7 @@ def bayes_filter(pairs: DataFrame, signatures: DataFrame, total: int, threshold:
     left, right = (signatures.select(F.col("doc_id").alias(k), F.col("sig").alias(f"{k}_sig"), F.col("n").alias(f"{k}_n")) for k in "ab")
     joined = pairs.join(left, "a").join(right, "b").where(den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n"))
     kind = signatures.schema["doc_id"].dataType.simpleString()
-    return joined.select("a", "b", "a_sig", "b_sig").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "a_sig", "b_sig").mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -203,7 +203,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> Dat
     def run(batches):
         for b in batches:
             sizes = sum(np.diff(text_bytes(b.column(k))[1]) for k in (2, 3))
-            for i, j in slices(b, sizes, 2 << 20):
+            for i, j in slices(b, sizes, 1 << 20):
                 part, keep = b.slice(i, j - i), []
                 sides = []
                 for k in (2, 3):
@@ -216,7 +216,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> Dat
 
     joined = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "b_text"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "a_text"}), "a")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("a", "b", "a_text", "b_text").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "a_text", "b_text").mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total: int, threshold: tuple[int, int], miss: float) -> DataFrame:
@@ -233,7 +233,7 @@ def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total
     def sets_of(batches):
         for b in batches:
             raw, offsets = text_bytes(b.column(1))
-            for i, j in slices(b, np.diff(offsets), 2 << 20):
+            for i, j in slices(b, np.diff(offsets), 1 << 20):
                 sets = distinct_sets(*shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "hashes"])
 
@@ -285,7 +285,7 @@ def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total
     place = open_nodes.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), "blocks"))
     pairs = place.select("key", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c")
-    about = signatures.select("doc_id", "n", "sig", "bands").join(texts.mapInArrow(sets_of, f"doc_id {kind}, hashes binary"), "doc_id")
+    about = signatures.select("doc_id", "n", "sig", "bands").join(texts.mapInArrow(tidy(sets_of), f"doc_id {kind}, hashes binary"), "doc_id")
     return pairs.join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(links_of, f"a {kind}, b {kind}")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import SLICE_BYTES, Encoder, materialize, slices, table, text_bytes, width
+from mnemolake.llm.common import SLICE_BYTES, Encoder, materialize, slices, table, text_bytes, tidy, width
 
 SEQUENCE = 2048
 END_ID = 1
@@ -47,7 +47,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEQ
                 cols = [part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemolake.llm.common import SLICE_BYTES, Encoder, slices, table, text_bytes
+from mnemolake.llm.common import SLICE_BYTES, Encoder, slices, table, text_bytes, tidy
 
 LIMIT_TOKENS = 2048
 _PROVEN: dict[str, dict[str, int]] = {}
@@ -102,7 +102,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes[i:j], pa.int64()), n, pa.array([c > limit for c in counts])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import SLICE_BYTES, Encoder, shared_dir, slices, table, text_bytes, width
+from mnemolake.llm.common import SLICE_BYTES, Encoder, shared_dir, slices, table, text_bytes, tidy, width
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
             fs.move(own, final)
             yield pa.RecordBatch.from_pydict({"part": pa.array([ctx.partitionId()], pa.int64()), "n": pa.array([total], pa.int64())})
 
-    rows = sorted(ordered.select("doc_id", "text").mapInArrow(run, "part long, n long").collect())
+    rows = sorted(ordered.select("doc_id", "text").mapInArrow(tidy(run), "part long, n long").collect())
     return [(f"{out_dir}/part-{p:06d}.ids", n) for p, n in rows]
 
 
