@@ -109,12 +109,29 @@ def chars3(text: Column) -> Column:
     return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
 
-@query("e5_dup_char3", "memory", _pairs_sql("CASE WHEN length(content) >= 3 THEN list_distinct(list_transform(range(1, length(content) - 1), lambda i: substr(content, i, 3))) ELSE [] END", 0.85), th=0.85)
 def dup_char3(memory: DataFrame, th: float) -> DataFrame:
     """Pairs of character-trigram classes with Jaccard of at least th. The reference's caps on rows and merges are not kept."""
     return jaccard_pairs(memory, chars3(F.col("content")), th).select("a", "b", r6("similarity").alias("similarity"))
 
 
+_G3 = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+
+
+@query("e5_link_char3", "memory", f"""
+WITH r AS (SELECT id, author, room, content, row_number() OVER (PARTITION BY author, room ORDER BY created_at, id) AS rn FROM memory), p AS (SELECT a.id AS a, b.id AS b, {_G3.format('a.content')} AS x, {_G3.format('b.content')} AS y FROM r a JOIN r b ON a.author = b.author AND a.room = b.room AND b.rn > a.rn AND b.rn <= a.rn + 3),
+s AS (SELECT a, b, len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) AS s FROM p) SELECT a, b, round(s, 6) AS similarity, CASE WHEN s > 0.85 THEN 'duplicate' ELSE 'related' END AS link FROM s WHERE s > 0.3
+""")
+def link_char3(memory: DataFrame, low: float = 0.3, high: float = 0.85, ahead: int = 3) -> DataFrame:
+    """Each record against the next few of its author and room: related or duplicate by character trigrams. Work is linear in the records; dup_char3 compares all."""
+    w = Window.partitionBy("author", "room").orderBy("created_at", "id")
+    m = memory.select("id", "author", "room", "created_at", chars3(F.col("content")).alias("g"))
+    led = m.select(F.col("id").alias("a"), F.col("g").alias("x"), *[F.struct(F.lead("id", k).over(w).alias("b"), F.lead("g", k).over(w).alias("y")).alias(f"n{k}") for k in range(1, ahead + 1)])
+    nexts = led.select("a", "x", F.explode(F.array(*[f"n{k}" for k in range(1, ahead + 1)])).alias("n")).where("n.b IS NOT NULL")
+    both = F.size(F.array_intersect("x", "n.y"))
+    s = nexts.select("a", "n.b", (both / (F.size("x") + F.size("n.y") - both)).alias("s")).where(F.col("s") > low)
+    return s.select("a", "b", r6("s").alias("similarity"), F.when(F.col("s") > high, "duplicate").otherwise("related").alias("link"))
+
+
 def duplicate_groups(memory: DataFrame, th: float = 0.8) -> DataFrame:
     """(id, component): components of records whose token sets are equal or have Jaccard of at least th."""
     cls = materialize(set_classes(memory, tokens("content")), "classes")
