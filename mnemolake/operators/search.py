@@ -85,11 +85,15 @@ def lexical_search(memory: DataFrame, text: str, k: int = 20, around: int = 50)
     return memory.where(F.contains(F.lower("content"), F.lit(low))).orderBy(F.desc("importance"), "id").limit(k).select("id", "importance", F.substr("content", start, F.lit(3 * around)).alias("snippet"))
 
 
-def vector_top(vector: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
-    """qid, id, s, rk: exact cosine top-k of a stated query table (qid, qv) against all vectors.
+QUERY_BLOCK = 4096
 
-    Vectors pass by in Arrow batches and meet all queries in one matrix product; each batch keeps its own k best,
-    so only batches times queries times k rows are exchanged. Lengths are cut to the query's.
+
+def vector_top(vector: DataFrame, queries: DataFrame, k: int, least: float, probed: dict[str, list[int]] | None = None) -> DataFrame:
+    """qid, id, s, rk: exact cosine top-k of a bounded query table (qid, qv) against all vectors.
+
+    Vectors pass by in Arrow batches and meet all queries in one matrix product; each partition keeps its own k best,
+    so only partitions times queries times k rows are exchanged. Lengths are cut to the query's. With `probed`
+    (cells of each qid) vectors have a cell, and a query meets those of its cells.
     """
     rows = queries.collect()
     if not rows:
@@ -97,26 +101,54 @@ def vector_top(vector: DataFrame, queries: DataFrame, k: int, least: float) -> D
     dim = min(len(r["qv"]) for r in rows)
     q = np.array([r["qv"][:dim] for r in rows], np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    shared, names = vector.sparkSession.sparkContext.broadcast(q), [r["qid"] for r in rows]
+    names = np.array([r["qid"] for r in rows], object)
+    wants = {}
+    for j, name in enumerate(names):
+        for c in probed[name] if probed is not None else [0]:
+            wants.setdefault(c, []).append(j)
+    shared = vector.sparkSession.sparkContext.broadcast((q, names, {c: np.array(w) for c, w in wants.items()}))
+
+    def cut(of, ids, s):
+        order = np.lexsort((ids.astype(str), -s, of))
+        of, ids, s = of[order], ids[order], s[order]
+        best = np.arange(len(of)) - np.searchsorted(of, of) < k
+        return of[best], ids[best], s[best]
 
     def run(batches):
-        for b in batches:
-            b = b.filter(pa.compute.greater_equal(pa.compute.list_value_length(b.column(1)), dim))
-            if not b.num_rows:
-                continue
-            sizes = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            v = flat.reshape(-1, dim) if (sizes == dim).all() else np.stack([x[:dim] for x in np.split(flat, np.cumsum(sizes)[:-1])])
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            s = np.round(v @ shared.value.T, 9)
-            ids, out = np.array(b.column(0).to_pylist(), object), []
-            for j, name in enumerate(names):
-                ok = np.flatnonzero(s[:, j] >= least)
-                best = ok[np.lexsort((ids[ok].astype(str), -s[ok, j]))][:k]
-                out += [(name, ids[i], float(s[i, j])) for i in best]
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["qid", "id", "s"])
-
-    return top(vector.select("id", "v").mapInArrow(run, "qid string, id string, s double"), "s", k, "qid")
+        q, names, wants = shared.value
+        held = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        floor = np.full(len(q), -np.inf)  # the k-th score so far
+        for whole in batches:
+            whole = whole.filter(pa.compute.greater_equal(pa.compute.list_value_length(whole.column(1)), dim))
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                sizes = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                v = flat.reshape(-1, dim) if (sizes == dim).all() else np.stack([x[:dim] for x in np.split(flat, np.cumsum(sizes)[:-1])])
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                ids, cell = np.array(b.column(0).to_pylist(), object), b.column(2).to_numpy(zero_copy_only=False)
+                for c in np.unique(cell).tolist():
+                    if c not in wants:
+                        continue
+                    asked, own = wants[c], np.flatnonzero(cell == c)
+                    s = np.round(v[own] @ q[asked].T, 9)
+                    low = np.maximum(floor[asked], least)
+                    if len(own) > k:
+                        low = np.maximum(low, np.partition(s, len(own) - k, axis=0)[len(own) - k])
+                    i, j = np.nonzero(s >= low)
+                    held = cut(*(np.concatenate(x) for x in zip(held, (asked[j], ids[own[i]], s[i, j]), strict=True)))
+                    full = np.flatnonzero(np.bincount(held[0], minlength=len(q)) >= k)
+                    floor[full] = held[2][np.searchsorted(held[0], full, "right") - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(names[held[0]], pa.string()), pa.array(held[1], pa.string()), pa.array(held[2], pa.float64())], ["qid", "id", "s"])
+
+    cell = F.col("cell") if probed is not None else F.lit(0)
+    return top(vector.select("id", "v", cell.cast("int").alias("cell")).mapInArrow(run, "qid string, id string, s double"), "s", k, "qid")
+
+
+def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> list[DataFrame]:
+    """A query table (qid, qv) of any length in parts of about `size` rows, each small enough for every task."""
+    parts = max(1, -(-queries.count() // size))
+    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) for i in range(parts)]
 
 
 _VQ = "vq AS (SELECT concat('v', id) AS qid, v AS qv FROM vector WHERE id IN ('0', '7', '42'))"
@@ -133,6 +165,21 @@ def vector_topk(vector: DataFrame, ids: list[str], k: int = 10, least: float = 0
     return vector_top(vector, _vector_queries(vector, ids), k, least).select("qid", "id", r6("s").alias("score"), "rk")
 
 
+def every_nth(vector: DataFrame, every: int) -> DataFrame:
+    """The vectors whose id is divisible by `every`, as queries."""
+    return vector.where(F.col("id").cast("long") % every == 0).select(F.concat(F.lit("v"), "id").alias("qid"), F.col("v").alias("qv"))
+
+
+@query("d5_vector_topk_every", "vector", every=50)
+def vector_topk_every(vector: DataFrame, every: int, k: int = 10, least: float = 0.2, block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact cosine top-k for every n-th record, block by block of queries."""
+    out = None
+    for q in query_blocks(every_nth(vector, every), block):
+        one = vector_top(vector, q, k, least)
+        out = one if out is None else out.unionByName(one)
+    return out.select("qid", "id", r6("s").alias("score"), "rk")
+
+
 def cells(vector: DataFrame, n_cells: int, seed: int = 3, sample: int = 20_000):
     """(vectors with their cell, model): k-means on a bounded sample; every vector is assigned."""
     from pyspark.ml.clustering import KMeans
@@ -144,17 +191,16 @@ def cells(vector: DataFrame, n_cells: int, seed: int = 3, sample: int = 20_000):
     return model.transform(x).withColumnRenamed("prediction", "cell").drop("features"), model
 
 
-@query("d6_vector_topk_approx", "vector", ids=["0", "7", "42"])
-def vector_topk_approx(vector: DataFrame, ids: list[str], k: int = 10, n_cells: int = 8, probe: int = 3, least: float = 0.2) -> DataFrame:
-    """Approximate top-k: k-means cells, the nearest `probe` of each query searched exactly."""
+@query("d6_vector_topk_approx", "vector", every=50, probe=7)
+def vector_topk_approx(vector: DataFrame, ids: list[str] | None = None, k: int = 10, n_cells: int = 8, probe: int = 3, least: float = 0.2, every: int = 50, block: int = QUERY_BLOCK) -> DataFrame:
+    """Approximate top-k for the given records, or every n-th: k-means cells, the nearest `probe` of each query searched exactly."""
     placed, model = cells(vector, n_cells)
     centers = np.array(model.clusterCenters())
-    q = _vector_queries(vector, ids).collect()
+    unit = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
     out = None
-    for r in q:  # a stated query list
-        v = np.array(r["qv"])
-        near = np.argsort(-(centers @ v) / np.maximum(np.linalg.norm(centers, axis=1), 1e-300))[:probe].tolist()
-        one = vector_top(placed.where(F.col("cell").isin(near)), vector.sparkSession.createDataFrame([(r["qid"], r["qv"])], "qid string, qv array<float>"), k, least)
+    for q in query_blocks(every_nth(vector, every) if ids is None else _vector_queries(vector, ids), block):
+        near = {r["qid"]: np.argsort(-(unit @ np.array(r["qv"])))[:probe].tolist() for r in q.collect()}
+        one = vector_top(placed, q, k, least, near)
         out = one if out is None else out.unionByName(one)
     return out.select("qid", "id", r6("s").alias("score"), "rk")
 
