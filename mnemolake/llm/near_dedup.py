@@ -24,6 +24,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 THRESHOLD = (85, 100)
 MISS = 1e-6
+#: Settings for a threshold of 0.8: there two documents fail to share a bucket with a chance of 7e-7.
+FOUR_FIFTHS = {"threshold": (80, 100), "bands": 27, "rows": 4}
 BATCH = 24
 BLOCK = 128
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -327,12 +329,20 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, ban
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents without the near-duplicates of smaller doc_id, with the columns they had; of repeated rows one stays."""
+def keep_one_of_each(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """Documents without the near-duplicates of smaller doc_id, with the columns they had.
+
+    Of rows with one doc_id the one of the smallest text stays; rows without a doc_id all stay.
+    """
     names = docs.columns
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    return left.select(*[left[c] for c in names])
+    gone = near_duplicates(docs, threshold, bands, rows, miss).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*names)
+    # Only rows whose doc_id repeats, as a rule none, are grouped whole.
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
+    again = materialize(again, "repeated")
+    same = left["doc_id"] == F.col("__again")
+    one = left.join(again, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.col("text").isNull(), "text", F.xxhash64(*names))).alias("__row"))
+    return left.join(again, same, "left_anti").select(*names).unionByName(one.select("__row.*"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
