@@ -147,7 +147,7 @@ WITH m AS (SELECT id, wing, content, length(content) AS n FROM memory WHERE leng
 SELECT a, b, round(len(list_filter(range(1, n + 1), lambda i: substr(x, i, 1) = substr(y, i, 1) AND substr(x, i, 1) <> ''))::DOUBLE / n, 6) AS overlap FROM p WHERE len(list_filter(range(1, n + 1), lambda i: substr(x, i, 1) = substr(y, i, 1) AND substr(x, i, 1) <> ''))::DOUBLE / n > 0.3
 """, longest=60, least=0.3)
 def positional_overlap_dup(memory: DataFrame, longest: int = 100_000, least: float = 0.85, gap: int = 5) -> DataFrame:
-    """Texts of a wing of nearly equal length with equal characters at the same places. Equal texts are one first; the length range is an equi-join on a band and its neighbour, narrowed by the first characters where `least` forces agreement."""
+    """Texts of a wing of nearly equal length with equal characters at the same places. The length range is an equi-join on a band and its neighbours."""
     m = memory.select("wing", "content", F.length("content").alias("n"), "id").where(F.col("n").between(1, longest))
     band = F.floor(F.col("n") / (gap + 1))
     a = m.select("wing", F.col("id").alias("a"), F.col("content").alias("x"), F.col("n").alias("na"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
@@ -196,12 +196,17 @@ def parse_wikilinks(memory: DataFrame) -> DataFrame:
 @query("b9_resolve_wikilinks", "memory", """
 WITH l AS (SELECT id, lower(regexp_extract(content, '([A-Za-z]{6,}) ([a-z]+)', 1)) AS target FROM memory WHERE CAST(id AS BIGINT) % 50 = 0), ix AS (SELECT DISTINCT id, tok FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(content), '[\\x{4e00}-\\x{9fff}]+|[a-z0-9_]{2,}'))) AS tok FROM memory))
 SELECT l.id, target, min(ix.id) AS mentions FROM l JOIN ix ON ix.tok = l.target AND ix.id <> l.id GROUP BY 1, 2
-""")
-def resolve_wikilinks(memory: DataFrame) -> DataFrame:
-    """For link targets of some records, the first other record that holds the word: an equi-join on the token index."""
-    l = memory.where(F.col("id").cast("long") % 50 == 0).select(F.col("id").alias("src"), F.lower(F.regexp_extract("content", "([A-Za-z]{6,}) ([a-z]+)", 1)).alias("target")).where("target <> ''")  # noqa: E741
-    ix = token_index(memory.withColumn("tags", F.array().cast("array<string>")))
-    return l.join(ix, F.col("tok") == F.col("target")).where("id <> src").groupBy(F.col("src").alias("id"), "target").agg(F.min("id").alias("mentions"))
+""", every=50)
+@query("b9_resolve_wikilinks_all", "memory")
+def resolve_wikilinks(memory: DataFrame, every: int = 1) -> DataFrame:
+    """For the link target of every (n-th) record, the first other record that holds the word: of each word the two smallest ids are enough."""
+    l = memory.where(F.col("id").cast("long") % every == 0).select(F.col("id").alias("src"), F.lower(F.regexp_extract("content", "([A-Za-z]{6,}) ([a-z]+)", 1)).alias("target")).where("target <> ''")  # noqa: E741
+    ix = token_index(memory.withColumn("tags", F.array().cast("array<string>"))).join(l.select(F.col("target").alias("tok")).distinct(), "tok", "left_semi")
+    first = ix.groupBy("tok").agg(F.min("id").alias("one"))
+    second = ix.join(first, "tok").where("id <> one").groupBy("tok").agg(F.min("id").alias("two"))
+    held = first.join(second, "tok", "left")
+    found = l.join(held, F.col("tok") == F.col("target")).select(F.col("src").alias("id"), "target", F.when(F.col("one") != F.col("src"), F.col("one")).otherwise(F.col("two")).alias("mentions"))
+    return found.where("mentions IS NOT NULL").distinct()
 
 
 TAG_RULES = [("law", ["license", "许可"]), ("mail", ["@"]), ("word", ["thened", "inthat"])]

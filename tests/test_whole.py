@@ -1,9 +1,11 @@
 """Queries over the whole of their tables, against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 
-from mnemolake.operators import search
+from mnemolake.operators import filters, search
 from mnemolake.plans import registry, views
 
 registry.load()
@@ -37,3 +39,28 @@ def test_registered_approximate_search_recall(spark, size):
     wanted = top_by_hand(spark, f"/root/testdata/{size}")
     got = pairs_of(registry.QUERIES["d6_vector_topk_approx"](spark, f"/root/testdata/{size}"))
     assert {q for q, _ in got} == {q for q, _ in wanted} and len(got & wanted) / len(wanted) >= 0.9
+
+
+def test_links_of_all_records(spark, sf):
+    rows = {r["id"]: r["content"] for r in views.view(spark, sf, "memory").select("id", "content").collect()}
+    held = {}
+    for i, t in rows.items():
+        for w in set(re.findall("[\u4e00-\u9fff]+|[a-z0-9_]{2,}", (t or "").lower())):
+            held.setdefault(w, []).append(i)
+    wanted = set()
+    for i, t in rows.items():
+        m = re.search("([A-Za-z]{6,}) ([a-z]+)", t or "")
+        others = [x for x in held.get(m[1].lower(), []) if x != i] if m else []
+        if others:
+            wanted.add((i, m[1].lower(), min(others)))
+    got = {tuple(r) for r in registry.QUERIES["b9_resolve_wikilinks_all"](spark, sf).select("id", "target", "mentions").collect()}
+    assert got == wanted and any(int(i) % 50 for i, _, _ in got)
+
+
+def test_whole_questions(spark):
+    long = "word " * 20
+    df = spark.createDataFrame([("s", 3, "user", long + "asks 5 days ago, then the summary")], "session_id string, turn long, role string, text string")
+    assert filters.mentioned_time(df).first()["day"] == "2024-01-27" and filters.mentioned_time(df, longest=60).first()["day"] is None
+    assert filters.parse_queries(df).first()["intent"] == "summary"
+    assert {r["term"] for r in filters.expand_terms(df).collect()} == {"then", "the"}
+    assert filters.decompose_query(df, [", "]).count() == 2
