@@ -64,3 +64,12 @@ def test_whole_questions(spark):
     assert filters.parse_queries(df).first()["intent"] == "summary"
     assert {r["term"] for r in filters.expand_terms(df).collect()} == {"then", "the"}
     assert filters.decompose_query(df, [", "]).count() == 2
+
+
+def test_all_predicates_are_counted(spark, sf):
+    edges = {(r["object_id"], r["predicate"], r["subject_id"]) for r in views.view(spark, sf, "relation").collect()}
+    n = {}
+    for o, p, _ in edges:
+        n[o, p] = n.get((o, p), 0) + 1
+    got = {tuple(r) for r in registry.QUERIES["g13_common_predicate_pairs_all"](spark, sf).select("target", "predicate", "subjects", "pairs").collect()}
+    assert got == {(o, p, k, k * (k - 1) // 2) for (o, p), k in n.items()} and {"causes", "enables"} <= {x[1] for x in got}
