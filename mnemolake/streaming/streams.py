@@ -19,11 +19,12 @@ from mnemolake.sources.files import scratch
 from mnemolake.streaming.focus import Focus
 
 
-def as_stream(df: DataFrame, per_trigger: int = 1_000) -> DataFrame:
-    """df written as files to the shared folder and read as a stream of them."""
+def as_stream(df: DataFrame, per_trigger: int | None = 1_000) -> DataFrame:
+    """df written as files to the shared folder and read as a stream of them; per_trigger None makes them one micro-batch, in which no event is late whatever the order of files."""
     path = scratch(df, "stream-in")
     df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    reader = df.sparkSession.readStream.schema(df.schema)
+    return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(path)
 
 
 def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -77,7 +78,7 @@ _TUMBLE = "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-0
 def stream_event_counts(access_log: DataFrame) -> DataFrame:
     """Tumbling counts of a stream with a watermark; a last event far ahead closes the windows and is left out."""
     far = access_log.limit(1).withColumn("ts", moment("2030-01-01 00:00:00"))
-    s = as_stream(access_log.unionByName(far).coalesce(1)).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 days")
+    s = as_stream(access_log.unionByName(far), None).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 days")
     return _flat(to_end(event_counts(s, "6 hours"))).where("start < '2029'")
 
 
@@ -94,7 +95,7 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n F
 def stream_sessions(access_log: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Sessions of users in a stream: no event for longer than the gap ends one."""
     far = access_log.limit(1).withColumn("ts", moment("2030-01-01 00:00:00")).withColumn("user_id", F.lit("_end"))
-    s = as_stream(access_log.unionByName(far).coalesce(1)).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 days")
+    s = as_stream(access_log.unionByName(far), None).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 days")
     done = to_end(s.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(count().alias("n")))
     return done.where("user_id <> '_end'").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
@@ -126,7 +127,7 @@ w AS (SELECT s, count(*) AS n, count(*) FILTER (NOT success) AS failed, count(*)
 def stream_audit_alerts(access_log: DataFrame) -> DataFrame:
     """audit_alerts over a stream."""
     far = access_log.limit(1).withColumn("ts", moment("2030-01-01 00:00:00"))
-    s = as_stream(access_log.unionByName(far).coalesce(1)).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 days")
+    s = as_stream(access_log.unionByName(far), None).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 days")
     return to_end(audit_alerts(s)).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "failed", "slow").where("start < '2029'")
 
 

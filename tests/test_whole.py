@@ -7,6 +7,7 @@ import pytest
 
 from mnemolake.operators import filters, search
 from mnemolake.plans import registry, views
+from mnemolake.streaming import streams
 
 registry.load()
 
@@ -73,3 +74,14 @@ def test_all_predicates_are_counted(spark, sf):
         n[o, p] = n.get((o, p), 0) + 1
     got = {tuple(r) for r in registry.QUERIES["g13_common_predicate_pairs_all"](spark, sf).select("target", "predicate", "subjects", "pairs").collect()}
     assert got == {(o, p, k, k * (k - 1) // 2) for (o, p), k in n.items()} and {"causes", "enables"} <= {x[1] for x in got}
+
+
+@pytest.mark.parametrize("name", ["stream_event_counts", "stream_sessions", "stream_audit_alerts"])
+def test_streams_are_written_as_they_are_dealt(spark, sf, monkeypatch, name):
+    made, write = [], streams.as_stream
+    monkeypatch.setattr(streams, "as_stream", lambda df, *a: made.append(df.rdd.getNumPartitions()) or write(df, *a))
+    log = views.view(spark, sf, "access_log")
+    gap = {"gap": "2 hours"} if name == "stream_sessions" else {}
+    run = getattr(streams, name)
+    assert sorted(map(str, run(log.repartition(5), **gap).collect())) == sorted(map(str, run(log, **gap).collect()))
+    assert made[0] >= 6
