@@ -49,13 +49,23 @@ RULES = [
     ("proprietary", "restricted", ["all-rights"]),
 ]
 #: Every sentence above holds one of these, so other texts need no splitting.
-CUES = "(?i)licen[sc]e|permission|software|redistribution|rights reserved"
+CUES = "(?i)licen[sc]e|permission|software|redistribution|rights[^a-z0-9]+reserved"
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences: ends are line breaks and . ! ? before white space or the end; lower case; a-z and 0-9 kept."""
-    parts = F.split(F.regexp_replace(text, "[.!?]([ \\t\\n\\r\\f]|$)", "\n"), "\n")
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    """Known sentences in order, normalised: lower case, a-z and 0-9 kept.
+
+    A sentence begins and ends at line breaks and . ! ? before white space or the end; within it single line breaks count
+    as white space, so that wrapped texts match as well as one-line ones. Of sentences with one beginning the longest counts.
+    """
+    u = F.regexp_replace(F.translate(F.lower(text), "|;", "  "), "[.!?]([ \\t\\n\\r\\f]|$)", "|\n")
+    u = F.regexp_replace(u, "\n[^a-z0-9|]*\n", "|")  # a blank line
+    u = F.regexp_replace(F.regexp_replace(u, "\n", ";"), "[^a-z0-9|;]+", " ")
+    u = F.regexp_replace(F.regexp_replace(u, "[ ;]*\\|[ |;]*", "|"), " ?;[ ;]*", ";")
+    u = F.concat(F.lit("|"), F.trim(u), F.lit("|"))
+    u = F.regexp_replace(u, "[|;]{2,}|[|;] | [|;]", "|")
+    known = "|".join(x.replace(" ", "[ ;]") for x in sorted(SENTENCES, key=lambda x: (-len(x), x)))
+    return F.transform(F.regexp_extract_all(u, F.lit(f"(?<=[|;])({known})(?=[|;])"), F.lit(1)), lambda s: F.translate(s, ";", " "))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
