@@ -20,6 +20,8 @@ K = 5
 PIVOTS = 16
 QUERY_BLOCK = 512
 DATA_BLOCK = 2048
+#: Vectors that meet a query group in one task, about.
+TURN_ROWS = 1 << 16
 SLACK = 1e-9
 PACK = "cell int, block int, n int, ids binary, data binary"
 
@@ -79,7 +81,7 @@ def _unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
 _NO_ID = np.iinfo(np.int64).max
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, turn_rows: int = TURN_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score for each query row, against all rows of vectors but the query's own.
 
     Both tables hold vec_id and v (array<long>) and queries are rows of vectors. Ties go to the smaller vec_id (null
@@ -152,11 +154,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVO
         kind = pa.schema([("g", pa.string()), ("q", pa.binary()), ("best", pa.list_(pa.struct([("score", pa.int64()), ("id", pa.int64())])))])
         return pa.Table.from_pylist([{"g": g, **r} for r in rows], schema=kind)
 
+    # A group's vectors are dealt over so many turns that each is about turn_rows, from the counted packs.
+    held = {r["cell"]: r["n"] for r in packs.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # at most `pivots` rows
+    turns_of = lambda n: max(8, -(-n // turn_rows))
+    total = sum(held.values())
+    own_cells = F.create_map(*[F.lit(x) for c in held for x in (c, turns_of(held[c]))])
+    own_turns, rest_turns = (F.create_map(*[F.lit(x) for c in blocks for x in (c, turns_of(n(c)))]) for n in (lambda c: held.get(c, 0), lambda c: total - held.get(c, 0)))
+
     # The queries' own cell, a few of its packs at a time: scores so far, and from them each group's summary.
-    own = packs.withColumn("salt", F.pmod(F.col("block"), F.lit(8))).select("cell", "salt", "ids", "data")
+    own = packs.withColumn("salt", F.pmod(F.col("block"), F.element_at(own_cells, F.col("cell"))).cast("int")).select("cell", "salt", "ids", "data")
     to = groups.select("g", "cell").distinct().join(own, "cell").select(F.col("g").alias("to"), F.col("salt").alias("turn"), F.col("ids").alias("s_ids"), F.col("data").alias("s"))
-    asked = groups.dropDuplicates(["g", "ids", "data"]).select("g", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"), "ids", "data")
-    first = materialize(asked.groupBy("g", "salt").cogroup(to.groupBy("to", "turn")).applyInArrow(solve, solved), "own-cell")
+    once = groups.dropDuplicates(["g", "ids", "data"])
+
+    def asked(turns):
+        return once.select("g", F.explode(F.sequence(F.lit(0), F.element_at(turns, F.col("cell")) - 1)).alias("salt"), "ids", "data")
+
+    first = materialize(asked(own_turns).groupBy("g", "salt").cogroup(to.groupBy("to", "turn")).applyInArrow(solve, solved), "own-cell")
 
     flat = first.select("g", "q", F.explode("best").alias("b"))
     ranked = flat.withColumn("r", F.row_number().over(Window.partitionBy("g", "q").orderBy(F.desc("b.score"), "b.id")))
@@ -184,8 +197,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVO
     sent = parts[0]
     for x in parts[1:]:
         sent = sent.unionByName(x)
-    sent = sent.withColumn("turn", F.pmod("block", F.lit(8))).drop("block")
-    rest = asked.groupBy("g", "salt").cogroup(sent.groupBy("to", "turn")).applyInArrow(solve, solved)
+    cell_of = F.substring_index("to", "-", 1).cast("int")  # a group's name begins with its cell
+    sent = sent.withColumn("turn", F.pmod(F.col("block"), F.element_at(rest_turns, cell_of)).cast("int")).drop("block")
+    rest = asked(rest_turns).groupBy("g", "salt").cogroup(sent.groupBy("to", "turn")).applyInArrow(solve, solved)
 
     flat = first.unionByName(rest).select("g", "q", F.explode("best").alias("b"))
     merged = flat.groupBy("g", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("b.score")).alias("low"), "b.id"))), 1, k + 1).alias("best"))

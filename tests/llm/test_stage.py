@@ -2,8 +2,10 @@
 
 import random
 
-from mnemolake.llm import near_dedup
-from tests.llm.test_exact import TOKEN, lower
+import numpy as np
+
+from mnemolake.llm import near_dedup, topk
+from tests.llm.test_exact import TOKEN, lower, rows_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -43,3 +45,12 @@ def test_of_repeated_rows_one_stays(spark):
     rows = [(1, "b c d e f g", "en", "s", 1)] * 3 + [(2, "x", "en", "s", 1), (2, "u v", "fr", "s", 3), (2, None, "fr", "s", 3), (None, "k", "en", "s", 1), (None, "k", "en", "s", 1)]
     got = near_dedup.keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], rows[4], *rows[6:]]))
+
+
+def test_groups_stay_small_whatever_a_cell_holds(spark):
+    """turn_rows bounds what one group of a task holds; the result doesn't depend on it."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(600, 4)))], "vec_id long, embedding array<float>")
+    v = topk.quantised(df)
+    q = v.where("vec_id % 50 = 0")
+    assert rows_of(topk.top_k(v, q, turn_rows=20), "query_id", "rank", "vec_id", "score") == rows_of(topk.top_k(v, q), "query_id", "rank", "vec_id", "score")
