@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import json
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mnemolake.plans.storage import materialize, shared_dir
 
 #: Text that is taken up at a time where Python works on it; what a worker holds beyond it is bounded by Encoder.LIMIT.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 8 << 20
 
 __all__ = ["SLICE_BYTES", "Encoder", "give_back", "materialize", "shared_dir", "slices", "table", "text_bytes", "tidy", "width"]
 
@@ -72,25 +73,60 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[first:last], (offsets - first if len(offsets) else np.zeros(1, np.int64))
 
 
+#: The split pattern of the "words" kind, a fixed value of such tokenizer files.
+WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Classes of bytes: white space, letters, digits, all else. Bytes from 0x80 on are parts of Latin letters unless told otherwise.
+_GROUP = np.full(256, 3, np.uint8)
+_GROUP[[9, 10, 13, 32]] = 0
+_GROUP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_GROUP[48:58] = 2
+# Bytes that send a text to the library: control characters, and lead bytes of all but the Latin letters below U+0280.
+_ODD = np.zeros(256, bool)
+_ODD[:32] = True
+_ODD[[9, 10, 13]] = False
+_ODD[[0x7F, *range(0xC0, 0xC3), *range(0xCA, 0x100)]] = True
+_ODD[0xE2] = False  # dashes, quotation marks, bullets and dots are told by their other two bytes
+_ASCII_LOWER = np.arange(256, dtype=np.uint8)
+_ASCII_LOWER[65:91] += 32
+
+
+def _typographic(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the byte E2, whether a character from U+2010 to U+2026 begins there)."""
+    at = np.flatnonzero(raw == 0xE2)
+    at = at[at + 2 < len(raw)]
+    return at, (raw[at + 1] == 0x80) & (raw[at + 2] >= 0x90) & (raw[at + 2] <= 0xA6)
+
+
+def ragged(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[begin[k] : begin[k] + n[k]] of all k, one behind the other."""
+    ends = np.cumsum(n)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n), n)]
+
+
 class Encoder:
-    """Ids of whole texts as the tokenizers library gives them, remembering those of space-separated chunks.
+    """Ids of whole texts as the tokenizers library gives them, remembering those of pre-tokens.
+
+    The pre-tokens of many texts are found at once from the classes of their bytes and numbered by an Arrow dictionary
+    that goes on from the remembered ones; new ones are given to the library once each, and all ids are put in place by
+    one gather. Texts whose bytes alone don't decide (control characters, special strings, scripts other than Latin)
+    go to the library whole.
 
-    Neither pre-tokenizer kind joins printable text across a single space or line break that stands between
-    two printable characters, so a chunk's ids don't depend on its neighbours. Any other text (control
-    characters, doubled or outer white space where that matters, special strings) goes to the library whole.
+    whole: ids of pre-tokens that need no merging, proven beforehand.
     """
 
-    TAIL = ".,;:!?*#%&$|"
-    LIMIT = 300_000  # entries; beyond it, new chunks are encoded but not kept
-    _by_path: dict[str, "Encoder"] = {}
+    LIMIT = 1 << 20  # remembered pre-tokens; beyond it those used last stay, half as many
+    LIMIT_BYTES = 64 << 20  # and bytes of them
+    _made: dict[tuple[str, bool], "Encoder"] = {}
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+    def of(cls, path: str, whole: dict[bytes, int] | None = None) -> "Encoder":
+        """The worker's own encoder, which it keeps for the tasks to come."""
+        if (path, whole is None) not in cls._made:
+            cls._made[path, whole is None] = cls(path, whole)
+        return cls._made[path, whole is None]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: dict[bytes, int] | None = None):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -101,112 +137,209 @@ class Encoder:
         self.library.no_padding()
         with open(path) as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
+        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        steps = pre.get("pretokenizers", [])
+        self.kind = "other"
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.kind = "spaced"
-        elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed":
+        elif steps and steps[0].get("behavior") == "Removed" and steps[0].get("pattern", {}).get("Regex") == WORDS_PATTERN:
             self.kind = "words"
-        else:
-            self.kind = "other"
-        norm = spec.get("normalizer") or {}
         self.lowers = any(n.get("type") == "Lowercase" for n in [norm, *norm.get("normalizers", [])])
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.spaced: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.newline = self._plain("\n") if self.kind == "spaced" else b""
-        self.mark = "\x01"
-        self.mark_ids = self._plain(self.mark) if self.kind == "words" else self.newline
-
-    def words(self, text: str) -> list[str]:
-        """Chunks of a regular text of the "words" kind; ASCII is lower-cased here where the tokenizer would."""
-        return (text.lower() if self.lowers and text.isascii() else text).split()
-
-    def _plain(self, text: str) -> bytes:
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.odd = _ODD.copy()
+        if self.kind == "words":
+            self.odd[0xC4:0xCA] = True  # their lower-case forms differ by more than one bit
+        self.whole = whole or {}
+        self.forget()
+        self.mark = "\n" if self.kind == "spaced" else " \x01 "
+        self.mark_ids = self.plain(self.mark.strip(" "))
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text straight from the library, as little-endian unsigned 32-bit numbers."""
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _regular(self, text: str) -> bool:
-        if self.kind == "other" or not text or any(s in text for s in self.special):
-            return False
-        if not text.replace("\n", "").isprintable():
-            return False
-        return self.kind == "words" or not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n")
-
-    def _encode_many(self, chunks: list[str], prefix: str) -> list[bytes]:
-        """Ids of each chunk. Chunks are encoded together, told apart by the ids of a mark that none of them holds."""
-        out: list[bytes] = []
-        mark = np.frombuffer(self.mark_ids, "<u4")
-        if len(mark) != 1:
-            return [self._plain(prefix + c) for c in chunks]
-        sep = "\n" if self.kind == "spaced" else f" {self.mark} "
-        for i in range(0, len(chunks), 2000):
-            part = chunks[i : i + 2000]
-            ids = np.frombuffer(self._plain(sep.join(prefix + c for c in part)), "<u4")
-            cuts = np.flatnonzero(ids == mark[0])
-            if len(cuts) != len(part) - 1:
-                out += [self._plain(prefix + c) for c in part]
-                continue
-            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-            start = 0
-            for e in ends:
-                out.append(raw[start:e])
-                start = e + 4
-        return out
+    def forget(self, keep: np.ndarray | None = None) -> None:
+        """Drop the remembered pre-tokens, but for some."""
+        if keep is None:
+            self.known, self.n, self.ids, self.used, self.turn = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, np.int32), 0
+        else:
+            self.ids = ragged(self.ids, (np.cumsum(self.n) - self.n)[keep], self.n[keep])
+            self.known, self.n, self.used = self.known.take(pa.array(keep)), self.n[keep], self.used[keep]
 
-    def _new(self, missing: list[str], known: dict[str, bytes], prefix: str) -> dict[str, bytes]:
-        """Ids of chunks not known. Letters with punctuation behind them are two pre-tokens for either kind, and
-        their letters are often known already, so such a chunk is put together from its parts."""
-        parts, alone = {}, []
-        for w in missing:
-            core = w.rstrip(self.TAIL)
-            if core != w and core.isalpha():
-                parts[w] = core
+    def each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each pre-token, all ids) from the library, many in one call: a mark that none holds tells them apart."""
+        if self.kind == "words":
+            pieces = [p.strip() for p in pieces]
+        out: list[bytes | None] = [None] * len(pieces)
+        rest = []
+        for k, p in enumerate(pieces):
+            if p in self.whole:
+                out[k] = self.whole[p].to_bytes(4, "little")
+            elif not p or p.isspace():
+                out[k] = self.plain(p.decode()) if self.kind == "spaced" else b""
+            else:
+                rest.append(k)
+        sizes, flat = [], []
+        for i in range(0, len(rest), 2000):
+            part = [pieces[k] for k in rest[i : i + 2000]]
+            ids = np.frombuffer(self.plain(self.mark.encode().join(part).decode()), "<u4")
+            cuts = np.flatnonzero(ids == np.frombuffer(self.mark_ids, "<u4")[0])
+            if len(self.mark_ids) == 4 and len(cuts) == len(part) - 1:
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+                flat.append(np.delete(ids, cuts))
             else:
-                alone.append(w)
-        cores = [c for c in set(parts.values()) if c not in known]
-        new = dict(zip(alone, self._encode_many(alone, prefix), strict=True))
-        cores = [c for c in cores if c not in new]
-        new.update(zip(cores, self._encode_many(cores, prefix), strict=True))
-        tails = [t for t in {w[len(c) :] for w, c in parts.items()} if t not in self.tails]
-        if len(self.tails) > 10_000:
-            self.tails, tails = {}, list({w[len(c) :] for w, c in parts.items()})
-        self.tails.update(zip(tails, self._encode_many(tails, ""), strict=True))
-        for w, c in parts.items():
-            new[w] = (new[c] if c in new else known[c]) + self.tails[w[len(c) :]]
-        return new
-
-    def _fill(self, wanted: set[str], known: dict[str, bytes], prefix: str) -> dict[str, bytes]:
-        missing = [w for w in wanted if w not in known]
-        if not missing:
-            return known
-        new = self._new(missing, known, prefix)
-        if len(known) + len(new) <= self.LIMIT:
-            known.update(new)
-            return known
-        return {w: known[w] if w in known else new[w] for w in wanted}
+                got = [self.plain(p.decode()) for p in part]
+                sizes.append(np.array([len(g) // 4 for g in got]))
+                flat.append(np.frombuffer(b"".join(got), "<u4"))
+        if len(rest) == len(pieces):
+            return (np.concatenate(sizes), np.concatenate(flat)) if rest else (np.zeros(0, np.int64), np.zeros(0, "<u4"))
+        n = np.array([0 if o is None else len(o) // 4 for o in out], np.int64)
+        own = np.frombuffer(b"".join([o for o in out if o]), "<u4")
+        begin = np.cumsum(n) - n
+        if rest:
+            n[rest] = np.concatenate(sizes)
+            begin[rest] = len(own) + np.cumsum(n[rest]) - n[rest]
+        return n, ragged(np.concatenate([own, *flat]), begin, n)
+
+    def number(self, pieces: pa.BinaryArray) -> np.ndarray:
+        """The number of each pre-token in self.known, which takes in the new ones; n and ids go along."""
+        if not len(pieces):
+            return np.zeros(0, np.int32)
+        if len(self.known) > self.LIMIT or self.known.nbytes > self.LIMIT_BYTES:
+            self.forget(np.sort(np.argsort(-self.used, kind="stable")[: self.LIMIT // 2]) if self.known.nbytes <= self.LIMIT_BYTES else None)
+        self.turn += 1
+        old = len(self.known)
+        coded = pa.chunked_array([self.known, pieces]).dictionary_encode().chunks[-1]  # an empty chunk may be left out
+        number = coded.indices.to_numpy()
+        if len(coded.dictionary) > old:
+            self.known = coded.dictionary
+            n, ids = self.each(self.known[old:].to_pylist())
+            self.n, self.ids = np.concatenate([self.n, n]), np.concatenate([self.ids, ids])
+            self.used = np.concatenate([self.used, np.zeros(len(n), np.int32)])
+        self.used[number] = self.turn
+        return number
+
+    def regular(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each text: do its bytes alone decide on its pre-tokens?"""
+        if self.kind == "other":
+            return np.zeros(len(offsets) - 1, bool)
+        bad = np.concatenate([self.odd[raw], [False, False]])
+        head = np.concatenate([raw, np.zeros(2, np.uint8)])
+        bad[:-1] |= (head[:-1] == 0xC3) & ((head[1:] == 0x97) | (head[1:] == 0xB7))  # the signs of times and division
+        at, fine = _typographic(head)
+        bad[at[~fine]] = True
+        for s in {x[:2] for x in self.special if x}:
+            bad[:-1] |= (head[:-1] == s[0]) & ((head[1:] == s[1]) if len(s) > 1 else True)
+        total = np.concatenate([[0], np.cumsum(bad, dtype=np.int64)])
+        return total[offsets[1:]] == total[offsets[:-1]]
+
+    def starts(self, raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Places where pre-tokens of regular texts begin; they tile the bytes. first: does a text begin at the byte?
+
+        A space goes with what follows it. The "words" kind drops white space, so there it only parts pre-tokens.
+        """
+        n, group = len(raw), _GROUP[raw]
+        at, _ = _typographic(raw)
+        for k in range(3):
+            group[at + k] = 3
+        begin = first.copy()
+        begin[1:] |= group[1:] != group[:-1]
+        if self.kind == "words":
+            begin |= group == 2  # each digit by itself
+        last = np.flatnonzero((group[:-1] == 0) & (group[1:] != 0) & ~first[1:])  # ends a blank run within its text
+        begin[last] = True
+        begin[last[raw[last] == 32] + 1] = False
+        quote = np.flatnonzero(raw[:-1] == 39)
+        spaced = (quote > 0) & (raw[quote - 1] == 32) & ~first[quote]
+        opens = begin[quote] | spaced if self.kind == "words" else begin[quote]
+        quote = quote[opens & ~first[quote + 1]]
+        if len(quote):  # contractions, at the beginning of a pre-token only
+            one, ahead = raw[quote + 1], np.minimum(quote + 2, n - 1)
+            two = np.where((quote + 2 < n) & ~first[ahead], raw[ahead], 0)
+            long = (((one == 114) | (one == 118)) & (two == 101)) | ((one == 108) & (two == 108))  # 're 've 'll
+            size = np.where(np.isin(one, list(b"stmd")), 2, np.where(long, 3, 0))
+            quote, size = quote[size > 0], size[size > 0]
+            begin[quote + 1] = False
+            end = quote + size
+            begin[end[end < n]] = True
+        return np.flatnonzero(begin)
+
+    def lowered(self, raw: np.ndarray) -> np.ndarray:
+        """Lower case of regular texts of the "words" kind: ASCII, and the Latin letters whose lead byte is C3."""
+        out = _ASCII_LOWER[raw]
+        upper = np.flatnonzero(raw[:-1] == 0xC3) + 1
+        upper = upper[(raw[upper] >= 0x80) & (raw[upper] <= 0x9E)]
+        out[upper] += 32
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def windows(self, raw: np.ndarray) -> list[int]:
+        """Ends of the windows of a long text, cut only before a space between two ASCII letters or digits."""
+        cuts, at = [], 0
+        while len(raw) - at > 2 * SLICE_BYTES:
+            look, size, inner = at + SLICE_BYTES, 1 << 12, np.zeros(0, np.int64)
+            while not len(inner) and look < len(raw):
+                part = raw[look : look + size]
+                plain = (part < 128) & ((_GROUP[part] == 1) | (_GROUP[part] == 2))
+                inner = np.flatnonzero(plain[:-2] & (part[1:-1] == 32) & plain[2:])
+                look += 0 if len(inner) else max(1, len(part) - 2)
+            if not len(inner):
+                break
+            at = look + int(inner[0]) + 1
+            cuts.append(at)
+        return [*cuts, len(raw)]
+
+    def numbers(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Pre-tokens of regular texts, a bounded number of bytes at a time: (first text, pre-tokens in it and in each
+        later one, numbers of the pre-tokens). A very long text comes several times."""
+        i = 0
+        while i < len(offsets) - 1:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, side="right")) - 1)
+            block, own = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            for a, b in pairwise([0, *(self.windows(block) if j == i + 1 else [len(block)])]):
+                part = self.lowered(block[a:b]) if self.lowers else np.ascontiguousarray(block[a:b])
+                if j == i + 1:
+                    own = np.array([0, b - a])
+                first = np.zeros(b - a + 1, bool)
+                first[own] = True
+                begin = self.starts(part, first[:-1]) if b > a else np.zeros(0, np.int64)
+                ends = np.concatenate([begin, [b - a]]).astype(np.int32)
+                tiles = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(part)])
+                yield i, np.diff(np.searchsorted(begin, own)), self.number(tiles)
+            i = j
+
+    def _apart(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+        """(bytes and offsets of the regular texts, their rows, (row, ids) of the others)."""
+        sizes, good = np.diff(offsets), self.regular(raw, offsets)
+        whole = [(k, self.plain(raw[offsets[k] : offsets[k + 1]].tobytes().decode())) for k in np.flatnonzero(~good & (sizes > 0)).tolist()]
+        if not good.all():
+            raw, sizes = raw[np.repeat(good, sizes)], sizes[good]
+        return raw, np.concatenate([[0], np.cumsum(sizes)]), np.flatnonzero(good), whole
+
+    def encode_bytes(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not self._regular(t)]
-        for i in odd:
-            out[i] = self._plain(texts[i]) if texts[i] else b""
-        odd_set = set(odd)
-        if self.kind == "words":
-            parts = {i: self.words(t) for i, t in enumerate(texts) if i not in odd_set}
-            get = self._fill(set().union(*parts.values()), self.first, "").__getitem__
-            for i, p in parts.items():
-                out[i] = b"".join(map(get, p))
-        elif self.kind == "spaced":
-            lines = {i: [x.split(" ") for x in t.split("\n")] for i, t in enumerate(texts) if i not in odd_set}
-            heads: set[str] = set()
-            rest: set[str] = set()
-            for ls in lines.values():
-                heads.update(x[0] for x in ls)
-                for x in ls:
-                    rest.update(x[1:])
-            first = self._fill(heads, self.first, "").__getitem__
-            get = self._fill(rest, self.spaced, " ").__getitem__
-            for i, ls in lines.items():
-                out[i] = self.newline.join([b"".join([first(x[0]), *map(get, x[1:])]) for x in ls])
-        return out  # type: ignore[return-value]
+        out: list[bytes] = [b""] * (len(offsets) - 1)
+        raw, offsets, rows, whole = self._apart(raw, offsets)
+        for k, ids in whole:
+            out[k] = ids
+        for i, counts, number in self.numbers(raw, offsets):
+            n = self.n[number]
+            own = ragged(self.ids, (np.cumsum(self.n) - self.n)[number], n).tobytes()
+            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)].tolist()
+            for r, a, b in zip(rows[i : i + len(counts)].tolist(), [0, *ends], ends, strict=False):
+                out[r] += own[4 * a : 4 * b]
+        return out
+
+    def count_bytes(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How many ids each text has."""
+        out = np.zeros(len(offsets) - 1, np.int64)
+        raw, offsets, rows, whole = self._apart(raw, offsets)
+        for k, ids in whole:
+            out[k] = len(ids) // 4
+        for i, counts, number in self.numbers(raw, offsets):
+            total = np.concatenate([[0], np.cumsum(self.n[number])])[np.concatenate([[0], np.cumsum(counts)])]
+            out[rows[i : i + len(counts)]] += np.diff(total)
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The same as encode_bytes for a list of texts."""
+        return self.encode_bytes(*text_bytes(pa.array(texts, pa.string())))

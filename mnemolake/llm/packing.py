@@ -31,10 +31,11 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEQ
     def run(batches):
         enc, end = Encoder.of(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for i, j in slices(b, np.diff(text_bytes(b.column(1))[1]), SLICE_BYTES):
+            raw, offsets = text_bytes(b.column(1))
+            for i, j in slices(b, np.diff(offsets), SLICE_BYTES):
                 part = b.slice(i, j - i)
                 rows, starts, lengths, crcs, totals = [], [], [], [], []
-                for r, ids in enumerate(enc.encode([t or "" for t in part.column(1).to_pylist()])):
+                for r, ids in enumerate(enc.encode_bytes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])):
                     ids += end
                     n = len(ids) // 4
                     for s in range(0, n, size):
@@ -93,7 +94,8 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEQUENCE)
     """Pieces with sequence_id and offset. Every id of every document lies in one piece.
 
     Null text: the end id alone. Null doc_id: kept as null. Repeated rows: packed each. Empty table: no rows.
-    Other columns aren't read. Pieces of a document may lie in different sequences.
+    Other columns aren't read. Pieces of a document may lie in different sequences. A very long text is tokenised
+    window by window; only its ids, four bytes a token, are held whole.
     """
     spark = docs.sparkSession
     salted = cut_pieces(docs, path, end_id, size).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(4 * width(spark))))
