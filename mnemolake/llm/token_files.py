@@ -143,7 +143,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
     """Write all documents in ascending doc_id order, one file per range of it; returns (path, ids in it) in that order.
 
     A task writes under a name of its own and renames when whole, so a task that runs twice leaves one whole file.
-    Null doc_ids come first; null texts are the end id alone; equal doc_ids are ordered by a hash of the text.
+    Null doc_ids come first; null texts are the end id alone; equal doc_ids are ordered by a hash of the text; other
+    columns aren't read. A very long text is tokenised window by window; its ids are held whole until they are written.
     The driver gets one row for each file.
     """
     n = width(docs.sparkSession)
@@ -158,13 +159,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
         final = f"{root}/part-{ctx.partitionId():06d}.ids"
         own, writer, sink = f"{final}.{ctx.taskAttemptId()}", None, None
         for b in batches:
-            for i, j in slices(b, np.diff(text_bytes(b.column(1))[1]), SLICE_BYTES):
+            raw, offsets = text_bytes(b.column(1))
+            for i, j in slices(b, np.diff(offsets), SLICE_BYTES):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     sink = fs.open_output_stream(own, compression=None)
                     writer = Writer(sink, unit)
-                part = b.slice(i, j - i)
-                for d, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                encoded = enc.encode_bytes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for d, ids in zip(b.column(0).slice(i, j - i).to_pylist(), encoded, strict=True):
                     writer.add(d, ids + end)
         if writer is not None:
             total = writer.close()
