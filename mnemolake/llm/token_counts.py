@@ -1,11 +1,14 @@
 """Token counts by the whole-token shortcut.
 
-Offline, every vocabulary string that ends a word is encoded alone; those that give exactly one token are
-proven whole. Counting then splits a text into pre-tokens, counts a proven one as 1 and merges only the rest.
+Offline, on the driver, every vocabulary string is encoded alone; those that give exactly one token are proven whole and
+broadcast, bounded by the vocabulary. Counting then splits texts into pre-tokens, counts a proven one as 1 and merges
+only the rest.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,93 +16,55 @@ from pyspark.sql import DataFrame, SparkSession
 from mnemolake.llm.common import SLICE_BYTES, Encoder, slices, table, text_bytes, tidy
 
 LIMIT_TOKENS = 2048
-_PROVEN: dict[str, dict[str, int]] = {}
 
 
+def _byte_of_character() -> dict[int, bytes]:
+    """The byte that each character of a byte-level vocabulary stands for: itself where it prints in Latin-1, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = sorted(set(range(256)) - set(shown))
+    return {**{b: bytes([b]) for b in shown}, **{256 + k: bytes([b]) for k, b in enumerate(hidden)}}
+
+
+@cache
 def prove_whole_tokens(path: str) -> dict[str, int]:
-    """Vocabulary strings that the library encodes alone as one token, each with the count 1.
+    """Vocabulary strings that the library encodes alone as one token, each with that token's id.
 
-    Only printable strings without white space are tried: these are the ones that can stand between spaces.
-    A string with an upper-case letter is left out where the tokenizer lower-cases, since it never stays so.
+    A string that ends no word, isn't text, or doesn't stay as it is (upper case where the tokenizer lower-cases) isn't proven.
     """
-    if path not in _PROVEN:
-        enc = Encoder.of(path)
-        tails = [t.removesuffix("</w>") for t in enc.library.get_vocab(with_added_tokens=False) if t.endswith("</w>")]
-        tried = [t for t in dict.fromkeys(tails) if t and t.isascii() and t.isprintable() and " " not in t]
-        _PROVEN[path] = {t: 1 for t, ids in zip(tried, enc._encode_many(tried, ""), strict=True) if len(ids) == 4}
-    return _PROVEN[path]
-
-
-class Counter:
-    """Token counts of whole texts; memory is bounded by Encoder.LIMIT chunks."""
-
-    _by_path: dict[str, "Counter"] = {}
-
-    @classmethod
-    def of(cls, path: str) -> "Counter":
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
-
-    def __init__(self, path: str):
-        self.encoder = Encoder.of(path)
-        self.tails: dict[str, int] = {}
-        self.known = dict(prove_whole_tokens(path)) if self.encoder.kind == "words" else {}
-
-    def _tail(self, tail: str) -> int:
-        if tail not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails = {}
-            self.tails[tail] = len(self.encoder._plain(tail)) // 4
-        return self.tails[tail]
-
-    def count(self, texts: list[str]) -> list[int]:
-        if self.encoder.kind != "words":
-            return [len(b) // 4 for b in self.encoder.encode(texts)]
-        out = [0] * len(texts)
-        split: dict[int, list[str]] = {}
-        for i, t in enumerate(texts):
-            if self.encoder._regular(t):
-                split[i] = self.encoder.words(t)
-            elif t:
-                out[i] = len(self.encoder._plain(t)) // 4
-        wanted = set().union(*split.values())
-        known, missing = self.known, [w for w in wanted if w not in self.known]
-        if missing:
-            new, rest = {}, []
-            for w in missing:  # a known word with punctuation behind it needs no merging either
-                core = w.rstrip(Encoder.TAIL)
-                if core != w and core in known and core.isalpha():
-                    new[w] = known[core] + self._tail(w[len(core) :])
-                else:
-                    rest.append(w)
-            new.update((w, len(b) // 4) for w, b in self.encoder._new(rest, {}, "").items())
-            if len(known) + len(new) <= Encoder.LIMIT:
-                known.update(new)
-            else:
-                known = {w: known[w] if w in known else new[w] for w in wanted}
-        for i, words in split.items():
-            out[i] = sum(map(known.__getitem__, words))
-        return out
+    encoder, byte = Encoder(path), _byte_of_character()
+    vocabulary = encoder.library.get_vocab(with_added_tokens=False)
+    if encoder.kind == "words":
+        vocabulary = {t.removesuffix("</w>"): k for t, k in vocabulary.items() if t.endswith("</w>")}
+    tried = {}
+    for t, k in vocabulary.items():
+        raw = b"".join(byte.get(ord(c), b"\xff") for c in t)
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            continue
+        if text.strip() and text.replace(" ", "").isprintable() and not (encoder.lowers and text != text.lower()):
+            tried[text] = k
+    n, ids = encoder.each([t.encode() for t in tried])
+    first = np.cumsum(n) - n
+    return {t: k for (t, k), m, at in zip(tried.items(), n.tolist(), first.tolist(), strict=True) if m == 1 and ids[at] == k}
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_TOKENS) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit. No shuffle.
 
     Null and empty texts count 0 bytes and 0 tokens; repeated rows are counted each; other columns are not read;
-    an empty table gives an empty result; a very long text is one row of its own slice.
+    an empty table gives an empty result; a very long text is counted window by window.
     """
+    proven = df.sparkSession.sparkContext.broadcast({t.encode(): k for t, k in prove_whole_tokens(path).items()})
 
     def run(batches):
-        counter = Counter.of(path)
+        encoder = Encoder.of(path, proven.value)
         for b in batches:
-            _, offsets = text_bytes(b.column(1))
+            raw, offsets = text_bytes(b.column(1))
             sizes = np.diff(offsets)
             for i, j in slices(b, sizes, SLICE_BYTES):
-                part = b.slice(i, j - i)
-                counts = counter.count([t or "" for t in part.column(1).to_pylist()])
-                n = pa.array(counts, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes[i:j], pa.int64()), n, pa.array([c > limit for c in counts])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                n = encoder.count_bytes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes[i:j], pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
