@@ -13,8 +13,9 @@ one anchor, and equal strings always lie in segments of equal anchor hash.
    sorted suffixes that share `length` bytes are one string, and its smallest doc_id decides.
 4. Answers return to the chunks, which merge the removed strings into runs.
 
-Chunks and buckets are as many as the session's shuffle partitions allow; only segments, hashes and bits are
-exchanged, so what moves is a small part of the text and no task holds more than its chunk or bucket.
+Chunks and buckets follow the bytes of the input; only segments, hashes and bits are exchanged, so what moves is a
+small part of the text and no task holds more than its chunk or bucket. An anchor with more than HOT segments would
+make one bucket too large: its segments are cut into single strings, which are dealt over all buckets by their own hash.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ PERIOD = 21
 COVER = (0, 1, 4, 14, 16)  # every difference modulo 21 is one of two of these
 SLICE_BYTES = 1 << 20
 SUFFIX_BUCKET = 1 << 20
+#: Bytes of text a chunk, and a bucket, holds at least on average where the session's shuffle partitions don't make it fewer.
+CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 64 << 20
+#: Segments of one anchor from which on they are dealt string by string.
+HOT = 1 << 16
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -94,6 +99,24 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     return doc[first], start[first], count, value[first]
 
 
+def _string_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the first, the last and the bytes between of each string raw[p : p + length]."""
+    view = np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (1, 1))
+    out = np.full(len(at), np.uint64(length))
+    for k in (*range(0, length - 7, 8), length - 8):
+        out = mix((out ^ view[at + k].view("<u8").ravel()) * np.uint64(0x9FB21C651E98DF25))
+    return out
+
+
+def _to_byte(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes, exact up to 2 and to a twelfth beyond: eight steps to each doubling."""
+    return np.minimum(np.round(np.log2(np.maximum(n, 1)) * 8), 255).astype(np.uint8)
+
+
+def _from_byte(b: np.ndarray) -> np.ndarray:
+    return np.exp2(b.astype(np.float64) / 8)
+
+
 def _pieces(t: pa.Table):
     """Documents of a chunk in a fixed order, in slices: (doc ids, bytes, offsets, rows)."""
     if not t.num_rows:
@@ -131,6 +154,7 @@ class Chunk:
         self.hashes = v[first]
         self.bucket = bucket[first].astype(np.int64)
         self.twice = d[first] != d[last]  # in two documents of this chunk already
+        self.many = _to_byte(last - first + 1)
         self.edges = np.searchsorted(self.bucket, np.arange(n_buckets + 1))
 
     def parts(self):
@@ -138,24 +162,32 @@ class Chunk:
             yield b, slice(int(self.edges[b]), int(self.edges[b + 1]))
 
     def shared(self, answers: dict[int, bytes]) -> None:
-        """Keep the segments of shared anchors, gathered by their bytes."""
-        flags = np.zeros(len(self.hashes), bool)
+        """Keep the segments of shared anchors, gathered by their bytes; those of hot anchors string by string."""
+        flags, hot = np.zeros(len(self.hashes), bool), np.zeros(len(self.hashes), bool)
         for b, s in self.parts():
             if b in answers:
-                flags[s] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=s.stop - s.start).astype(bool)
-        wanted = np.sort(self.hashes[flags])
+                flags[s], hot[s] = _flags(answers[b], 2 * (s.stop - s.start)).reshape(2, -1)
+        wanted, hot = np.sort(self.hashes[flags]), np.sort(self.hashes[hot])
         keys, owner, size, where, blobs = [], [], [], [], []
         for n, (ids, raw, _, _, (doc, start, count, value)) in enumerate(self.slices):
             at = np.searchsorted(wanted, value)
             keep = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == value) if len(wanted) else np.zeros(0, np.int64)
             if not len(keep):
                 continue
+            doc, start, count, value = doc[keep], start[keep], count[keep], value[keep]
+            if len(hot):
+                k = np.where(hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value, count, 1)
+                step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                single = np.repeat(k > 1, k)
+                doc, start, count, value = np.repeat(doc, k), np.repeat(start, k) + step, np.where(single, 1, np.repeat(count, k)), np.repeat(value, k)
+                alone = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value)
+                value[alone] = _string_hashes(raw, start[alone], self.length)
             view = raw.tobytes()
-            blobs += [view[s : s + c + self.length - 1] for s, c in zip(start[keep].tolist(), count[keep].tolist(), strict=True)]
-            keys.append(value[keep])
-            owner.append(ids[doc[keep]])
-            size.append(count[keep])
-            where.append(np.stack([np.full(len(keep), n), doc[keep], start[keep]], 1))
+            blobs += [view[s : s + c + self.length - 1] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
+            keys.append(value)
+            owner.append(ids[doc])
+            size.append(count)
+            where.append(np.stack([np.full(len(doc), n), doc, start], 1))
         self.blobs: list[bytes] = []
         self.members = np.zeros((0, 3), np.int64)
         self.kind = np.zeros(0, np.int64)
@@ -204,17 +236,20 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def cover_ranks(text: np.ndarray) -> np.ndarray:
-    """At each sample of the cover its rank among samples by the 84 bytes from there on: by 21, then doubled twice."""
+def cover_ranks(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """At each sample of the cover its rank among samples by the bytes from there on: by 21, then doubled until they
+    are `length` or more."""
     used = len(text) - 32
     sample = np.flatnonzero(np.isin(np.arange(used) % PERIOD, COVER))
-    slot = np.full(used + 5 * PERIOD, -1, np.int64)
-    slot[sample] = np.arange(len(sample))
     rank = _dense(_words(text, sample), _words(text, sample + 8), _words(text, sample + PERIOD - 8))
-    for step in (PERIOD, 2 * PERIOD):
+    step = PERIOD
+    while step < length:
+        slot = np.full(used + step + PERIOD, -1, np.int64)
+        slot[sample] = np.arange(len(sample))
         ahead = slot[sample + step]
         rank = _dense(rank, np.where(ahead >= 0, rank[ahead], 0))
-    out = np.zeros(used + 5 * PERIOD, np.int64)
+        step *= 2
+    out = np.zeros(used + 2 * PERIOD, np.int64)
     out[sample] = rank
     return out
 
@@ -257,7 +292,7 @@ def equal_strings(text: np.ndarray, at: np.ndarray, length: int = LENGTH, most:
     out = np.zeros(len(at), np.int64)
     if not len(at):
         return out
-    rank = cover_ranks(text)
+    rank = cover_ranks(text, length)
     head = _words(text, at)
     bounds = np.unique(np.sort(head[:: max(1, len(head) // 4096)])[:: max(1, 4096 * most // max(len(head), 1))])[1:]
     bucket = np.searchsorted(bounds, head, side="right")
@@ -316,8 +351,8 @@ def answer_block(blobs: list[bytes], anchors: np.ndarray, strings: np.ndarray, l
 
 _ANSWER = "chunk long, bucket long, of_strings boolean, bits binary"
 _ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("of_strings", pa.bool_()), ("bits", pa.binary())])
-_ASKED = "bucket long, chunk long, hashes binary, twice binary"
-_ASKED_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary())])
+_ASKED = "bucket long, chunk long, hashes binary, twice binary, many binary"
+_ASKED_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary()), ("many", pa.binary())])
 _SENT = "bucket long, chunk long, packed binary, segments long"
 _SENT_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("packed", pa.binary()), ("segments", pa.int64())])
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -336,24 +371,30 @@ def _spans(covered: np.ndarray) -> list[dict]:
     return [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = LENGTH, most: int = HOT) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, maximal), kept (the other bytes), one row per input row.
 
     A byte goes if a string of `length` bytes that covers it also starts in a document of smaller doc_id; matches never
     cross documents and are judged on the input. Null text is empty. A null doc_id counts as larger than any other.
     Rows with one doc_id are one document and take nothing from each other. Empty table: no rows. Other columns
-    aren't read.
+    aren't read, whatever their names. A very long text lies in one chunk, in memory a few times over.
     """
-    n = width(docs.sparkSession)  # buckets; a chunk sends each of them one row at most
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    chunks = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(2 * n))).repartition(width(docs.sparkSession), "chunk")
+    if length < GRAM:
+        raise ValueError(f"strings must have at least {GRAM} bytes")
+    spark = docs.sparkSession
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(width(spark), -(-total // BUCKET_BYTES))  # buckets; a chunk sends each of them one row at most
+    n_chunks = max(2 * width(spark), -(-total // CHUNK_BYTES))
+    tie = own.withColumn("tie", F.xxhash64("text"))
+    chunks = tie.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks))).repartition(max(width(spark), n_chunks // 2), "chunk")
 
     def ask(t: pa.Table) -> pa.Table:
         c, rows = Chunk(t, n, length), []
         chunk = t["chunk"][0].as_py()
         for b, s in c.parts():
             short = (c.hashes[s] // np.uint64(n)).view(np.uint8).reshape(-1, 8)[:, :5]
-            rows.append((b, chunk, short.tobytes(), _bits(c.twice[s])))
+            rows.append((b, chunk, short.tobytes(), _bits(c.twice[s]), c.many[s].tobytes()))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ASKED_ARROW, strict=True)], schema=_ASKED_ARROW) if rows else _ASKED_ARROW.empty_table()
 
     def tell_shared(t: pa.Table) -> pa.Table:
@@ -365,11 +406,13 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         _, number, count = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
         shared = count > 1
         np.logical_or.at(shared, number, twice)
-        flags = shared[number]
+        hot = np.bincount(number, _from_byte(np.frombuffer(b"".join(t["many"].to_pylist()), np.uint8))) > most
+        flags, hot = shared[number], (shared & hot)[number]
         rows, at = [], 0
         for chunk, k in zip(t["chunk"].to_pylist(), sizes, strict=True):
-            if flags[at : at + k].any():
-                rows.append({"chunk": chunk, "bucket": t["bucket"][0].as_py(), "of_strings": False, "bits": _bits(flags[at : at + k])})
+            own = slice(at, at + k)
+            if flags[own].any():
+                rows.append({"chunk": chunk, "bucket": t["bucket"][0].as_py(), "of_strings": False, "bits": _bits(np.concatenate([flags[own], hot[own]]))})
             at += k
         return pa.Table.from_pylist(rows, _ANSWER_ARROW)
 
@@ -386,7 +429,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return _SENT_ARROW.empty_table()
         c, rows, squeeze = again(docs_of, answers), [], zstandard.ZstdCompressor(level=3)
         for b, own in c.by_bucket():
-            raw = c.strings[own].astype(np.uint8).tobytes() + (c.anchor[own] // np.uint64(n)).astype("<u4").tobytes() + c.least[own].tobytes() + b"".join([c.blobs[k] for k in own.tolist()])
+            raw = c.strings[own].astype("<u4").tobytes() + (c.anchor[own] // np.uint64(n)).astype("<u4").tobytes() + c.least[own].tobytes() + b"".join([c.blobs[k] for k in own.tolist()])
             rows.append({"bucket": b, "chunk": docs_of["chunk"][0].as_py(), "packed": squeeze.compress(raw), "segments": len(own)})
         return pa.Table.from_pylist(rows, _SENT_ARROW)
 
@@ -396,8 +439,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         squeeze, parts, blobs = zstandard.ZstdDecompressor(), [], []
         for packed, k in zip(t["packed"].to_pylist(), t["segments"].to_pylist(), strict=True):
             raw = squeeze.decompress(packed)
-            strings, at = np.frombuffer(raw, np.uint8, k).astype(np.int64), 13 * k
-            parts.append((np.frombuffer(raw, "<u4", k, k), strings, np.frombuffer(raw, np.int64, k, 5 * k)))
+            strings, at = np.frombuffer(raw, "<u4", k).astype(np.int64), 16 * k
+            parts.append((np.frombuffer(raw, "<u4", k, 4 * k), strings, np.frombuffer(raw, np.int64, k, 8 * k)))
             for size in (strings + length - 1).tolist():
                 blobs.append(raw[at : at + size])
                 at += size
@@ -441,7 +484,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     out.append((r, b - a, [], raw[a:b].tobytes()))
         cols = list(zip(*out, strict=True))
         return pa.Table.from_arrays(
-            [docs_of["doc_id"].take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], _SPANS), pa.array(cols[3], pa.large_binary()).cast(pa.binary())],
+            [docs_of["doc_id"].take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], _SPANS), pa.array(cols[3], pa.binary())],
             ["doc_id", "n_bytes", "spans", "kept"],
         )
 
@@ -451,9 +494,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], _SPANS), "kept": pa.array([], pa.binary())})
 
     by_chunk = chunks.groupBy("chunk")
-    shared = by_chunk.applyInArrow(ask, _ASKED).groupBy("bucket").applyInArrow(tell_shared, _ANSWER)
+    shared = by_chunk.applyInArrow(ask, _ASKED).repartition(n, "bucket").groupBy("bucket").applyInArrow(tell_shared, _ANSWER)
     sent = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(send, _SENT)
-    strings = sent.groupBy("bucket").applyInArrow(tell_strings, _ANSWER)
+    strings = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(tell_strings, _ANSWER)
     return by_chunk.cogroup(shared.unionByName(strings).groupBy("chunk")).applyInArrow(result, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
