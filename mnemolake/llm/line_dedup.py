@@ -14,6 +14,7 @@ from mnemolake.llm.common import materialize, table
 RATIO = 0.05
 LEAST_PAGES = 5
 BROADCAST_HASHES = 1_000_000
+SALTS = 64
 
 
 def _hashes(text: Column) -> Column:
@@ -27,8 +28,13 @@ def boilerplate(docs: DataFrame, site: Column, text: Column, ratio: float, least
     pages = docs.select(F.coalesce(site, F.lit("")).alias("site"), text.alias("text"))
     lines = pages.select("site", F.explode(_hashes(F.col("text"))).alias("line"))
     counted = lines.groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    totals = pages.groupBy("site").agg(F.count("*").alias("pages"))
-    frequent = counted.join(totals, "site").where(F.col("n") > F.lit(ratio) * F.col("pages"))
+    totals = materialize(pages.groupBy("site").agg(F.count("*").alias("pages")), "site-totals")
+    if totals.count() <= BROADCAST_HASHES:
+        frequent = counted.join(F.broadcast(totals), "site")
+    else:  # a hot site's lines are dealt over SALTS parts, each of which has the site's total
+        totals = totals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        frequent = counted.withColumn("part", F.pmod("line", F.lit(SALTS)).cast("int")).join(totals, ["site", "part"])
+    frequent = frequent.where(F.col("n") > F.lit(ratio) * F.col("pages"))
     return frequent.groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
@@ -37,7 +43,8 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = L
 
     A line is compared without outer spaces; blank lines stay. At least least_pages pages must hold it, so that a site
     of few pages loses nothing. Null text stays null (counts 0); pages without a site are one site; repeated rows
-    are pages of their own; an empty table stays empty; further columns pass through, whatever their names.
+    are pages of their own; an empty table stays empty; further columns pass through, whatever their names, but that a
+    column with the name of a count gives way to it. A very long text is one row; its lines are held as an array.
     The lists are broadcast only while they hold at most BROADCAST_HASHES hashes; beyond that they are joined by site.
     """
     text = F.col(f"`{text_col}`")
@@ -51,7 +58,7 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = L
     some = F.coalesce(F.size("hit"), F.lit(0)) > 0
     left = F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains("hit", F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
     kept = F.when(some, left)
-    columns = [F.when(some, F.array_join(F.col("kept"), "\n")).otherwise(whole).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    columns = [F.when(some, F.array_join(F.col("kept"), "\n")).otherwise(whole).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in (counts or ())]
     out = found.withColumn("kept", kept)
     if counts:
         n = F.when(whole.isNull(), 0).otherwise(F.size(F.split(whole, "\n"))).cast("long")

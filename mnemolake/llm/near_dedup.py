@@ -3,8 +3,9 @@
 Every document's set of word shingles gives a signature of minima and, from bands of it, bucket keys. Documents
 with equal sets are one node (the smallest doc_id stands for them). In each bucket the smallest node is compared
 with the others first; where that doesn't join the whole bucket, its nodes are compared block by block, but for
-pairs already in one component, so that no pair of a bucket is left out and no list of pairs leaves a task. A
-compared pair goes through its signature batch by batch and is dropped as soon as the posterior chance that its
+pairs already in one component, so that no pair of a bucket is left out and no list of pairs leaves a task. A bucket
+of more than LARGE nodes that are still apart is split before that by the rarest shingles of each, of which two
+documents of the threshold always share one. A compared pair goes through its signature batch by batch and is dropped as soon as the posterior chance that its
 similarity reaches the threshold falls under `miss`; the survivors are verified on their full shingle sets.
 """
 
@@ -28,6 +29,10 @@ MISS = 1e-6
 FOUR_FIFTHS = {"threshold": (80, 100), "bands": 27, "rows": 4}
 BATCH = 24
 BLOCK = 128
+#: Nodes of a bucket, still apart, from which on it is split by rare shingles.
+LARGE = 4096
+#: Open buckets up to which their sizes are broadcast; beyond it they are joined.
+BROADCAST_BUCKETS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
@@ -221,16 +226,8 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> Dat
     return joined.select("a", "b", "a_text", "b_text").mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
-def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total: int, threshold: tuple[int, int], miss: float) -> DataFrame:
-    """Links (a, b) among the nodes of each bucket that aren't in one component yet.
-
-    open_nodes: key, doc_id, c (component). A bucket is dealt by hash into blocks of about BLOCK nodes and each pair of
-    blocks is one group, so a group stays small whatever the bucket holds. A pair is looked at in the first of its common
-    buckets, sequentially by signature, then on full sets; links are all that leaves a group, a spanning forest of it.
-    """
-    steps = fewest_matches(total, threshold[0] / threshold[1], miss)
-    num, den = threshold
-    kind = signatures.schema["doc_id"].dataType.simpleString()
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """doc_id, hashes: the distinct shingle hashes of each text, ascending, as bytes."""
 
     def sets_of(batches):
         for b in batches:
@@ -239,6 +236,69 @@ def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total
                 sets = distinct_sets(*shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "hashes"])
 
+    return texts.mapInArrow(tidy(sets_of), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, hashes binary")
+
+
+def rare_buckets(nodes: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """key, doc_id, c: each node under those of its rarest shingles of which a node as similar as the threshold holds one.
+
+    With shingles ordered by how many of the nodes hold them, two sets of n and more shingles that have the threshold in
+    common share one of the first n - ceil(threshold * n) + 1. A shingle of one node only takes up its place.
+    """
+    num, den = threshold
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+
+    def apart(batches):
+        for b in batches:
+            sizes = np.array([len(x.as_py()) // 8 for x in b.column(1)])
+            flat = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(flat)], ["doc_id", "n", "key"])
+
+    own = nodes.select("doc_id", "c").distinct()
+    each = materialize(sets.join(own, "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(tidy(apart), f"doc_id {kind}, n long, key long"), "shingles")
+    held = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(held, "key").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))  # one document's shingles
+    first = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den - 1e-9) + 1 - (F.col("n") - F.size("r"))
+    keys = ranked.select("doc_id", F.explode(F.slice("r", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("r"))
+    return keys.select(F.col("r.key").alias("key"), "doc_id").join(own, "doc_id").select("key", "doc_id", "c")
+
+
+def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total: int, threshold: tuple[int, int], miss: float, large: int = LARGE) -> DataFrame:
+    """Links (a, b) among the nodes of each bucket that aren't in one component yet.
+
+    open_nodes: key, doc_id, c (component), m (nodes of the bucket). A bucket is dealt by hash into blocks of about BLOCK
+    nodes and each pair of blocks is one group, so a group stays small whatever the bucket holds; one of more than `large`
+    nodes is first replaced by the buckets of its nodes' rare shingles. A pair is looked at in the first of its common
+    buckets (of rare shingles, in each), sequentially by signature, then on full sets; links are all that leaves a group,
+    a spanning forest of it.
+    """
+    kind = signatures.schema["doc_id"].dataType.simpleString()
+    sets = shingle_sets(texts)
+    about = signatures.select("doc_id", "n", "sig", "bands").join(sets, "doc_id")
+    links = _links_of_blocks(threshold, miss, total, True)
+    small = _blocks(open_nodes.where(F.col("m") <= large)).join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
+    hot = open_nodes.where(F.col("m") > large)
+    if hot.isEmpty():
+        return small
+    rare = materialize(rare_buckets(hot, sets, threshold), "rare")
+    sizes = rare.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    links = _links_of_blocks(threshold, miss, total, False)
+    rest = _blocks(rare.join(sizes, "key")).join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
+    return small.unionByName(rest)
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """key, i, j, block, doc_id, c: every node once for each pair of blocks of its bucket that it takes part in."""
+    place = nodes.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), "blocks"))
+    pairs = place.select("key", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c")
+
+
+def _links_of_blocks(threshold: tuple[int, int], miss: float, total: int, once: bool):
+    """The function of one pair of blocks; once: leave a pair to the first band that its two documents share."""
+    steps = fewest_matches(total, threshold[0] / threshold[1], miss)
+    num, den = threshold
+
     def links_of(t: pa.Table) -> pa.Table:
         key, one, two = (t[c][0].as_py() for c in ("key", "i", "j"))
         block, n = t["block"].to_numpy(), t["n"].to_numpy()
@@ -257,9 +317,10 @@ def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total
             equal = equal + (sig[x, done:upto] == sig[y, done:upto]).sum(1)
             go = equal >= least
             x, y, equal, done = x[go], y[go], equal[go], upto
-        same = bands[x] == bands[y]
-        own = bands[x, same.argmax(1)] == key if len(x) else np.zeros(0, bool)
-        x, y, equal = x[own], y[own], equal[own]
+        if once and len(x):
+            same = bands[x] == bands[y]
+            own = bands[x, same.argmax(1)] == key
+            x, y, equal = x[own], y[own], equal[own]
         order = np.argsort(-equal, kind="stable")
         root = list(range(len(number)))
 
@@ -283,15 +344,10 @@ def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total
                 b_out.append(ids[j])
         return pa.table({"a": pa.array(a_out, t.schema.field("doc_id").type), "b": pa.array(b_out, t.schema.field("doc_id").type)})
 
-    sizes = open_nodes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    place = open_nodes.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), "blocks"))
-    pairs = place.select("key", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c")
-    about = signatures.select("doc_id", "n", "sig", "bands").join(texts.mapInArrow(tidy(sets_of), f"doc_id {kind}, hashes binary"), "doc_id")
-    return pairs.join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(links_of, f"a {kind}, b {kind}")
+    return links_of
 
 
-def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, large: int = LARGE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     Links join documents whose five-word shingle sets (full sets, 64-bit hashes) have at least threshold in common;
@@ -299,7 +355,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, ban
     a chance of 1 - (1 - s**rows)**bands (all but 8e-7 at 0.85 as set here).
 
     Null or wordless text: n_shingles 0, a component of its own. Null doc_id: never linked, component_id null, kept.
-    Rows with one doc_id are one document. Empty table: no rows. Other columns aren't read.
+    Rows with one doc_id are one document. Empty table: no rows. Other columns aren't read. A very long text is one
+    slice of its own, in memory some ten times over.
     """
     docs = docs.select("doc_id", "text")
     feats = materialize(features(docs, bands, rows), "minhash")
@@ -320,8 +377,10 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, ban
     parts = connected_components(links, "a", "b")
     # Buckets whose nodes aren't in one component yet hold pairs that nobody has compared.
     placed = members.select("key", "doc_id").join(parts, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high and m > 2").select("key")
-    more = settle(materialize(placed.join(split, "key"), "open"), texts, signatures, bands * rows, threshold, miss)
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high and m > 2").select("key", "m")
+    split = materialize(split, "open-buckets")
+    held = F.broadcast(split) if split.count() <= BROADCAST_BUCKETS else split
+    more = settle(materialize(placed.join(held, "key"), "open"), texts, signatures, bands * rows, threshold, miss, large)
     parts = connected_components(links.unionByName(materialize(more, "links")), "a", "b")
     named = groups.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc_id", "fp", "n").join(named, "fp", "left")
@@ -335,14 +394,16 @@ def keep_one_of_each(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, ba
     Of rows with one doc_id the one of the smallest text stays; rows without a doc_id all stay.
     """
     names = docs.columns
-    gone = near_duplicates(docs, threshold, bands, rows, miss).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*names)
+    mark = "_" * (1 + max(map(len, names)))  # longer than any column's name
+    gone = near_duplicates(docs, threshold, bands, rows, miss).where("not kept").select(F.col("doc_id").alias(mark)).distinct()
+    left = docs.join(gone, docs["doc_id"] == F.col(mark), "left_anti").select(*[F.col(f"`{c}`") for c in names])
     # Only rows whose doc_id repeats, as a rule none, are grouped whole.
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(mark)).agg(F.count("*").alias(mark + "n")).where(f"{mark}n > 1").select(mark)
     again = materialize(again, "repeated")
-    same = left["doc_id"] == F.col("__again")
-    one = left.join(again, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.col("text").isNull(), "text", F.xxhash64(*names))).alias("__row"))
-    return left.join(again, same, "left_anti").select(*names).unionByName(one.select("__row.*"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    first = F.struct(F.col("text").isNull().alias("a"), F.col("text").alias("b"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("c"))
+    one = left.join(again, left["doc_id"] == F.col(mark), "left_semi").groupBy("doc_id").agg(F.min_by(row, first).alias(mark))
+    return left.join(again, left["doc_id"] == F.col(mark), "left_anti").select(*[F.col(f"`{c}`") for c in names]).unionByName(one.select(f"{mark}.*"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

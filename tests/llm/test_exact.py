@@ -163,7 +163,7 @@ def test_decontamination_spans_and_clashing_columns(spark):
 TOKEN = re.compile("[^\x20\x09-\x0d]+")
 
 
-def components_by_hand(docs):
+def components_by_hand(docs, percent=85):
     sets = []
     for _, t in docs:
         w = TOKEN.findall(lower(t))
@@ -177,7 +177,7 @@ def components_by_hand(docs):
 
     for i in range(len(docs)):
         for j in range(i):
-            if docs[i][0] is not None and docs[j][0] is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if docs[i][0] is not None and docs[j][0] is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[top(i)] = top(j)
     best = {}
     for i, (d, _) in enumerate(docs):
