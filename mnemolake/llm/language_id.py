@@ -21,12 +21,14 @@ from mnemolake.llm.common import give_back, materialize, slices, table, text_byt
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
 TRAIN_DOCS = 400  # labelled rows for each language at most, those of least hash
+TRAIN_BYTES = 1 << 15  # longer texts take no part in training, so the sample is at most TRAIN_DOCS * TRAIN_BYTES a language
 BUCKETS = 1 << 16
 TEXT_WEIGHT = 1 / 3  # neighbouring trigrams share bytes
 HOST_WEIGHT = 5.0  # a host's prior counts as many pages
 UNKNOWN_PRIOR = 1e-3
 LEAST_POSTERIOR = 0.5
 BROADCAST_HOSTS = 200_000
+SALTS = 64
 SLICE_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.int32)
 _LOWER[65:91] += 32
@@ -62,48 +64,89 @@ def train(labelled: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGE
     return np.log(out / out.sum(0)).astype(np.float32)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, most: int = TRAIN_DOCS) -> np.ndarray:
-    """Train on at most `most` rows of each language; ids are chosen first, so only the sample's texts move."""
-    ids: list = []
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, most: int = TRAIN_DOCS, longest: int = TRAIN_BYTES) -> np.ndarray:
+    """Train on at most `most` texts of each language, of at most `longest` bytes; ids are chosen first, so only the sample's
+    texts move. Rows with one id and language count once."""
+    short = docs.where(F.octet_length(text_col) <= longest)
+    sample: list[tuple[str, str]] = []
     for lang in languages:
-        own = docs.where((F.col(label_col) == lang) & F.col(id_col).isNotNull()).select(id_col)
-        ids += [r[0] for r in own.orderBy(F.xxhash64(id_col), id_col).limit(most).collect()]
-    rows = docs.where(F.col(id_col).isin(ids)).select(label_col, text_col).collect() if ids else []
-    return train([(r[0], r[1]) for r in rows], languages)
+        own = short.where((F.col(label_col) == lang) & F.col(id_col).isNotNull())
+        ids = [r[0] for r in own.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(most).collect()]
+        if ids:
+            texts = own.where(F.col(id_col).isin(ids)).groupBy(id_col).agg(F.min(text_col))
+            sample += [(lang, r[1]) for r in texts.collect()]
+    return train(sample, languages)
 
 
-def text_scores(text: Column, model, languages: tuple[str, ...] = LANGUAGES) -> Column:
-    """Array of weighted log likelihoods of the languages and of unknown text, then the trigrams counted.
+def text_scores(texts: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted log likelihoods of the languages and, last, of unknown text; trigrams counted), one row for each text.
 
-    Only the text goes to Python, a slice of SLICE_BYTES at a time.
+    A slice of SLICE_BYTES is worked on at a time.
     """
-
-    def score(texts: pa.Array) -> pa.Array:
-        table_ = model.value
-        flat = np.float64(-np.log(BUCKETS))
-        raw, offsets = text_bytes(texts)
-        got = np.zeros((len(texts), len(languages) + 2))
-        for i, j in slices(texts, np.diff(offsets), SLICE_BYTES):
-            own = offsets[i : j + 1] - offsets[i]
-            bucket, counts = _trigrams(raw[offsets[i] : offsets[j]], own)
-            where = np.flatnonzero(counts)
-            cut = np.searchsorted(where, own)
-            n = np.diff(cut)
-            if len(where):
-                starts = cut[:-1][n > 0]
-                got[i:j][n > 0, : len(languages)] = np.add.reduceat(table_[bucket[where]], starts, axis=0, dtype=np.float64) * TEXT_WEIGHT
-            got[i:j, -2] = n * flat * TEXT_WEIGHT
-            got[i:j, -1] = n
+    flat = np.float64(-np.log(BUCKETS))
+    raw, offsets = text_bytes(texts)
+    got, counted = np.zeros((len(texts), model.shape[1] + 1)), np.zeros(len(texts), np.int64)
+    for i, j in slices(texts, np.diff(offsets), SLICE_BYTES):
+        own = offsets[i : j + 1] - offsets[i]
+        bucket, counts = _trigrams(raw[offsets[i] : offsets[j]], own)
+        where = np.flatnonzero(counts)
+        cut = np.searchsorted(where, own)
+        n = np.diff(cut)
+        if len(where):
+            starts = cut[:-1][n > 0]
+            got[i:j][n > 0, :-1] = np.add.reduceat(model[bucket[where]], starts, axis=0, dtype=np.float64) * TEXT_WEIGHT
+        got[i:j, -1] = n * flat * TEXT_WEIGHT
+        counted[i:j] = n
+    return got, counted
+
+
+def vote_of(text: Column, model) -> Column:
+    """Position of the best language by text alone; of equals the first; null without evidence. Only the text goes to Python."""
+
+    def vote(texts: pa.Array) -> pa.Array:
+        scores, counted = text_scores(texts, model.value)
         give_back()
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * got.shape[1]), pa.array(got.ravel()))
+        return pa.array(scores.argmax(1), pa.int32(), mask=counted == 0)
+
+    return F.arrow_udf(vote, T.IntegerType())(text)
+
+
+def smoothed(counted: np.ndarray, own: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Shares of the counts without a row's own vote, the parent's counting as HOST_WEIGHT pages."""
+    others = np.maximum(counted - own, 0)
+    return (others + HOST_WEIGHT * parent) / (others.sum(1, keepdims=True) + HOST_WEIGHT)
 
-    return F.arrow_udf(score, T.ArrayType(T.DoubleType()))(text)
 
+def fused(text: Column, declared: Column, host_counts: Column, suffix_counts: Column, model, prior: np.ndarray, evidence: dict[str, np.ndarray], languages: tuple[str, ...]) -> Column:
+    """struct of language, posterior, accepted: all evidence of a row in one pass of Arrow arrays.
+
+    It counts as non-deterministic so that a filter on the result doesn't have it computed twice.
+    """
+    names = np.array([*languages, UNKNOWN])
+
+    def lists(col: pa.Array, default: np.ndarray) -> np.ndarray:
+        out = default.copy()
+        there = col.is_valid().to_numpy(zero_copy_only=False)
+        out[there] = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names))
+        return out
+
+    def fuse(texts: pa.Array, said: pa.Array, of_host: pa.Array, of_suffix: pa.Array) -> pa.Array:
+        log, counted = text_scores(texts, model.value)
+        some = counted > 0
+        own = np.zeros_like(log)
+        own[np.flatnonzero(some), log[some].argmax(1)] = 1
+        by_suffix = smoothed(lists(of_suffix, own), own, prior[None, :])
+        by_host = smoothed(lists(of_host, own), own, by_suffix)
+        told = np.array([evidence.get(d, np.zeros(len(names))) for d in said.to_pylist()]).reshape(-1, len(names))
+        log = log + told + np.log(by_host)
+        posterior = 1 / np.exp(log - log.max(1, keepdims=True)).sum(1) if len(log) else np.zeros(0)
+        language = np.where(some, names[log.argmax(1)] if len(log) else names[:0], UNKNOWN)
+        posterior = np.where(some, posterior, 0.0)
+        give_back()
+        return pa.StructArray.from_arrays([pa.array(language.tolist(), pa.string()), pa.array(posterior), pa.array((language != UNKNOWN) & (posterior >= LEAST_POSTERIOR))], ["language", "posterior", "accepted"])
 
-def _vote(scores: Column, languages: tuple[str, ...]) -> Column:
-    """Position of the best language by text alone; of equals the first; null without evidence."""
-    best = F.array_position(F.slice(scores, 1, len(languages) + 1), F.array_max(F.slice(scores, 1, len(languages) + 1))) - 1
-    return F.when(F.element_at(scores, -1) > 0, best)
+    kind = T.StructType([T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    return F.arrow_udf(fuse, kind).asNondeterministic()(text, declared, host_counts, suffix_counts)
 
 
 def suffix_of(host: Column) -> Column:
@@ -122,20 +165,19 @@ def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declare
 
     A text without a letter trigram (null, empty, digits) is "und". A row is accepted if its language is known and its
     posterior at least LEAST_POSTERIOR. Missing declared language or host: no evidence from it. Repeated rows count each;
-    an empty table stays empty; further columns pass through. Host counts are broadcast only up to BROADCAST_HOSTS
-    hosts, otherwise joined by host.
+    an empty table stays empty; further columns pass through, but that one named `new` gives way. A very long text is one
+    slice of its own. Host counts are broadcast only up to BROADCAST_HOSTS hosts, otherwise joined by host.
     """
     spark, names = docs.sparkSession, docs.columns
     n_lang = len(languages) + 1
     shared = spark.sparkContext.broadcast(model)
     none = F.lit(None).cast("string")
     given = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), declared_language(none if declared is None else declared, languages).alias("declared"), (none if host is None else host).alias("host"))
-    given = given.withColumn("suffix", suffix_of(F.col("host")))
+    text = F.col("row").getField(text_col)
 
     # Pass over the corpus for counts.
-    scores = text_scores(F.col("row").getField(text_col), shared, languages)
-    votes = given.select("declared", "host", "suffix", scores.alias("scores")).select("declared", "host", "suffix", _vote(F.col("scores"), languages).cast("int").alias("vote"))
-    cube = materialize(votes.where("vote is not null").groupBy("declared", "host", "suffix", "vote").agg(F.count("*").alias("n")), "votes")
+    votes = given.select("declared", "host", suffix_of(F.col("host")).alias("suffix"), vote_of(text, shared).alias("vote"))
+    cube = materialize(votes.groupBy("declared", "host", "suffix", "vote").agg(F.count("*").alias("n")).where("vote is not null"), "votes")
     base = np.full(n_lang, 1.0)
     said: dict[str, np.ndarray] = defaultdict(lambda: np.full(n_lang, 1.0))
     for r in cube.groupBy("declared", "vote").agg(F.sum("n").alias("n")).collect():  # languages squared
@@ -152,31 +194,13 @@ def identify(docs: DataFrame, model: np.ndarray, text_col: str = "text", declare
     by_suffix = cube.where("suffix is not null").groupBy("suffix").agg(F.array(*counts).alias("suffix_counts"))
     by_host = cube.where("host is not null").groupBy("host", "suffix").agg(F.array(*counts).alias("host_counts")).join(by_suffix, "suffix", "left")
     hosts = materialize(by_host.select("host", "host_counts", "suffix_counts"), "hosts")
-    scored = given.withColumn("scores", scores)
-    joined = scored.join(F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts, "host", "left")
-
-    vote = _vote(F.col("scores"), languages)
-    own = F.array(*[F.when(vote == k, 1.0).otherwise(0.0) for k in range(n_lang)])
-    top = F.array(*[F.lit(float(x)) for x in prior])
-    zeros = F.array(*[F.lit(0.0)] * n_lang)
-
-    def smoothed(counted: Column, parent: Column) -> Column:
-        others = F.zip_with(F.coalesce(counted, own), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-        total = F.aggregate(others, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(others, parent, lambda a, p: (a + HOST_WEIGHT * p) / (total + HOST_WEIGHT))
-
-    told = F.create_map(*[x for d, c in evidence.items() for x in (F.lit(d), F.array(*[F.lit(float(v)) for v in c]))]) if evidence else None
-    out = joined.withColumn("suffix_prior", smoothed(F.col("suffix_counts"), top)).withColumn("host_prior", smoothed(F.col("host_counts"), F.col("suffix_prior")))
-    out = out.withColumn("said", F.coalesce(F.try_element_at(told, F.col("declared")), zeros) if told is not None else zeros)
-    out = out.withColumn("log", F.zip_with(F.zip_with(F.slice("scores", 1, n_lang), "said", lambda a, b: a + b), "host_prior", lambda a, p: a + F.log(p)))
-    out = out.withColumn("best", F.array_max("log"))
-    posterior = 1 / F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))
-    names_of = F.array(*[F.lit(x) for x in (*languages, UNKNOWN)])
-    some = F.element_at("scores", -1) > 0
-    language = F.when(some, F.element_at(names_of, F.array_position("log", F.col("best")).cast("int"))).otherwise(F.lit(UNKNOWN))
-    out = out.withColumn("language", language).withColumn("posterior", F.when(some, posterior).otherwise(F.lit(0.0)))
-    result = F.struct("language", "posterior", ((F.col("language") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR)).alias("accepted"))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in names], result.alias(new))
+    if hosts.count() <= BROADCAST_HOSTS:
+        joined = given.join(F.broadcast(hosts), "host", "left")
+    else:  # a hot host's rows are dealt over SALTS parts
+        spread = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = given.withColumn("part", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(spread, ["host", "part"], "left")
+    found = fused(text, F.col("declared"), F.col("host_counts"), F.col("suffix_counts"), shared, prior, evidence, languages)
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in names if c != new], found.alias(new))
 
 
 def drop_unidentified(docs: DataFrame, model: np.ndarray, declared: Column | None = None, host: Column | None = None) -> DataFrame:
