@@ -10,7 +10,7 @@ from mnemolake.llm.common import materialize, table
 from mnemolake.llm.decontamination import drop_contaminated
 from mnemolake.llm.language_id import drop_unidentified, fit
 from mnemolake.llm.line_dedup import drop_boilerplate
-from mnemolake.llm.near_dedup import keep_one_of_each
+from mnemolake.llm.near_dedup import FOUR_FIFTHS, keep_one_of_each
 from mnemolake.llm.packing import pack
 
 
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    return keep_one_of_each(docs)
+    """Of each group of near-duplicates, those of similarity 0.8 and more, the document with the smallest doc_id."""
+    return keep_one_of_each(docs, **FOUR_FIFTHS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
