@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mnemolake.plans.storage import materialize, shared_dir
 
 #: Text that is taken up at a time where Python works on it; what a worker holds beyond it is bounded by Encoder.LIMIT.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 __all__ = ["SLICE_BYTES", "Encoder", "give_back", "materialize", "shared_dir", "slices", "table", "text_bytes", "tidy", "width"]
 
@@ -101,7 +101,11 @@ def _typographic(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def ragged(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """flat[begin[k] : begin[k] + n[k]] of all k, one behind the other."""
     ends = np.cumsum(n)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n), n)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begin - (ends - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 class Encoder:
@@ -115,7 +119,7 @@ class Encoder:
     whole: ids of pre-tokens that need no merging, proven beforehand.
     """
 
-    LIMIT = 1 << 20  # remembered pre-tokens; beyond it those used last stay, half as many
+    LIMIT = 1 << 19  # remembered pre-tokens; beyond it those used last stay, half as many
     LIMIT_BYTES = 64 << 20  # and bytes of them
     _made: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -230,8 +234,7 @@ class Encoder:
         bad[at[~fine]] = True
         for s in {x[:2] for x in self.special if x}:
             bad[:-1] |= (head[:-1] == s[0]) & ((head[1:] == s[1]) if len(s) > 1 else True)
-        total = np.concatenate([[0], np.cumsum(bad, dtype=np.int64)])
-        return total[offsets[1:]] == total[offsets[:-1]]
+        return np.diff(np.searchsorted(np.flatnonzero(bad), offsets)) == 0
 
     def starts(self, raw: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Places where pre-tokens of regular texts begin; they tile the bytes. first: does a text begin at the byte?
