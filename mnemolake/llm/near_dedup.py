@@ -2,10 +2,9 @@
 
 Every document's set of word shingles gives a signature of minima and, from bands of it, bucket keys. Documents
 with equal sets are one node (the smallest doc_id stands for them). In each bucket the smallest node is compared
-with the others first; where that doesn't join the whole bucket, its nodes are compared block by block, but for
-pairs already in one component, so that no pair of a bucket is left out and no list of pairs leaves a task. A bucket
-of more than LARGE nodes that are still apart is split before that by the rarest shingles of each, of which two
-documents of the threshold always share one. A compared pair goes through its signature batch by batch and is dropped as soon as the posterior chance that its
+with the others first. What is still apart then is compared block by block, nodes outside the bucket's main component with all others, so that no pair of
+a bucket is left out and no list of pairs leaves a task. Where more than LARGE nodes are outside it, the bucket is
+split before that by the rarest shingles of each, of which two documents of the threshold always share one. A compared pair goes through its signature batch by batch and is dropped as soon as the posterior chance that its
 similarity reaches the threshold falls under `miss`; the survivors are verified on their full shingle sets.
 """
 
@@ -29,7 +28,7 @@ MISS = 1e-6
 FOUR_FIFTHS = {"threshold": (80, 100), "bands": 27, "rows": 4}
 BATCH = 24
 BLOCK = 128
-#: Nodes of a bucket, still apart, from which on it is split by rare shingles.
+#: Nodes outside a bucket's main component from which on it is split by rare shingles.
 LARGE = 4096
 #: Open buckets up to which their sizes are broadcast; beyond it they are joined.
 BROADCAST_BUCKETS = 1_000_000
@@ -266,31 +265,48 @@ def rare_buckets(nodes: DataFrame, sets: DataFrame, threshold: tuple[int, int])
 def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total: int, threshold: tuple[int, int], miss: float, large: int = LARGE) -> DataFrame:
     """Links (a, b) among the nodes of each bucket that aren't in one component yet.
 
-    open_nodes: key, doc_id, c (component), m (nodes of the bucket). A bucket is dealt by hash into blocks of about BLOCK
-    nodes and each pair of blocks is one group, so a group stays small whatever the bucket holds; one of more than `large`
-    nodes is first replaced by the buckets of its nodes' rare shingles. A pair is looked at in the first of its common
-    buckets (of rare shingles, in each), sequentially by signature, then on full sets; links are all that leaves a group,
-    a spanning forest of it.
+    open_nodes: key, doc_id, c (component), and the bucket's m, main and outside of open_buckets. A bucket is dealt by hash
+    into blocks of about BLOCK nodes and each pair of blocks that holds nodes outside the main component is one group, so
+    a group stays small whatever the bucket holds. A bucket with more than `large` nodes outside is first replaced by the
+    buckets of its nodes' rare shingles. A pair is looked at in the first of its common buckets (of rare shingles, in
+    each), sequentially by signature, then on full sets; links are all that leaves a group, a spanning forest of it.
     """
     kind = signatures.schema["doc_id"].dataType.simpleString()
     sets = shingle_sets(texts)
     about = signatures.select("doc_id", "n", "sig", "bands").join(sets, "doc_id")
     links = _links_of_blocks(threshold, miss, total, True)
-    small = _blocks(open_nodes.where(F.col("m") <= large)).join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
-    hot = open_nodes.where(F.col("m") > large)
+    small = _blocks(open_nodes.where(F.col("outside") <= large)).join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
+    hot = open_nodes.where(F.col("outside") > large)
     if hot.isEmpty():
         return small
     rare = materialize(rare_buckets(hot, sets, threshold), "rare")
-    sizes = rare.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     links = _links_of_blocks(threshold, miss, total, False)
-    rest = _blocks(rare.join(sizes, "key")).join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
+    rest = _blocks(rare.join(_few(materialize(open_buckets(rare), "rare-buckets")), "key")).join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
     return small.unionByName(rest)
 
 
+def open_buckets(nodes: DataFrame) -> DataFrame:
+    """key, m (nodes), main (the component that most of them are in), outside (nodes not in it) of buckets not all in one."""
+    by_part = nodes.groupBy("key", "c").agg(F.count("*").alias("n"))
+    whole = by_part.groupBy("key").agg(F.sum("n").alias("m"), F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"))
+    return whole.where("most < m").select("key", "m", "main", (F.col("m") - F.col("most")).alias("outside"))
+
+
+def _few(table_: DataFrame) -> DataFrame:
+    """A written table, to be broadcast where it is small enough."""
+    return F.broadcast(table_) if table_.count() <= BROADCAST_BUCKETS else table_
+
+
 def _blocks(nodes: DataFrame) -> DataFrame:
-    """key, i, j, block, doc_id, c: every node once for each pair of blocks of its bucket that it takes part in."""
-    place = nodes.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), "blocks"))
-    pairs = place.select("key", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    """key, i, j, block, doc_id, c: every node once for each pair of blocks of its bucket that it takes part in.
+
+    Blocks of nodes outside the main component come first; only they meet others, so the rows are outside * m / BLOCK.
+    """
+    first, second = (F.ceil(x / BLOCK) for x in (F.col("outside"), F.col("m") - F.col("outside")))
+    spread, at = F.xxhash64("doc_id", "key"), F.col("c") == F.col("main")
+    place = nodes.withColumn("block", F.when(at, first + F.pmod(spread, second)).otherwise(F.pmod(spread, first)))
+    met = F.when(at, first).otherwise(first + second) - 1
+    pairs = place.select("key", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0).cast("long"), met)).alias("other"))
     return pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c")
 
 
@@ -347,6 +363,12 @@ def _links_of_blocks(threshold: tuple[int, int], miss: float, total: int, once:
     return links_of
 
 
+def _placed(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, c of every member, its open buckets). A bucket of two has been compared by its hub."""
+    placed = members.select("key", "doc_id").join(parts, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    return placed, materialize(open_buckets(placed).where("m > 2"), "open-buckets")
+
+
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, large: int = LARGE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -375,12 +397,10 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, ban
     likely = materialize(bayes_filter(pairs, signatures, bands * rows, threshold, miss), "likely")
     links = materialize(verify(likely, texts, threshold), "links")
     parts = connected_components(links, "a", "b")
+
     # Buckets whose nodes aren't in one component yet hold pairs that nobody has compared.
-    placed = members.select("key", "doc_id").join(parts, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high and m > 2").select("key", "m")
-    split = materialize(split, "open-buckets")
-    held = F.broadcast(split) if split.count() <= BROADCAST_BUCKETS else split
-    more = settle(materialize(placed.join(held, "key"), "open"), texts, signatures, bands * rows, threshold, miss, large)
+    placed, split = _placed(members, parts)
+    more = settle(materialize(placed.join(_few(split), "key"), "open"), texts, signatures, bands * rows, threshold, miss, large)
     parts = connected_components(links.unionByName(materialize(more, "links")), "a", "b")
     named = groups.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc_id", "fp", "n").join(named, "fp", "left")

@@ -40,12 +40,21 @@ def test_one_bucket_of_unlike_documents(spark, large):
     key = near_dedup.F.lit(7).cast("long")
     signatures = feats.select("doc_id", "n", "sig", near_dedup.F.array(key).alias("bands"))
     nodes = df.select(key.alias("key"), "doc_id", near_dedup.F.col("doc_id").alias("c"), near_dedup.F.lit(len(docs)).cast("long").alias("m"))
+    nodes = nodes.drop("m").join(near_dedup.open_buckets(nodes), "key")
     links = near_dedup.settle(nodes, df, signatures, 120, (85, 100), 1e-6, large)
     parts = near_dedup.connected_components(links, "a", "b")
     low = {r["node"]: r["component"] for r in parts.collect()}
     assert [(d, low.get(d, d)) for d, _ in docs] == sorted((d, c) for d, _, c, _ in components_by_hand(docs))
 
 
+def test_blocks_outside_the_main_component(spark, monkeypatch):
+    """A large group of near copies of which most are too far from any one hub, in many small blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    docs = list(enumerate(family(8, 150, 120, (3, 5)) + family(9, 60)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, DOCS), large=20)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == components_by_hand(docs)
+
+
 def test_stage_with_clashing_columns(spark):
     a, b = "a b c d e f g", "A b c d e f G"
     columns = ["__gone", "__again", "__row", "n", "kept", "c d"]
