@@ -9,6 +9,7 @@ from mnemolake.functions.columns import any_of, best_of, count, hits, n, r6
 from mnemolake.operators.search import token_index
 from mnemolake.operators.similarity import vector_pairs
 from mnemolake.plans.registry import query
+from mnemolake.plans.storage import materialize
 
 
 @query("b1_validate", "memory", "SELECT id, round(importance / 5 * 5, 6) AS importance, 1.0::DOUBLE AS confidence, 'active' AS status FROM memory WHERE trim(content) <> '' AND importance / 5 BETWEEN 0.3 AND 1", low=0.3)
@@ -66,15 +67,24 @@ def redact(text: str | Column, level: str = "standard", keywords: tuple[str, ...
     return out, counts
 
 
+#: A character that every match of a rule holds: texts without it are passed by.
+NEEDS = {"email": "@", "url_with_token": "://", "ip_address": ".", "css_expr": "(", "script_tag": "<", "script_tag_open": "<", "dangerous_tags": "<", "iframe_tag": "<", "object_embed": "<"}
+NEEDS |= {"html_event": "=", "html_event_quoted": "=", "html_event_unquoted": "=", "javascript_url": ":", "vbscript_url": ":", "data_uri": ":", "data_uri_xss": ":"}
+
+
 def redacted(df: DataFrame, text: str, level: str = "standard") -> DataFrame:
-    """df with the text redacted and a map of counts over 0. Each step is a column of its own, so no expression is doubled by the next."""
-    out, names = df, []
+    """df with the text redacted and a map of counts over 0. Each step is a column of its own, so no expression is doubled
+    by the next; matches are counted only where a rule changed the text. Filter on the result only once it is written:
+    a predicate pushed down would repeat the whole chain."""
+    mark = "_" * (1 + max(map(len, df.columns)))
+    out, steps = df.withColumn(f"{mark}0", F.col(text)), []
     for k, (name, pattern, by) in enumerate(rules(level)):
-        p = "(?isU)" + pattern
-        out = out.withColumn(f"_n{k}", F.regexp_count(text, F.lit(p))).withColumn(text, F.regexp_replace(text, p, by))
-        names.append((f"_n{k}", name))
-    found = F.map_filter(F.create_map(*[x for c, name in names for x in (F.lit(name), F.col(c))]), lambda _, v: v > 0)
-    return out.withColumn("redactions", found).drop(*[c for c, _ in names])
+        p, before = "(?isU)" + pattern, F.col(f"{mark}{k}")
+        after = F.regexp_replace(before, p, by)
+        out = out.withColumn(f"{mark}{k + 1}", F.when(F.contains(before, F.lit(NEEDS[name])), after).otherwise(before) if name in NEEDS else after)
+        steps.append((name, F.when(before == F.col(f"{mark}{k + 1}"), 0).otherwise(F.regexp_count(before, F.lit(p)))))
+    found = F.map_filter(F.create_map(*[x for name, c in steps for x in (F.lit(name), c)]), lambda _, v: v > 0)
+    return out.select(*[F.col(f"{mark}{len(steps)}" if c == text else f"`{c}`").alias(c) for c in df.columns], found.alias("redactions"))
 
 
 def _redact_sql(level: str, table: str, text: str, key: str) -> str:
@@ -92,14 +102,15 @@ def redact_memory(memory: DataFrame) -> DataFrame:
     """Records with something to redact: digest of the redacted text and the number of matches."""
     x = redacted(memory.select("id", "content"), "content", "strict")
     total = F.aggregate(F.map_values("redactions"), F.lit(0), lambda a, v: a + v).cast("long")
-    return x.select("id", F.md5("content").alias("digest"), total.alias("n")).where("n > 0")
+    return materialize(x.select("id", F.md5("content").alias("digest"), total.alias("n")), "redacted").where("n > 0")
 
 
 @query("b2b_redact_pages", "pages")
 def redact_pages(pages: DataFrame) -> DataFrame:
     """Pages with something to redact at the standard level."""
     x = redacted(pages.select("page_id", "html"), "html", "standard")
-    return x.where(F.size("redactions") > 0).select("page_id", F.length("html").cast("long").alias("length"), F.array_join(F.array_sort(F.map_keys("redactions")), ",").alias("rules"))
+    found = x.select("page_id", F.length("html").cast("long").alias("length"), F.array_join(F.array_sort(F.map_keys("redactions")), ",").alias("rules"))
+    return materialize(found, "redacted").where("rules <> ''")
 
 
 @query("b3_sanitize_hash", "memory", "SELECT id, sha256(content) AS key FROM memory")
