@@ -2,9 +2,11 @@
 
 Every document's set of word shingles gives a signature of minima and, from bands of it, bucket keys. Documents
 with equal sets are one node (the smallest doc_id stands for them). In each bucket the smallest node is compared
-with the others first. What is still apart then is compared block by block, nodes outside the bucket's main component with all others, so that no pair of
-a bucket is left out and no list of pairs leaves a task. Where more than LARGE nodes are outside it, the bucket is
-split before that by the rarest shingles of each, of which two documents of the threshold always share one. A compared pair goes through its signature batch by batch and is dropped as soon as the posterior chance that its
+with the others first. What is still apart then is compared block by block, nodes outside the bucket's main component
+with all others, so that no pair of a bucket is left out and no list of pairs leaves a task. In buckets with more
+than LARGE outside, nodes whose own shingles alone rule out a link are left out before; where more than LARGE remain to
+be compared, the bucket is split by the rarest shingles of each, of which two documents of the threshold always share one. A compared
+pair goes through its signature batch by batch and is dropped as soon as the posterior chance that its
 similarity reaches the threshold falls under `miss`; the survivors are verified on their full shingle sets.
 """
 
@@ -27,8 +29,8 @@ MISS = 1e-6
 #: Settings for a threshold of 0.8: there two documents fail to share a bucket with a chance of 7e-7.
 FOUR_FIFTHS = {"threshold": (80, 100), "bands": 27, "rows": 4}
 BATCH = 24
-BLOCK = 128
-#: Nodes outside a bucket's main component from which on it is split by rare shingles.
+BLOCK = 256
+#: Nodes that have to meet all others of a bucket from which on it is split by rare shingles.
 LARGE = 4096
 #: Open buckets up to which their sizes are broadcast; beyond it they are joined.
 BROADCAST_BUCKETS = 1_000_000
@@ -238,13 +240,8 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(tidy(sets_of), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, hashes binary")
 
 
-def rare_buckets(nodes: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """key, doc_id, c: each node under those of its rarest shingles of which a node as similar as the threshold holds one.
-
-    With shingles ordered by how many of the nodes hold them, two sets of n and more shingles that have the threshold in
-    common share one of the first n - ceil(threshold * n) + 1. A shingle of one node only takes up its place.
-    """
-    num, den = threshold
+def shingle_rows(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, n, key: the shingles of each node, one to a row, written."""
     kind = nodes.schema["doc_id"].dataType.simpleString()
 
     def apart(batches):
@@ -253,13 +250,40 @@ def rare_buckets(nodes: DataFrame, sets: DataFrame, threshold: tuple[int, int])
             flat = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(flat)], ["doc_id", "n", "key"])
 
-    own = nodes.select("doc_id", "c").distinct()
-    each = materialize(sets.join(own, "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(tidy(apart), f"doc_id {kind}, n long, key long"), "shingles")
+    own = nodes.select("doc_id").distinct()
+    return materialize(sets.join(own, "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(tidy(apart), f"doc_id {kind}, n long, key long"), "shingles")
+
+
+def linkable(nodes: DataFrame, sets: DataFrame, each: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """key, doc_id, c, core of the nodes that can have a link; the rest hold too many shingles that no other node holds.
+
+    With u of its n shingles in no other node, a node's similarity to any is at most (n - u) / n. To one of no fewer
+    shingles it is at most (n - u) / (n + u); nodes for which that reaches the threshold are core, and each link has one at
+    least at its end of fewer shingles. Only counts leave the exchanges. A doc_id of several rows is core.
+    """
+    num, den = threshold
+    lone = each.groupBy("key").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
+    own = sets.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.octet_length("hashes") / 8).cast("long").alias("n"))
+    n, u, several = F.col("n"), F.coalesce("u", F.lit(0)), F.col("rows") > 1
+    marked = own.join(lone, "doc_id", "left").where(several | (den * (n - u) >= num * n))
+    marked = marked.select("doc_id", (several | (den * (n - u) >= num * (n + u))).alias("core"))
+    return nodes.select("key", "doc_id", "c").join(marked, "doc_id").select("key", "doc_id", "c", "core")
+
+
+def rare_buckets(nodes: DataFrame, each: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """key, doc_id, c, core: each node under those of its rarest shingles of which a node as similar as the threshold holds one.
+
+    With shingles ordered by how many of the nodes hold them, two sets of n and more shingles that have the threshold in
+    common share one of the first n - ceil(threshold * n) + 1. A shingle of one node only takes up its place.
+    """
+    num, den = threshold
+    own = nodes.select("doc_id", "c", "core").distinct()
+    each = each.join(own, "doc_id", "left_semi")
     held = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(held, "key").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))  # one document's shingles
     first = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den - 1e-9) + 1 - (F.col("n") - F.size("r"))
     keys = ranked.select("doc_id", F.explode(F.slice("r", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("r"))
-    return keys.select(F.col("r.key").alias("key"), "doc_id").join(own, "doc_id").select("key", "doc_id", "c")
+    return keys.select(F.col("r.key").alias("key"), "doc_id").join(own, "doc_id").select("key", "doc_id", "c", "core")
 
 
 def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total: int, threshold: tuple[int, int], miss: float, large: int = LARGE) -> DataFrame:
@@ -267,29 +291,52 @@ def settle(open_nodes: DataFrame, texts: DataFrame, signatures: DataFrame, total
 
     open_nodes: key, doc_id, c (component), and the bucket's m, main and outside of open_buckets. A bucket is dealt by hash
     into blocks of about BLOCK nodes and each pair of blocks that holds nodes outside the main component is one group, so
-    a group stays small whatever the bucket holds. A bucket with more than `large` nodes outside is first replaced by the
-    buckets of its nodes' rare shingles. A pair is looked at in the first of its common buckets (of rare shingles, in
-    each), sequentially by signature, then on full sets; links are all that leaves a group, a spanning forest of it.
+    a group stays small whatever the bucket holds. From buckets with more than `large` nodes outside, those that can have
+    no link are left out first, and if fewer are core (see linkable) than outside, these meet the others instead; below
+    that the copies of blocks are fewer than the rows of all shingles. A bucket in which more than `large` nodes still
+    meet the others is replaced by the buckets of its nodes' rare shingles. A pair is looked at in the first of its common buckets (of rare shingles, in each), sequentially by
+    signature, then on full sets; links are all that leaves a group, a spanning forest of it.
     """
     kind = signatures.schema["doc_id"].dataType.simpleString()
     sets = shingle_sets(texts)
     about = signatures.select("doc_id", "n", "sig", "bands").join(sets, "doc_id")
-    links = _links_of_blocks(threshold, miss, total, True)
-    small = _blocks(open_nodes.where(F.col("outside") <= large)).join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
-    hot = open_nodes.where(F.col("outside") > large)
+
+    def links(nodes: DataFrame, once: bool) -> DataFrame:
+        return _blocks(nodes).join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(_links_of_blocks(threshold, miss, total, once), f"a {kind}, b {kind}")
+
+    beyond = F.col("outside") > large
+    small = links(_meeting(open_nodes.where(~beyond).withColumn("core", F.lit(True))), True)
+    wide = open_nodes.where(beyond)
+    if wide.isEmpty():
+        return small
+    each = shingle_rows(wide, sets)
+    wide = materialize(linkable(wide, sets, each, threshold), "linkable")
+    wide = _meeting(wide.join(_few(materialize(open_buckets(wide), "wide-buckets")), "key"))
+    small = small.unionByName(links(wide.where(F.col("k") <= large), True))
+    hot = wide.where(F.col("k") > large)
     if hot.isEmpty():
         return small
-    rare = materialize(rare_buckets(hot, sets, threshold), "rare")
-    links = _links_of_blocks(threshold, miss, total, False)
-    rest = _blocks(rare.join(_few(materialize(open_buckets(rare), "rare-buckets")), "key")).join(about, "doc_id").groupBy("key", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
-    return small.unionByName(rest)
+    rare = materialize(rare_buckets(hot, each, threshold), "rare")
+    return small.unionByName(links(_meeting(rare.join(_few(materialize(open_buckets(rare), "rare-buckets")), "key")), False))
 
 
 def open_buckets(nodes: DataFrame) -> DataFrame:
-    """key, m (nodes), main (the component that most of them are in), outside (nodes not in it) of buckets not all in one."""
-    by_part = nodes.groupBy("key", "c").agg(F.count("*").alias("n"))
-    whole = by_part.groupBy("key").agg(F.sum("n").alias("m"), F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"))
-    return whole.where("most < m").select("key", "m", "main", (F.col("m") - F.col("most")).alias("outside"))
+    """key, m (nodes), main (the component that most of them are in), outside (nodes not in it) of buckets not all in one.
+
+    Where nodes have the column core, its nodes are counted as n_core and buckets without any are left out.
+    """
+    core = "core" in nodes.columns
+    by_part = nodes.groupBy("key", "c").agg(F.count("*").alias("n"), F.count_if("core" if core else F.lit(True)).alias("n_core"))
+    whole = by_part.groupBy("key").agg(F.sum("n").alias("m"), F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n_core").alias("n_core"))
+    return whole.where("most < m AND n_core > 0").select("key", "m", "main", (F.col("m") - F.col("most")).alias("outside"), *["n_core"] * core)
+
+
+def _meeting(nodes: DataFrame) -> DataFrame:
+    """key, doc_id, c, core, m, few, k: few marks the k nodes that meet all others of the bucket, those outside the main component
+    or, where they are fewer, the core ones; a pair that can be a link holds one of either kind."""
+    outside, n_core = F.col("outside"), F.col("n_core") if "n_core" in nodes.columns else F.col("m")
+    few = F.when(n_core < outside, F.col("core")).otherwise(F.col("c") != F.col("main"))
+    return nodes.select("key", "doc_id", "c", "core", "m", few.alias("few"), F.least(n_core, outside).alias("k"))
 
 
 def _few(table_: DataFrame) -> DataFrame:
@@ -300,12 +347,12 @@ def _few(table_: DataFrame) -> DataFrame:
 def _blocks(nodes: DataFrame) -> DataFrame:
     """key, i, j, block, doc_id, c: every node once for each pair of blocks of its bucket that it takes part in.
 
-    Blocks of nodes outside the main component come first; only they meet others, so the rows are outside * m / BLOCK.
+    Blocks of the few that meet all come first; only they meet others, so the rows are about 2 * k * m / BLOCK.
     """
-    first, second = (F.ceil(x / BLOCK) for x in (F.col("outside"), F.col("m") - F.col("outside")))
-    spread, at = F.xxhash64("doc_id", "key"), F.col("c") == F.col("main")
-    place = nodes.withColumn("block", F.when(at, first + F.pmod(spread, second)).otherwise(F.pmod(spread, first)))
-    met = F.when(at, first).otherwise(first + second) - 1
+    first, second = (F.ceil(x / BLOCK) for x in (F.col("k"), F.col("m") - F.col("k")))
+    spread = F.xxhash64("doc_id", "key")
+    place = nodes.withColumn("block", F.when(F.col("few"), F.pmod(spread, first)).otherwise(first + F.pmod(spread, second)))
+    met = F.when(F.col("few"), first + second).otherwise(first) - 1
     pairs = place.select("key", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0).cast("long"), met)).alias("other"))
     return pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c")
 

@@ -81,3 +81,19 @@ def test_lines_of_hot_and_many_sites(spark, monkeypatch):
     many = line_dedup.drop_boilerplate(docs, counts=("n_lines", "n_dropped"))
     assert many.columns == ["doc_id", "source", "text", "n_lines", "n_dropped"] and rows_of(many, "doc_id", "text", "n_lines", "n_dropped") == one
     assert {r[1] for r in one if r[0] % 2 and r[0] < 30} == {f"own {i}" for i in range(1, 30, 2)} and {(r[2], r[3]) for r in one if r[0] >= 100} == {(2, 2)}
+
+
+@pytest.mark.parametrize("large", [20, 1000])
+def test_nodes_ruled_out_by_their_own_shingles(spark, monkeypatch, large):
+    """Near copies of which some have so many words of their own that they can't be linked, and one doc_id of two texts."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    docs = list(enumerate(family(11, 120, 120, (1, 12)) + family(12, 40, 60, (1, 4))))
+    df = spark.createDataFrame(docs, DOCS)
+    got = near_dedup.near_duplicates(df, large=large)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == components_by_hand(docs)
+    key = near_dedup.F.lit(1).alias("key")
+    nodes = df.unionByName(df.where("doc_id = 3").withColumn("text", near_dedup.F.lit("p q r s t u"))).select(key, "doc_id", "text", near_dedup.F.col("doc_id").alias("c"))
+    sets = near_dedup.shingle_sets(nodes.select("doc_id", "text"))
+    nodes = nodes.select("key", "doc_id", "c").distinct()
+    left = near_dedup.linkable(nodes, sets, near_dedup.shingle_rows(nodes, sets), (85, 100)).collect()
+    assert 2 < sum(r["core"] for r in left) < len(left) < len(docs) and any(r["doc_id"] == 3 and r["core"] for r in left)
