@@ -190,6 +190,21 @@ def record_versions(access_log: DataFrame, keep: int) -> DataFrame:
     return x.where(F.col("back") <= keep).drop("back")
 
 
+def rollback(versions: DataFrame, to: int) -> DataFrame:
+    """memory_id, version, restores: the row that going back to version `to` appends to each record that still keeps it."""
+    x = versions.groupBy("memory_id").agg(F.max("version").alias("last"), F.max(F.when(F.col("version") == to, F.col("event_id"))).alias("restores"))
+    return x.where("restores IS NOT NULL").select("memory_id", (F.col("last") + 1).alias("version"), "restores")
+
+
+@query("f12_rollback", "access_log", """
+WITH v AS (SELECT memory_id, event_id, row_number() OVER (PARTITION BY memory_id ORDER BY ts, event_id) AS version, count(*) OVER (PARTITION BY memory_id) AS n FROM access_log)
+SELECT memory_id, n + 1 AS version, event_id AS restores FROM v WHERE version = 2 AND version > n - 10
+""", to=2)
+def rolled_back(access_log: DataFrame, to: int, keep: int = 10) -> DataFrame:
+    """Every record that still keeps version `to` rolled back to it."""
+    return rollback(record_versions(access_log, keep), to)
+
+
 @query("f12_compare_versions", "memory", """
 WITH v AS (SELECT id, content, importance, lag(content) OVER w AS pc, lag(importance) OVER w AS pi, lag(created_at) OVER w AS pt, created_at FROM memory WINDOW w AS (PARTITION BY author, room ORDER BY created_at, id))
 SELECT id, content <> pc AS text_changed, importance <> pi AS importance_changed, round(len(list_intersect(list_distinct(string_split(content, '')), list_distinct(string_split(pc, ''))))::DOUBLE / len(list_distinct(list_concat(string_split(content, ''), string_split(pc, '')))), 6) AS similarity, round(date_diff('second', pt, created_at) / 3600.0, 4) AS hours FROM v WHERE pc IS NOT NULL

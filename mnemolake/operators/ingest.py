@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import any_of, best_of, count, hits, n, r6
 from mnemolake.operators.search import token_index
-from mnemolake.operators.similarity import vector_pairs
+from mnemolake.operators.similarity import jaccard_pairs, vector_pairs
 from mnemolake.plans.registry import query
 from mnemolake.plans.storage import materialize
 
@@ -168,6 +168,27 @@ def positional_overlap_dup(memory: DataFrame, longest: int = 100_000, least: flo
     return j.withColumn("o", same / F.greatest("na", "nb")).where(F.col("o") > least).select("a", "b", r6("o").alias("overlap"))
 
 
+@query("b6_positional_overlap_dup_all", "memory")
+def positional_overlap_dup_all(memory: DataFrame, least: float = 0.85, gap: int = 5) -> DataFrame:
+    """As above for texts of any length, exact: equal texts of a wing are one class, linked to its smallest id with overlap 1;
+    other pairs are between those ids. Null or empty texts and null wings have none.
+
+    A text is the set of its (wing, place, character): k of them in common, out of sets of m and n, are an overlap of k / max(m, n),
+    which is over `least` only where the Jaccard similarity is over least / (2 - least). Rare places lead to the candidates.
+    """
+    m = memory.select("id", "wing", "content", F.length("content").alias("n")).where(F.col("wing").isNotNull() & (F.col("n") > 0))
+    m = m.withColumn("h", F.sha2("content", 256))
+    classes = materialize(m.groupBy("wing", "h").agg(F.min("id").alias("a")), "same-text")
+    members = m.join(classes, ["wing", "h"]).where(F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
+    reps = m.join(classes.select(F.col("a").alias("id")), "id", "left_semi")
+    places = F.transform(F.regexp_extract_all("content", F.lit("(?s)."), F.lit(0)), lambda ch, i: F.concat_ws(":", i.cast("string"), ch, "wing"))
+    near = jaccard_pairs(reps, places, least / (2 - least))
+    na, nb = (reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    x = near.join(na, "a").join(nb, "b").where(F.abs(F.col("na") - F.col("nb")) <= gap)
+    same = F.round(F.col("similarity") * (F.col("na") + F.col("nb")) / (1 + F.col("similarity")))
+    return members.unionByName(x.withColumn("o", same / F.greatest("na", "nb")).where(F.col("o") > least).select("a", "b", r6("o").alias("overlap")))
+
+
 @query("b7_fuse_on_write", "memory", f"""
 WITH {_SPLIT}, p AS (SELECT o.id, o.content AS oc, n.content AS nc, n.id AS nid FROM old o JOIN new n ON o.wing = n.wing AND left(o.content, 30) = left(n.content, 30))
 SELECT id, md5(arg_max(CASE WHEN length(nc) > length(oc) THEN nc ELSE oc END, (length(CASE WHEN length(nc) > length(oc) THEN nc ELSE oc END), nid))) AS digest, round(least(1.0, 0.5 + 0.1 * count(*)), 6) AS confidence, count(*) AS fused_count FROM p GROUP BY id

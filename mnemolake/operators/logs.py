@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,9 +229,9 @@ def ab_test(access_log: DataFrame, least: int = 30) -> DataFrame:
     return s.select(r6("a", 4).alias("mean_a"), r6("b", 4).alias("mean_b"), F.col("n").alias("least_n"), F.when(F.col("n") < least, "undecided").when(F.col("a") < F.col("b"), "a").otherwise("b").alias("winner"), r6(F.abs(F.col("a") - F.col("b")) / ((F.col("a") + F.col("b")) / 2)).alias("confidence"))
 
 
-def laplace(scale: float, seed: int):
-    """A Laplace deviate by the inverse of its distribution."""
-    u = F.rand(seed) - 0.5
+def laplace(scale: float, seed: int | None = None):
+    """A Laplace deviate by the inverse of its distribution. Without a seed a secret one is drawn, so that nobody can take the noise off."""
+    u = F.rand(secrets.randbits(63) if seed is None else seed) - 0.5
     return -scale * F.signum(u) * F.log(1 - 2 * F.abs(u))
 
 
@@ -246,12 +248,43 @@ class PrivacyBudget:
         return epsilon
 
 
+def _within(column: str, low: float, high: float):
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.col(column)))
+
+
+def _noisy_mean(x: DataFrame, *keep: str) -> DataFrame:
+    """keep, n, mean_importance from a noisy count and sum; the mean divides by the noisy count, never by the true one."""
+    return x.select(*keep, F.greatest(F.lit(0.0), F.round("noisy_k")).alias("n"), (F.col("noisy_s") / F.greatest(F.lit(1.0), F.col("noisy_k"))).alias("mean_importance"))
+
+
 @query("h33_dp_histogram", "memory")
-def dp_histogram(memory: DataFrame, budget: PrivacyBudget | None = None, epsilon: float = 0.5, seed: int = 7) -> DataFrame:
-    """Counts by wing and the mean importance with Laplace noise; a record changes one count by one and the clamped sum by five."""
+def dp_histogram(memory: DataFrame, budget: PrivacyBudget | None = None, epsilon: float = 0.5, seed: int | None = None) -> DataFrame:
+    """Counts by wing and the mean importance with Laplace noise; a record changes one count by one and the clamped sum by five. A seed is for tests only."""
     e = (budget or PrivacyBudget(2 * epsilon)).spend(epsilon)
-    counts = memory.groupBy("wing").agg(count().alias("k"), F.sum(F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.col("importance")))).alias("s"))
-    return counts.select("wing", (F.col("k") + laplace(1 / (e / 2), seed)).alias("n"), ((F.col("s") + laplace(5 / (e / 2), seed + 1)) / F.col("k")).alias("mean_importance"))
+    counts = memory.groupBy("wing").agg(count().alias("k"), F.coalesce(F.sum(_within("importance", 0.0, 5.0)), F.lit(0.0)).alias("s"))
+    noisy = counts.select("wing", (F.col("k") + laplace(1 / (e / 2), seed)).alias("noisy_k"), (F.col("s") + laplace(5 / (e / 2), None if seed is None else seed + 1)).alias("noisy_s"))
+    return _noisy_mean(noisy, "wing")
+
+
+def dp_count(rows: DataFrame, budget: PrivacyBudget, epsilon: float, seed: int | None = None) -> DataFrame:
+    """One row, n: the number of rows with Laplace noise, not below 0."""
+    e = budget.spend(epsilon)
+    return rows.agg(count().alias("k")).select(F.greatest(F.lit(0.0), F.round(F.col("k") + laplace(1 / e, seed))).alias("n"))
+
+
+def dp_mean(rows: DataFrame, column: str, low: float, high: float, budget: PrivacyBudget, epsilon: float, seed: int | None = None) -> DataFrame:
+    """One row, mean: of the values clamped to low and high, from a noisy sum of their distances from low and a noisy count. Nulls take no part."""
+    e = budget.spend(epsilon) / 2
+    x = rows.agg(F.count(column).alias("k"), F.coalesce(F.sum(_within(column, low, high) - low), F.lit(0.0)).alias("s"))
+    x = x.select((F.col("k") + laplace(1 / e, seed)).alias("k"), (F.col("s") + laplace((high - low) / e, None if seed is None else seed + 1)).alias("s"))
+    return x.select((low + F.greatest(F.lit(0.0), F.least(F.lit(high - low), F.col("s") / F.greatest(F.lit(1.0), F.col("k"))))).alias("mean"))
+
+
+@query("h33_dp_count_mean", "memory")
+def dp_count_mean(memory: DataFrame, epsilon: float = 0.5) -> DataFrame:
+    """The noisy number of records and their noisy mean importance under one budget."""
+    budget = PrivacyBudget(2 * epsilon)
+    return dp_count(memory, budget, epsilon).crossJoin(dp_mean(memory, "importance", 0.0, 5.0, budget, epsilon))  # one row each
 
 
 @query("h39_regression_check", "access_log", """

@@ -476,3 +476,18 @@ def cross_project_search(memory: DataFrame, asked: list[str], tagged: list[str],
     """The best records of every project (room) by words and tags. The ranking stops at k rows before the exchange."""
     s = 2 * sum((F.when(F.contains(F.lower("content"), F.lit(w)), 1).otherwise(0) for w in asked), F.lit(0)) + 3 * sum((F.when(F.array_contains("tags", w), 1).otherwise(0) for w in tagged), F.lit(0))
     return top(memory.select(F.col("room").alias("project"), "id", s.cast("long").alias("score")).where("score > 0"), "score", k, "project").select("project", "id", "score")
+
+
+def merge_project(source: DataFrame, target: DataFrame) -> DataFrame:
+    """The target's rows and those of the source whose id it hasn't, each id of the source once."""
+    return target.unionByName(source.join(target.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*target.columns))
+
+
+@query("d27_merge_project", "memory", """
+SELECT id, md5(content) AS digest, 'target' AS origin FROM memory WHERE CAST(id AS BIGINT) % 2 = 0 UNION ALL SELECT id, md5(content), 'source' FROM memory WHERE CAST(id AS BIGINT) % 3 <> 0 AND CAST(id AS BIGINT) % 2 <> 0
+""")
+def merged_projects(memory: DataFrame) -> DataFrame:
+    """Two overlapping projects made from the table (even ids, and ids that three doesn't divide), the second merged into the first."""
+    k = F.col("id").cast("long")
+    rows = memory.select("id", F.md5("content").alias("digest"))
+    return merge_project(rows.where(k % 3 != 0).withColumn("origin", F.lit("source")), rows.where(k % 2 == 0).withColumn("origin", F.lit("target")))

@@ -285,3 +285,20 @@ def prune_snapshots(access_log: DataFrame, keep: int) -> DataFrame:
     s = access_log.groupBy(F.to_date("ts").cast("string").alias("snapshot_id")).agg(count().alias("n"), r6(F.sum("duration_ms"), 2).alias("size"))
     newest = s.orderBy(F.desc("snapshot_id")).limit(keep).select("snapshot_id", F.lit(True).alias("kept"))
     return s.join(newest, "snapshot_id", "left").select("snapshot_id", "n", "size", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def import_snapshot(current: DataFrame, root: str, snapshot_id: str, merge: bool = True) -> DataFrame:
+    """A snapshot's rows, and with merge the current rows that it doesn't hold; without merge it takes the current rows' place."""
+    rows = current.sparkSession.read.parquet(root).where(F.col("snapshot_id") == snapshot_id).select(*current.columns)
+    return rows.unionByName(current.join(rows.select("id"), "id", "left_anti").select(*current.columns)) if merge else rows
+
+
+@query("a17_import_snapshot", "memory", """
+SELECT id, md5(content) AS digest FROM memory WHERE CAST(id AS BIGINT) % 3 <> 0 UNION ALL SELECT id, md5(content || '!') FROM memory WHERE CAST(id AS BIGINT) % 3 = 0 AND CAST(id AS BIGINT) % 2 = 0
+""")
+def snapshot_imported(memory: DataFrame) -> DataFrame:
+    """A written snapshot (ids that three doesn't divide) merged into changed rows of even ids."""
+    root, k = scratch(memory, "snapshots"), F.col("id").cast("long")
+    rows = memory.select("id", "content")
+    snapshot(rows.where(k % 3 != 0), root, "s1")
+    return import_snapshot(rows.where(k % 2 == 0).withColumn("content", F.concat("content", F.lit("!"))), root, "s1").select("id", F.md5("content").alias("digest"))
