@@ -182,9 +182,9 @@ def positional_overlap_dup_all(memory: DataFrame, least: float = 0.85, gap: int
     members = m.join(classes, ["wing", "h"]).where(F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
     reps = m.join(classes.select(F.col("a").alias("id")), "id", "left_semi")
     places = F.transform(F.regexp_extract_all("content", F.lit("(?s)."), F.lit(0)), lambda ch, i: F.concat_ws(":", i.cast("string"), ch, "wing"))
-    near = jaccard_pairs(reps, places, least / (2 - least))
+    near = jaccard_pairs(reps, places, least / (2 - least), gap)
     na, nb = (reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    x = near.join(na, "a").join(nb, "b").where(F.abs(F.col("na") - F.col("nb")) <= gap)
+    x = near.join(na, "a").join(nb, "b")
     same = F.round(F.col("similarity") * (F.col("na") + F.col("nb")) / (1 + F.col("similarity")))
     return members.unionByName(x.withColumn("o", same / F.greatest("na", "nb")).where(F.col("o") > least).select("a", "b", r6("o").alias("overlap")))
 

@@ -25,10 +25,11 @@ def set_classes(df: DataFrame, tokens_: Column) -> DataFrame:
     return x.join(x.groupBy("h").agg(F.min("id").alias("cls")), "h").select("id", "cls")
 
 
-def jaccard_pairs(df: DataFrame, tokens_: Column, th: float) -> DataFrame:
+def jaccard_pairs(df: DataFrame, tokens_: Column, th: float, gap: int | None = None) -> DataFrame:
     """(a, b, similarity) of classes a < b with Jaccard of at least th, exact.
 
     The join is on prefix tokens only, with the length filter applied at it; each candidate pair is checked once on whole sets.
+    With gap, only sets whose sizes differ by no more are paired: the join is on a band of sizes and its neighbours too.
     """
     x = df.select("id", F.array_sort(F.array_distinct(tokens_)).alias("s")).where(F.size("s") > 0)
     reps = x.groupBy(F.sha2(F.array_join("s", "\x01"), 256).alias("h")).agg(F.min("id").alias("id"))
@@ -40,8 +41,12 @@ def jaccard_pairs(df: DataFrame, tokens_: Column, th: float) -> DataFrame:
     alone = F.col("n") - F.size("r")
     need = F.col("n") - F.ceil(F.lit(th) * F.col("n") - 1e-9) + 1
     prefix = ranked.select("id", "n", F.explode(F.slice("r", F.lit(1), F.greatest(F.lit(0), (need - alone)).cast("int"))).alias("r")).select("id", "n", F.col("r.tok").alias("tok"))
-    a, b = (prefix.select("tok", F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    pairs = a.join(b, "tok").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= th * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    band = F.lit(0) if gap is None else F.floor(F.col("n") / (gap + 1))
+    a, b = (prefix.select("tok", band.alias("band"), F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    if gap is not None:
+        a = a.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    close = F.lit(True) if gap is None else F.abs(F.col("na") - F.col("nb")) <= gap
+    pairs = a.join(b, ["tok", "band"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= th * F.greatest("na", "nb") - 1e-9) & close).select("a", "b").distinct()
     left, right = (x.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     j = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
