@@ -9,6 +9,7 @@ from mnemolake.llm.license_scan import op8_license_scan
 from mnemolake.llm.line_dedup import op3_line_dedup
 from mnemolake.llm.near_dedup import op5_near_dedup
 from mnemolake.llm.packing import op6_packing
+from mnemolake.llm.spelling import op11_spelling_variants
 from mnemolake.llm.suffix_dedup import op1_suffix_dedup
 from mnemolake.llm.token_counts import op7_token_counts
 from mnemolake.llm.token_files import op10_token_files
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op9_language_id_pages": op9_language_id_pages,
     "op10_token_files": op10_token_files,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
