@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from mnemolake.llm import license_scan, line_dedup
 from mnemolake.llm.decontamination import op4_decontamination
+from mnemolake.llm.fingerprints import op12_fingerprints
 from mnemolake.llm.language_id import op9_language_id, op9_language_id_pages
 from mnemolake.llm.license_scan import op8_license_scan
 from mnemolake.llm.line_dedup import op3_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language_id_pages": op9_language_id_pages,
     "op10_token_files": op10_token_files,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
