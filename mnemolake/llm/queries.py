@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mnemolake.llm import license_scan, line_dedup
+from mnemolake.llm.alignment import op13_alignment
 from mnemolake.llm.decontamination import op4_decontamination
 from mnemolake.llm.fingerprints import op12_fingerprints
 from mnemolake.llm.language_id import op9_language_id, op9_language_id_pages
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_fingerprints": op12_fingerprints,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
