@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import any_of, best_of, count, hits, n, r6
 from mnemolake.operators.search import token_index
-from mnemolake.operators.similarity import jaccard_pairs, vector_pairs
+from mnemolake.operators.similarity import jaccard_pairs
+from mnemolake.operators.vectors import classes, sided, vector_pairs
 from mnemolake.plans.registry import query
 from mnemolake.plans.storage import materialize
 
@@ -146,11 +147,17 @@ WITH {_SPLIT}, p AS (SELECT n.id, o.id AS stored, round(list_cosine_similarity(v
 SELECT id, arg_max(stored, (s, stored)) AS stored, round(max(s), 6) AS similarity FROM p GROUP BY id
 """, th=0.6)
 def near_duplicate_upsert(memory: DataFrame, vector: DataFrame, th: float = 0.92) -> DataFrame:
-    """For each incoming record the most similar stored one of its wing, if similar enough."""
-    m = memory.select("id", "wing", (F.col("id").cast("long") % 5 == 0).alias("new"))
-    p = vector_pairs(vector, th).join(m.select(F.col("id").alias("a"), F.col("wing").alias("wa"), F.col("new").alias("na")), "a").join(m.select(F.col("id").alias("b"), F.col("wing").alias("wb"), F.col("new").alias("nb")), "b").where("wa = wb AND na <> nb")
-    x = p.select(F.when(F.col("na"), F.col("a")).otherwise(F.col("b")).alias("id"), F.when(F.col("na"), F.col("b")).otherwise(F.col("a")).alias("stored"), "s")
-    return x.groupBy("id").agg(F.max_by("stored", F.struct("s", "stored")).alias("stored"), r6(F.max("s")).alias("similarity"))
+    """For each incoming record the most similar stored one of its wing, if similar enough.
+
+    Only stored and incoming records of one wing meet; copies on either side are one vector, whose answer all share.
+    """
+    m = memory.select("id", sided(F.col("wing"), F.col("id").cast("long") % 5 == 0).alias("g"))
+    v = vector.select("id", "v").join(m, "id")
+    of = materialize(classes(v).select("id", "cls", F.endswith("g", F.lit("true")).alias("new")), "classes")
+    last = of.where("NOT new").groupBy("cls").agg(F.max("id").alias("stored"))
+    p = vector_pairs(v, th, "sides").select("s", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("s", F.col("p.a").alias("new_cls"), F.col("p.b").alias("cls"))
+    best = p.join(last, "cls").groupBy("new_cls").agg(F.max_by("stored", F.struct("s", "stored")).alias("stored"), r6(F.max("s")).alias("similarity"))
+    return of.where("new").join(best, F.col("cls") == F.col("new_cls")).select("id", "stored", "similarity")
 
 
 @query("b6_positional_overlap_dup", "memory", """

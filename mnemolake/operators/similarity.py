@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import count, r6, tokens, words
 from mnemolake.operators.components import connected_components
+from mnemolake.operators.vectors import classes, vector_pairs
 from mnemolake.plans.registry import query
 from mnemolake.plans.storage import materialize
 
@@ -61,39 +62,14 @@ def dup_hash(memory: DataFrame) -> DataFrame:
     return memory.groupBy(F.sha2(F.trim("content"), 256)).agg(F.min("id").alias("first_id"), count().alias("n"), r6(F.max("importance")).alias("importance")).where("n > 1").select("first_id", "n", "importance")
 
 
-def vector_pairs(vectors: DataFrame, th: float) -> DataFrame:
-    """(a, b, s) with cosine of at least th, exact, by norms and pivots: unit vectors as near as sqrt(2 - 2 th) differ by no more in
-    their projection on any unit vector, so both fall into the same or the next band of each of three fixed projections."""
-    import math
+_NEAR = "round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 9)"
 
-    import numpy as np
 
-    dim = vectors.select(F.size("v").alias("n")).agg(F.max("n")).first()[0] or 1
-    gap = math.sqrt(max(2 - 2 * th, 1e-12)) + 1e-9
-    rng = np.random.default_rng(11)
-    axes = np.linalg.qr(rng.normal(size=(dim, min(dim, 3))))[0].T.tolist()
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    unit = vectors.select("id", F.transform("v", lambda x: x.cast("double") / norm).alias("u")).where(norm > 0)
-
-    def band(axis):
-        s = F.aggregate(F.zip_with("u", F.array(*map(F.lit, axis)), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-        return F.floor(s / gap).cast("int")
-
-    x = unit.select("id", "u", F.array(*[band(a) for a in axes]).alias("k"))
-    steps = [()]
-    for _ in axes:
-        steps = [(*s, d) for s in steps for d in (-1, 0, 1)]
-    near = F.array(*[F.array(*[F.col("k")[i] + d for i, d in enumerate(s)]) for s in steps])
-    a = x.select(F.col("id").alias("a"), F.col("u").alias("ua"), F.explode(near).alias("k"))
-    b = x.select(F.col("id").alias("b"), F.col("u").alias("ub"), "k")
-    s = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    return a.join(b, "k").where("a < b").select("a", "b", F.round(s, 9).alias("s")).where(F.col("s") >= th)
-
-
-@query("e2_dup_vector", "vector", "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 6) AS similarity FROM vector a JOIN vector b ON a.id < b.id WHERE round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 9) >= 0.9", th=0.9)
+@query("e2_dup_vector", "vector", f"WITH c AS (SELECT id, v, min(id) OVER (PARTITION BY v) AS cls FROM vector) SELECT a.id AS a, b.id AS b, round({_NEAR}, 6) AS similarity FROM c a JOIN c b ON a.id < b.id WHERE a.cls = a.id AND b.cls IN (a.id, b.id) AND {_NEAR} >= 0.9", th=0.9)
 def dup_vector(vector: DataFrame, th: float = 0.99) -> DataFrame:
-    """Pairs of vectors with cosine of at least th."""
-    return vector_pairs(vector, th).select("a", "b", r6("s").alias("similarity"))
+    """Pairs of vectors with cosine of at least th. Copies are linked to the first of them, which stands for all in the other pairs."""
+    copies = classes(vector).where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return vector_pairs(vector, th).select("a", "b", r6("s").alias("similarity")).unionByName(copies)
 
 
 _SETS = "ts AS (SELECT id, list_sort({0}) AS s FROM memory), c AS (SELECT id, s FROM ts WHERE len(s) > 0 QUALIFY row_number() OVER (PARTITION BY s ORDER BY id) = 1)"
@@ -249,23 +225,22 @@ def cluster_stats(memory: DataFrame) -> DataFrame:
     return cluster_keywords(memory).agg(count().alias("clusters"), F.sum("n").alias("records"), r6(F.avg("n")).alias("mean_size"), F.max("n").alias("largest"), F.min("n").alias("smallest"))
 
 
-_VP = "vp AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 9) AS s FROM vector a JOIN vector b ON a.id < b.id WHERE round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 9) >= 0.6)"
+def _vp(group: str) -> str:
+    return f"g AS (SELECT v.id, v, {group} AS g FROM vector v JOIN memory m ON m.id = v.id), c AS (SELECT id, v, g FROM g WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g, v ORDER BY id) = 1), vp AS (SELECT a.id AS a, b.id AS b, a.g AS ga, b.g AS gb, {_NEAR} AS s FROM c a JOIN c b ON a.id < b.id WHERE {_NEAR} >= 0.6)"
 
 
-@query("e14_cross_wing_links", "memory vector", f"WITH {_VP} SELECT a, b, round(s, 6) AS similarity FROM vp JOIN memory x ON x.id = a JOIN memory y ON y.id = b WHERE x.wing <> y.wing", th=0.6)
+@query("e14_cross_wing_links", "memory vector", f"WITH {_vp('wing')} SELECT a, b, round(s, 6) AS similarity FROM vp WHERE ga <> gb", th=0.6)
 def cross_wing_links(memory: DataFrame, vector: DataFrame, th: float) -> DataFrame:
-    """Similar vectors of records in different wings."""
-    w = memory.select("id", "wing")
-    p = vector_pairs(vector, th).join(w.select(F.col("id").alias("a"), F.col("wing").alias("wa")), "a").join(w.select(F.col("id").alias("b"), F.col("wing").alias("wb")), "b")
-    return p.where("wa <> wb").select("a", "b", r6("s").alias("similarity"))
+    """Similar vectors of records in different wings; of a wing's copies the first stands for all."""
+    v = vector.select("id", "v").join(memory.select("id", F.col("wing").alias("g")), "id")
+    return vector_pairs(v, th, "other").select("a", "b", r6("s").alias("similarity"))
 
 
-@query("e15_resonance", "memory vector", f"WITH {_VP} SELECT a, b, round(s, 6) AS similarity FROM vp JOIN memory x ON x.id = a JOIN memory y ON y.id = b WHERE sign(x.emotional_weight) * sign(y.emotional_weight) > 0", th=0.6)
+@query("e15_resonance", "memory vector", f"WITH {_vp('nullif(sign(emotional_weight), 0)')} SELECT a, b, round(s, 6) AS similarity FROM vp WHERE ga = gb", th=0.6)
 def resonance(memory: DataFrame, vector: DataFrame, th: float) -> DataFrame:
-    """Similar vectors of records with the same sign of emotional weight."""
-    w = memory.select("id", F.signum("emotional_weight").alias("e"))
-    p = vector_pairs(vector, th).join(w.select(F.col("id").alias("a"), F.col("e").alias("ea")), "a").join(w.select(F.col("id").alias("b"), F.col("e").alias("eb")), "b")
-    return p.where("ea * eb > 0").select("a", "b", r6("s").alias("similarity"))
+    """Similar vectors of records with the same sign of emotional weight; of copies with one sign the first stands for all."""
+    v = vector.select("id", "v").join(memory.select("id", F.nullif(F.signum("emotional_weight"), F.lit(0.0)).alias("g")), "id")
+    return vector_pairs(v, th, "same").select("a", "b", r6("s").alias("similarity"))
 
 
 @query("e16_best_history_link", "memory vector", """
