@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import count, r6, tokens, words
 from mnemolake.operators.components import connected_components
+from mnemolake.operators.sets import classes as set_members
+from mnemolake.operators.sets import set_links, set_pairs, trigram_sets
 from mnemolake.operators.vectors import classes, vector_pairs
 from mnemolake.plans.registry import query
 from mnemolake.plans.storage import materialize
@@ -85,32 +87,29 @@ def dup_jaccard(memory: DataFrame, th: float) -> DataFrame:
     return jaccard_pairs(memory, tokens("content"), th).select("a", "b", r6("similarity").alias("similarity"))
 
 
-def chars3(text: Column) -> Column:
-    """Distinct runs of three characters."""
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+_G3 = "list_sort(list_distinct(list_transform(range(1, length(content) - 1), lambda i: substr(content, i, 3))))"
+_C3 = f"t AS (SELECT id, {_G3} AS s FROM memory WHERE length(content) > 2), k AS (SELECT id, s, min(id) OVER (PARTITION BY s) AS cls FROM t), c AS (SELECT id, s FROM k WHERE id = cls)"
+_S3 = "len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))"
 
 
-def dup_char3(memory: DataFrame, th: float) -> DataFrame:
-    """Pairs of character-trigram classes with Jaccard of at least th. The reference's caps on rows and merges are not kept."""
-    return jaccard_pairs(memory, chars3(F.col("content")), th).select("a", "b", r6("similarity").alias("similarity"))
-
-
-_G3 = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+@query("e5_dup_char3", "memory", f"WITH {_C3}, p AS (SELECT a.id AS a, b.id AS b, {_S3} AS s FROM c a JOIN c b ON a.id < b.id AND least(len(a.s), len(b.s)) > 0.85 * greatest(len(a.s), len(b.s))) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s > 0.85 UNION ALL SELECT cls, id, 1.0 FROM k WHERE id <> cls", th=0.85)
+def dup_char3(memory: DataFrame, th: float = 0.85) -> DataFrame:
+    """Pairs of records whose character trigrams have a Jaccard similarity over th, among all records. Equal sets are linked
+    to the smallest id, which stands for all in the other pairs. The reference's caps on rows and merges are not kept."""
+    s = materialize(trigram_sets(memory), "trigrams")
+    copies = set_members(s).where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return set_pairs(s, th).where(F.col("similarity") > th).select("a", "b", r6("similarity").alias("similarity")).unionByName(copies)
 
 
 @query("e5_link_char3", "memory", f"""
-WITH r AS (SELECT id, author, room, content, row_number() OVER (PARTITION BY author, room ORDER BY created_at, id) AS rn FROM memory), p AS (SELECT a.id AS a, b.id AS b, {_G3.format('a.content')} AS x, {_G3.format('b.content')} AS y FROM r a JOIN r b ON a.author = b.author AND a.room = b.room AND b.rn > a.rn AND b.rn <= a.rn + 3),
-s AS (SELECT a, b, len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) AS s FROM p) SELECT a, b, round(s, 6) AS similarity, CASE WHEN s > 0.85 THEN 'duplicate' ELSE 'related' END AS link FROM s WHERE s > 0.3
+WITH {_C3}, p AS (SELECT a.id AS a, b.id AS b, {_S3} AS s FROM c a JOIN c b ON a.id <> b.id AND least(len(a.s), len(b.s)) > 0.3 * greatest(len(a.s), len(b.s))),
+n AS (SELECT a, count(*) FILTER (s > 0.3 AND s <= 0.85) AS r, count(*) FILTER (s > 0.85) AS d FROM p GROUP BY a) SELECT id, cls, coalesce(r, 0) AS n_related, coalesce(d, 0) AS n_duplicates FROM k LEFT JOIN n ON n.a = k.cls
 """)
-def link_char3(memory: DataFrame, low: float = 0.3, high: float = 0.85, ahead: int = 3) -> DataFrame:
-    """Each record against the next few of its author and room: related or duplicate by character trigrams. Work is linear in the records; dup_char3 compares all."""
-    w = Window.partitionBy("author", "room").orderBy("created_at", "id")
-    m = memory.select("id", "author", "room", "created_at", chars3(F.col("content")).alias("g"))
-    led = m.select(F.col("id").alias("a"), F.col("g").alias("x"), *[F.struct(F.lead("id", k).over(w).alias("b"), F.lead("g", k).over(w).alias("y")).alias(f"n{k}") for k in range(1, ahead + 1)])
-    nexts = led.select("a", "x", F.explode(F.array(*[f"n{k}" for k in range(1, ahead + 1)])).alias("n")).where("n.b IS NOT NULL")
-    both = F.size(F.array_intersect("x", "n.y"))
-    s = nexts.select("a", "n.b", (both / (F.size("x") + F.size("n.y") - both)).alias("s")).where(F.col("s") > low)
-    return s.select("a", "b", r6("s").alias("similarity"), F.when(F.col("s") > high, "duplicate").otherwise("related").alias("link"))
+def link_char3(memory: DataFrame, low: float = 0.3, high: float = 0.85) -> DataFrame:
+    """For every record its class of equal trigram sets, and how many other classes are related to it (over low) or
+    duplicates of it (over high), of all records. Related pairs are a large part of all, so they are counted and not listed."""
+    s = materialize(trigram_sets(memory), "trigrams")
+    return set_members(s).join(set_links(s, low, high).withColumnRenamed("id", "cls"), "cls").select("id", "cls", "n_related", "n_duplicates")
 
 
 def duplicate_groups(memory: DataFrame, th: float = 0.8) -> DataFrame:
