@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import count, hours_old, labels, moment, n, r6, words
+from mnemolake.operators.ordered import within_key
 from mnemolake.plans.registry import query
 from mnemolake.plans.views import AS_OF
 
@@ -241,8 +242,7 @@ UNION ALL SELECT 'room', room, nr, count(*) FROM o WHERE nr IS NOT NULL AND nr <
 """)
 def tag_sequences(memory: DataFrame, least: int = 2) -> DataFrame:
     """Ordered pairs of tags and of rooms in an author's consecutive records."""
-    w = Window.partitionBy("author").orderBy("created_at", "id")
-    o = memory.select("tags", "room", F.lead("tags").over(w).alias("nt"), F.lead("room").over(w).alias("nr"))
+    o = within_key(memory.select("id", "author", "created_at", "tags", "room"), ["author"], ["created_at", "id"], {"nt": ("tags", 1), "nr": ("room", 1)})
     t = o.where("nt IS NOT NULL").select(F.explode("tags").alias("a"), "nt").select("a", F.explode("nt").alias("b"))
     both = t.select(F.lit("tag").alias("kind"), "a", "b").unionByName(o.where("nr IS NOT NULL").select(F.lit("room").alias("kind"), F.col("room").alias("a"), F.col("nr").alias("b")))
     return both.where("a <> b").groupBy("kind", "a", "b").agg(count().alias("n")).where(F.col("n") >= least)

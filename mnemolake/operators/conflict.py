@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import any_of, count, days_old, jaccard, moment, n, r6
 from mnemolake.operators.similarity import keywords
+from mnemolake.operators.ordered import within_key
 from mnemolake.plans.registry import query
 from mnemolake.plans.views import AS_OF
 
@@ -211,16 +212,19 @@ SELECT id, content <> pc AS text_changed, importance <> pi AS importance_changed
 """)
 def compare_versions(memory: DataFrame) -> DataFrame:
     """A record against the one before it in author and room: what changed, overlap of characters, hours between."""
-    w = Window.partitionBy("author", "room").orderBy("created_at", "id")
     chars = F.filter(F.array_distinct(F.split("content", "")), lambda x: x != "")
     v = memory.select("id", F.sha2("content", 256).alias("h"), "importance", "created_at", chars.alias("c"), "author", "room")
-    v = v.select("*", *[F.lag(c).over(w).alias(f"p{c}") for c in ("h", "importance", "created_at", "c")]).where("ph IS NOT NULL")
+    v = within_key(v, ["author", "room"], ["created_at", "id"], {f"p{c}": (c, -1) for c in ("h", "importance", "created_at", "c")}).where("ph IS NOT NULL")
     return v.select("id", (F.col("h") != F.col("ph")).alias("text_changed"), (F.col("importance") != F.col("pimportance")).alias("importance_changed"), r6(jaccard("c", "pc")).alias("similarity"), r6(F.timestamp_diff("SECOND", F.col("pcreated_at"), F.col("created_at")) / 3600.0, 4).alias("hours"))
 
 
 def line_diff(a: str, b: str):
     """Struct of position-wise counts of two texts' lines."""
-    x, y = F.split(a, "\n"), F.split(b, "\n")
+    return lines_differ(F.split(a, "\n"), F.split(b, "\n"))
+
+
+def lines_differ(x, y):
+    """The same of two arrays of lines, or of their hashes."""
     z = F.arrays_zip(x.alias("x"), y.alias("y"))
     zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("added", "removed", "modified", "unchanged")])
 
@@ -241,8 +245,8 @@ SELECT id, added::BIGINT AS added, removed::BIGINT AS removed, (bt - unchanged):
 """)
 def line_diffs(memory: DataFrame) -> DataFrame:
     """Each record's lines against those of the one before it in author and wing."""
-    w = Window.partitionBy("author", "wing").orderBy("created_at", "id")
-    p = memory.select("id", "content", F.lag("content").over(w).alias("before")).where("before IS NOT NULL").select("id", line_diff("before", "content").alias("d"))
+    lines = F.transform(F.split("content", "\n"), lambda t: F.xxhash64(t))  # enough to tell lines apart
+    p = within_key(memory.select("id", "author", "wing", "created_at", lines.alias("lines")), ["author", "wing"], ["created_at", "id"], {"before": ("lines", -1)}).where("before IS NOT NULL").select("id", lines_differ(F.col("before"), F.col("lines")).alias("d"))
     every = F.col("d.added") + F.col("d.removed") + F.col("d.modified") + F.col("d.unchanged")
     return p.select("id", "d.*", r6(F.col("d.unchanged") / every).alias("similarity"))
 

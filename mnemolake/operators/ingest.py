@@ -143,9 +143,9 @@ def exact_duplicate_upsert(memory: DataFrame) -> DataFrame:
 
 
 @query("b5_near_duplicate_upsert", "memory vector", f"""
-WITH {_SPLIT}, p AS (SELECT n.id, o.id AS stored, round(list_cosine_similarity(vn.v::DOUBLE[], vo.v::DOUBLE[]), 9) AS s FROM new n JOIN vector vn ON vn.id = n.id JOIN old o ON o.wing = n.wing JOIN vector vo ON vo.id = o.id WHERE round(list_cosine_similarity(vn.v::DOUBLE[], vo.v::DOUBLE[]), 9) >= 0.6)
+WITH {_SPLIT}, p AS (SELECT n.id, o.id AS stored, round(list_cosine_similarity(vn.v::DOUBLE[], vo.v::DOUBLE[]), 9) AS s FROM new n JOIN vector vn ON vn.id = n.id JOIN old o ON o.wing = n.wing JOIN vector vo ON vo.id = o.id WHERE round(list_cosine_similarity(vn.v::DOUBLE[], vo.v::DOUBLE[]), 9) >= 0.3)
 SELECT id, arg_max(stored, (s, stored)) AS stored, round(max(s), 6) AS similarity FROM p GROUP BY id
-""", th=0.6)
+""", th=0.3)
 def near_duplicate_upsert(memory: DataFrame, vector: DataFrame, th: float = 0.92) -> DataFrame:
     """For each incoming record the most similar stored one of its wing, if similar enough.
 

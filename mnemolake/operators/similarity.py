@@ -67,7 +67,7 @@ def dup_hash(memory: DataFrame) -> DataFrame:
 _NEAR = "round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 9)"
 
 
-@query("e2_dup_vector", "vector", f"WITH c AS (SELECT id, v, min(id) OVER (PARTITION BY v) AS cls FROM vector) SELECT a.id AS a, b.id AS b, round({_NEAR}, 6) AS similarity FROM c a JOIN c b ON a.id < b.id WHERE a.cls = a.id AND b.cls IN (a.id, b.id) AND {_NEAR} >= 0.9", th=0.9)
+@query("e2_dup_vector", "vector", f"WITH c AS (SELECT id, v, min(id) OVER (PARTITION BY v) AS cls FROM vector) SELECT a.id AS a, b.id AS b, round({_NEAR}, 6) AS similarity FROM c a JOIN c b ON a.id < b.id WHERE a.cls = a.id AND b.cls IN (a.id, b.id) AND {_NEAR} >= 0.45", th=0.45)
 def dup_vector(vector: DataFrame, th: float = 0.99) -> DataFrame:
     """Pairs of vectors with cosine of at least th. Copies are linked to the first of them, which stands for all in the other pairs."""
     copies = classes(vector).where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
@@ -87,12 +87,12 @@ def dup_jaccard(memory: DataFrame, th: float) -> DataFrame:
     return jaccard_pairs(memory, tokens("content"), th).select("a", "b", r6("similarity").alias("similarity"))
 
 
-_G3 = "list_sort(list_distinct(list_transform(range(1, length(content) - 1), lambda i: substr(content, i, 3))))"
-_C3 = f"t AS (SELECT id, {_G3} AS s FROM memory WHERE length(content) > 2), k AS (SELECT id, s, min(id) OVER (PARTITION BY s) AS cls FROM t), c AS (SELECT id, s FROM k WHERE id = cls)"
-_S3 = "len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))"
+_C3 = """g AS (SELECT DISTINCT id, substr(content, CAST(i AS INT), 3) AS tri FROM (SELECT id, content, unnest(range(1, length(content) - 1)) AS i FROM memory WHERE length(content) > 2)),
+w AS (SELECT tri, row_number() OVER () AS x FROM (SELECT DISTINCT tri FROM g)), t AS (SELECT id, list_sort(list(CAST(x AS INT))) AS s FROM g JOIN w USING (tri) GROUP BY id), k AS (SELECT id, s, min(id) OVER (PARTITION BY s) AS cls FROM t),
+e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM k WHERE id = cls), p AS (SELECT a.id AS a, b.id AS b, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS s FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND least(a.n, b.n) > {0} * greatest(a.n, b.n) GROUP BY 1, 2)"""
 
 
-@query("e5_dup_char3", "memory", f"WITH {_C3}, p AS (SELECT a.id AS a, b.id AS b, {_S3} AS s FROM c a JOIN c b ON a.id < b.id AND least(len(a.s), len(b.s)) > 0.85 * greatest(len(a.s), len(b.s))) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s > 0.85 UNION ALL SELECT cls, id, 1.0 FROM k WHERE id <> cls", th=0.85)
+@query("e5_dup_char3", "memory", f"WITH {_C3.format(0.85)} SELECT a, b, round(s, 6) AS similarity FROM p WHERE s > 0.85 UNION ALL SELECT cls, id, 1.0 FROM k WHERE id <> cls", th=0.85)
 def dup_char3(memory: DataFrame, th: float = 0.85) -> DataFrame:
     """Pairs of records whose character trigrams have a Jaccard similarity over th, among all records. Equal sets are linked
     to the smallest id, which stands for all in the other pairs. The reference's caps on rows and merges are not kept."""
@@ -102,8 +102,8 @@ def dup_char3(memory: DataFrame, th: float = 0.85) -> DataFrame:
 
 
 @query("e5_link_char3", "memory", f"""
-WITH {_C3}, p AS (SELECT a.id AS a, b.id AS b, {_S3} AS s FROM c a JOIN c b ON a.id <> b.id AND least(len(a.s), len(b.s)) > 0.3 * greatest(len(a.s), len(b.s))),
-n AS (SELECT a, count(*) FILTER (s > 0.3 AND s <= 0.85) AS r, count(*) FILTER (s > 0.85) AS d FROM p GROUP BY a) SELECT id, cls, coalesce(r, 0) AS n_related, coalesce(d, 0) AS n_duplicates FROM k LEFT JOIN n ON n.a = k.cls
+WITH {_C3.format(0.3)}, l AS (SELECT a AS id, s FROM p UNION ALL SELECT b, s FROM p), n AS (SELECT id, count(*) FILTER (s > 0.3 AND s <= 0.85) AS r, count(*) FILTER (s > 0.85) AS d FROM l GROUP BY id)
+SELECT k.id, cls, coalesce(r, 0) AS n_related, coalesce(d, 0) AS n_duplicates FROM k LEFT JOIN n ON n.id = k.cls
 """)
 def link_char3(memory: DataFrame, low: float = 0.3, high: float = 0.85) -> DataFrame:
     """For every record its class of equal trigram sets, and how many other classes are related to it (over low) or
@@ -225,17 +225,17 @@ def cluster_stats(memory: DataFrame) -> DataFrame:
 
 
 def _vp(group: str) -> str:
-    return f"g AS (SELECT v.id, v, {group} AS g FROM vector v JOIN memory m ON m.id = v.id), c AS (SELECT id, v, g FROM g WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g, v ORDER BY id) = 1), vp AS (SELECT a.id AS a, b.id AS b, a.g AS ga, b.g AS gb, {_NEAR} AS s FROM c a JOIN c b ON a.id < b.id WHERE {_NEAR} >= 0.6)"
+    return f"g AS (SELECT v.id, v, {group} AS g FROM vector v JOIN memory m ON m.id = v.id), c AS (SELECT id, v, g FROM g WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g, v ORDER BY id) = 1), vp AS (SELECT a.id AS a, b.id AS b, a.g AS ga, b.g AS gb, {_NEAR} AS s FROM c a JOIN c b ON a.id < b.id WHERE {_NEAR} >= 0.4)"
 
 
-@query("e14_cross_wing_links", "memory vector", f"WITH {_vp('wing')} SELECT a, b, round(s, 6) AS similarity FROM vp WHERE ga <> gb", th=0.6)
+@query("e14_cross_wing_links", "memory vector", f"WITH {_vp('wing')} SELECT a, b, round(s, 6) AS similarity FROM vp WHERE ga <> gb", th=0.4)
 def cross_wing_links(memory: DataFrame, vector: DataFrame, th: float) -> DataFrame:
     """Similar vectors of records in different wings; of a wing's copies the first stands for all."""
     v = vector.select("id", "v").join(memory.select("id", F.col("wing").alias("g")), "id")
     return vector_pairs(v, th, "other").select("a", "b", r6("s").alias("similarity"))
 
 
-@query("e15_resonance", "memory vector", f"WITH {_vp('nullif(sign(emotional_weight), 0)')} SELECT a, b, round(s, 6) AS similarity FROM vp WHERE ga = gb", th=0.6)
+@query("e15_resonance", "memory vector", f"WITH {_vp('nullif(sign(emotional_weight), 0)')} SELECT a, b, round(s, 6) AS similarity FROM vp WHERE ga = gb", th=0.4)
 def resonance(memory: DataFrame, vector: DataFrame, th: float) -> DataFrame:
     """Similar vectors of records with the same sign of emotional weight; of copies with one sign the first stands for all."""
     v = vector.select("id", "v").join(memory.select("id", F.nullif(F.signum("emotional_weight"), F.lit(0.0)).alias("g")), "id")
