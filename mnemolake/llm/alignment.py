@@ -27,7 +27,8 @@ SHARDS = 64
 FAN_IN = 32  # vectors or key lists that one task of a tree sums
 ROUND_BYTES = 96 << 20  # of keys, counts and hash that one broadcast holds
 HELD_PAIRS = 1 << 20  # distinct pairs that a task of the first pass holds before it writes them
-UNIT_BYTES = 2 << 20  # text that is aligned at a time
+UNIT_BYTES = 4 << 20  # text that is aligned at a time
+MEMO = 1 << 18  # pairs whose counts a task of the second pass has at hand
 SMALL = 256  # links of a group that are listed one by one
 
 
@@ -393,6 +394,31 @@ class Counts(NamedTuple):
         return count, best
 
 
+class Memo:
+    """Counts looked up before, in one table where a pair has one place; the rest is looked up, and each takes its place."""
+
+    def __init__(self, counts: Counts):
+        self.counts = counts
+        self.keys, self.there = np.zeros(MEMO, np.uint32), np.zeros(MEMO, bool)
+        self.count, self.best = np.zeros(MEMO, np.int64), np.zeros(MEMO, bool)
+
+    def look_up(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = ((pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - MEMO.bit_length() + 1)).astype(np.int32)
+        count, best = self.count[at], self.best[at]
+        new = np.flatnonzero((self.keys[at] != pairs) | ~self.there[at])
+        if len(new):
+            some = pairs[new]
+            count[new], best[new] = found = self.counts.look_up(some)
+            at = at[new]
+            # Of several pairs that want one place the last one has it, in all four columns.
+            last = np.full(MEMO, -1, np.int32)
+            last[at] = np.arange(len(at), dtype=np.int32)
+            own = last[last >= 0]
+            at = at[own]
+            self.keys[at], self.there[at], self.count[at], self.best[at] = some[own], True, found[0][own], found[1][own]
+        return count, best
+
+
 def highest(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each pair: is its count the highest of its first id?"""
     most = np.zeros(1 << 16, np.int64)
@@ -449,6 +475,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     def second_pass(sent):
         def run(batches):
             aligner = Aligner.of(path_a, path_b)
+            known = Memo(sent.value) if sent is not None else None
             for b in batches:
                 n = b.num_rows
                 sums = np.zeros((6, n), np.int64)  # n_a, n_b, n_groups, n_links, n_best, count_sum
@@ -460,7 +487,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
                         part[row] = np.bincount(t.groups[group], minlength=j - i)
                     part[2] = np.bincount(t.groups, minlength=j - i)
                     for text, pairs, times in links(t):
-                        count, best = sent.value.look_up(pairs) if sent is not None else (np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool))
+                        count, best = known.look_up(pairs) if known is not None else (np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool))
                         for row, x in ((3, times), (4, times * best), (5, times * count)):
                             np.add.at(part[row], text, x)
                     sums[:, i:j] += part

@@ -125,6 +125,9 @@ def test_perfect_hash(n):
     stored[slots] = keys
     counts = al.Counts(made, stored, np.arange(len(keys)) + 1, al.highest(stored, np.arange(len(keys)) + 1))
     assert not counts.look_up(others)[0].any() and (counts.look_up(keys)[0] == slots + 1).all()
+    memo, both = al.Memo(counts), np.concatenate([keys, others, np.zeros(1, np.uint32)])
+    for some in (both[::3], np.repeat(both, 2), both[::-1]):
+        assert all((x == y).all() for x, y in zip(memo.look_up(some), counts.look_up(some), strict=True))
 
 
 def test_rounds_hold_their_bound():
