@@ -64,14 +64,13 @@ def time_slice(memory: DataFrame, start: str, end: str, tags: list[str]) -> Data
     return memory.where(F.col("created_at").between(moment(start), moment(end)) & F.arrays_overlap("tags", F.array(*map(F.lit, tags)))).select("id", "room")
 
 
-_ASKED = "q(qid, text) AS (SELECT concat(session_id, '-', turn), left(text, 60) || CASE turn % 4 WHEN 0 THEN ' 3 days ago' WHEN 1 THEN ' 2024-01-05 summary' WHEN 2 THEN ' yesterday' ELSE '' END FROM message WHERE role = 'user')"
+_ASKED = "q(qid, text) AS (SELECT concat(session_id, '-', turn), text || CASE turn % 4 WHEN 0 THEN ' 3 days ago' WHEN 1 THEN ' 2024-01-05 summary' WHEN 2 THEN ' yesterday' ELSE '' END FROM message WHERE role = 'user')"
 
 
-def questions(message: DataFrame, longest: int | None = None) -> DataFrame:
-    """User turns as queries, whole or their first so many characters, some with a time added."""
-    text = F.col("text") if longest is None else F.left("text", F.lit(longest))
+def questions(message: DataFrame) -> DataFrame:
+    """User turns as queries, some with a time added."""
     tail = F.when(F.col("turn") % 4 == 0, " 3 days ago").when(F.col("turn") % 4 == 1, " 2024-01-05 summary").when(F.col("turn") % 4 == 2, " yesterday").otherwise("")
-    return message.where("role = 'user'").select(F.concat_ws("-", "session_id", "turn").alias("qid"), F.concat(text, tail).alias("text"))
+    return message.where("role = 'user'").select(F.concat_ws("-", "session_id", "turn").alias("qid"), F.concat("text", tail).alias("text"))
 
 
 def mentioned(text, as_of: str = AS_OF):
@@ -84,20 +83,18 @@ def mentioned(text, as_of: str = AS_OF):
 
 @query("c7_mentioned_time", "message", f"""
 WITH {_ASKED} SELECT qid, CAST(CASE WHEN regexp_matches(text, '[0-9]+ days? ago') THEN CAST({{AS_OF}} AS DATE) - CAST(regexp_extract(text, '([0-9]+) days? ago', 1) AS INT) WHEN contains(text, 'yesterday') THEN CAST({{AS_OF}} AS DATE) - 1 WHEN contains(text, 'today') THEN CAST({{AS_OF}} AS DATE) ELSE TRY_CAST(nullif(regexp_extract(text, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') AS DATE) END AS VARCHAR) AS day FROM q
-""", longest=60)
-@query("c7_mentioned_time_whole", "message")
-def mentioned_time(message: DataFrame, as_of: str = AS_OF, longest: int | None = None) -> DataFrame:
+""")
+def mentioned_time(message: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """The date that each question names."""
-    return questions(message, longest).select("qid", mentioned(F.col("text"), as_of).cast("string").alias("day"))
+    return questions(message).select("qid", mentioned(F.col("text"), as_of).cast("string").alias("day"))
 
 
 @query("c8_parse_queries", "message", f"""
 WITH {_ASKED} SELECT qid, CASE WHEN contains(text, 'summary') THEN 'summary' WHEN contains(text, 'ago') OR contains(text, 'yesterday') THEN 'timeline' ELSE 'search' END AS intent, len(list_filter(list_distinct(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+')), lambda x: length(x) >= 4))::BIGINT AS n_keywords FROM q
-""", longest=60)
-@query("c8_parse_queries_whole", "message")
-def parse_queries(message: DataFrame, longest: int | None = None) -> DataFrame:
+""")
+def parse_queries(message: DataFrame) -> DataFrame:
     """Intent and number of keywords of each question."""
-    q = questions(message, longest)
+    q = questions(message)
     intent = F.when(F.contains("text", F.lit("summary")), "summary").when(F.contains("text", F.lit("ago")) | F.contains("text", F.lit("yesterday")), "timeline").otherwise("search")
     return q.select("qid", intent.alias("intent"), F.size(F.filter(F.array_distinct(words("text")), lambda x: F.length(x) >= 4)).cast("long").alias("n_keywords"))
 
@@ -118,24 +115,22 @@ SYNONYMS = [("then", "thus", 1), ("then", "after", 2), ("the", "this", 1), ("que
 
 @query("c10_expand_terms", "message", f"""
 WITH {_ASKED}, s(term, syn, ord) AS (VALUES ('then', 'thus', 1), ('then', 'after', 2), ('the', 'this', 1), ('que', 'what', 1)), w AS (SELECT DISTINCT qid, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+')) AS term FROM q) SELECT qid, w.term, syn FROM w JOIN s ON w.term = s.term WHERE ord <= 3
-""", longest=60)
-@query("c10_expand_terms_whole", "message")
-def expand_terms(message: DataFrame, synonyms=SYNONYMS, most: int = 3, longest: int | None = None) -> DataFrame:
+""")
+def expand_terms(message: DataFrame, synonyms=SYNONYMS, most: int = 3) -> DataFrame:
     """Synonyms of each question's terms, so many for each; the rules are a fixed small table."""
     s = message.sparkSession.createDataFrame([x for x in synonyms if x[2] <= most], "term string, syn string, ord int")
-    return questions(message, longest).select("qid", F.explode(F.array_distinct(words("text"))).alias("term")).join(F.broadcast(s), "term").select("qid", "term", "syn")
+    return questions(message).select("qid", F.explode(F.array_distinct(words("text"))).alias("term")).join(F.broadcast(s), "term").select("qid", "term", "syn")
 
 
 @query("c11_decompose_query", "message", f"""
 WITH {_ASKED}, p AS (SELECT qid, list_slice(CASE WHEN contains(text, '. ') THEN string_split(text, '. ') WHEN contains(text, ', ') THEN string_split(text, ', ') ELSE [text] END, 1, 5) AS parts FROM q) SELECT qid, i::BIGINT AS position, parts[i] AS part FROM (SELECT qid, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)
-""", connectives=[". ", ", "], longest=60)
-@query("c11_decompose_query_whole", "message", connectives=[". ", ", "])
-def decompose_query(message: DataFrame, connectives: list[str], most: int = 5, longest: int | None = None) -> DataFrame:
+""", connectives=[". ", ", "])
+def decompose_query(message: DataFrame, connectives: list[str], most: int = 5) -> DataFrame:
     """Questions cut at the first connective found."""
     parts = F.array("text")
     for c in reversed(connectives):
         parts = F.when(F.contains("text", F.lit(c)), F.split("text", "\\Q" + c + "\\E")).otherwise(parts)
-    return questions(message, longest).select("qid", F.posexplode(F.slice(parts, 1, most)).alias("i", "part")).select("qid", (F.col("i") + 1).cast("long").alias("position"), "part")
+    return questions(message).select("qid", F.posexplode(F.slice(parts, 1, most)).alias("i", "part")).select("qid", (F.col("i") + 1).cast("long").alias("position"), "part")
 
 
 @query("c12_suggest_terms", "memory", """

@@ -199,9 +199,8 @@ def _typed(kind: str):
 
 
 @query("g13_common_predicate_pairs", "relation", """
-WITH d AS (SELECT DISTINCT subject_id, predicate, object_id FROM relation WHERE predicate IN ('related_to', 'depends_on')) SELECT object_id AS target, predicate, count(*) AS subjects, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM d GROUP BY 1, 2
-""", predicates=["related_to", "depends_on"])
-@query("g13_common_predicate_pairs_all", "relation")
+WITH d AS (SELECT DISTINCT subject_id, predicate, object_id FROM relation) SELECT object_id AS target, predicate, count(*) AS subjects, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM d GROUP BY 1, 2
+""")
 def common_predicate_pairs(relation: DataFrame, predicates: list[str] | None = None) -> DataFrame:
     """How many entities share a predicate (any, or one of those given) and target, and how many pairs they make; pairs are counted, not listed."""
     asked = relation if predicates is None else relation.where(F.col("predicate").isin(predicates))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import any_of, best_of, count, hits, n, r6
 from mnemolake.operators.search import token_index
-from mnemolake.operators.similarity import jaccard_pairs
 from mnemolake.operators.vectors import classes, sided, vector_pairs
 from mnemolake.plans.registry import query
 from mnemolake.plans.storage import materialize
@@ -160,40 +159,53 @@ def near_duplicate_upsert(memory: DataFrame, vector: DataFrame, th: float = 0.92
     return of.where("new").join(best, F.col("cls") == F.col("new_cls")).select("id", "stored", "similarity")
 
 
-@query("b6_positional_overlap_dup", "memory", """
-WITH m AS (SELECT id, wing, content, length(content) AS n FROM memory WHERE length(content) BETWEEN 1 AND 60), p AS (SELECT a.id AS a, b.id AS b, a.content AS x, b.content AS y, greatest(a.n, b.n) AS n FROM m a JOIN m b ON a.wing = b.wing AND a.id < b.id AND abs(a.n - b.n) <= 5)
-SELECT a, b, round(len(list_filter(range(1, n + 1), lambda i: substr(x, i, 1) = substr(y, i, 1) AND substr(x, i, 1) <> ''))::DOUBLE / n, 6) AS overlap FROM p WHERE len(list_filter(range(1, n + 1), lambda i: substr(x, i, 1) = substr(y, i, 1) AND substr(x, i, 1) <> ''))::DOUBLE / n > 0.3
-""", longest=60, least=0.3)
-def positional_overlap_dup(memory: DataFrame, longest: int = 100_000, least: float = 0.85, gap: int = 5) -> DataFrame:
-    """Texts of a wing of nearly equal length with equal characters at the same places. The length range is an equi-join on a band and its neighbours."""
-    m = memory.select("wing", "content", F.length("content").alias("n"), "id").where(F.col("n").between(1, longest))
-    band = F.floor(F.col("n") / (gap + 1))
-    a = m.select("wing", F.col("id").alias("a"), F.col("content").alias("x"), F.col("n").alias("na"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    b = m.select("wing", F.col("id").alias("b"), F.col("content").alias("y"), F.col("n").alias("nb"), band.alias("band"))
-    j = a.join(b, ["wing", "band"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= gap))
-    same = F.size(F.filter(F.zip_with(F.split("x", ""), F.split("y", ""), lambda p, q: (p == q) & (p != "")), lambda t: t))
-    return j.withColumn("o", same / F.greatest("na", "nb")).where(F.col("o") > least).select("a", "b", r6("o").alias("overlap"))
-
-
-@query("b6_positional_overlap_dup_all", "memory")
-def positional_overlap_dup_all(memory: DataFrame, least: float = 0.85, gap: int = 5) -> DataFrame:
-    """As above for texts of any length, exact: equal texts of a wing are one class, linked to its smallest id with overlap 1;
-    other pairs are between those ids. Null or empty texts and null wings have none.
-
-    A text is the set of its (wing, place, character): k of them in common, out of sets of m and n, are an overlap of k / max(m, n),
-    which is over `least` only where the Jaccard similarity is over least / (2 - least). Rare places lead to the candidates.
+_SAME = "len(list_filter(range(1, n + 1), lambda i: substr(x, i, 1) = substr(y, i, 1) AND substr(x, i, 1) <> ''))::DOUBLE / n"
+
+
+@query("b6_positional_overlap_dup", "memory", f"""
+WITH k AS (SELECT id, wing, content, length(content) AS n, min(id) OVER (PARTITION BY wing, content) AS cls FROM memory WHERE length(content) > 0 AND wing IS NOT NULL), m AS (SELECT * FROM k WHERE id = cls),
+p AS (SELECT a.id AS a, b.id AS b, a.content AS x, b.content AS y, greatest(a.n, b.n) AS n FROM m a JOIN m b ON a.wing = b.wing AND a.id < b.id AND abs(a.n - b.n) <= 5)
+SELECT a, b, round({_SAME}, 6) AS overlap FROM p WHERE {_SAME} > 0.85 UNION ALL SELECT cls, id, 1.0 FROM k WHERE id <> cls
+""")
+def positional_overlap_dup(memory: DataFrame, least: float = 0.85, gap: int = 5) -> DataFrame:
+    """Texts of a wing of nearly equal length with equal characters at the same places, exact for texts of any length: equal
+    texts of a wing are one class, linked to its smallest id with overlap 1; other pairs are between those ids. Null or
+    empty texts and null wings have none.
+
+    Texts are dealt by bands of lengths. At most d of the places that two texts of a band and the next have may differ, so
+    of 2 (d + 1) equal-width segments at least d + 2 are equal; with segments ordered by rarity two such texts share one
+    of their first ones, and only those are joined. A candidate is checked on the whole texts.
     """
     m = memory.select("id", "wing", "content", F.length("content").alias("n")).where(F.col("wing").isNotNull() & (F.col("n") > 0))
     m = m.withColumn("h", F.sha2("content", 256))
     classes = materialize(m.groupBy("wing", "h").agg(F.min("id").alias("a")), "same-text")
     members = m.join(classes, ["wing", "h"]).where(F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
-    reps = m.join(classes.select(F.col("a").alias("id")), "id", "left_semi")
-    places = F.transform(F.regexp_extract_all("content", F.lit("(?s)."), F.lit(0)), lambda ch, i: F.concat_ws(":", i.cast("string"), ch, "wing"))
-    near = jaccard_pairs(reps, places, least / (2 - least), gap)
-    na, nb = (reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    x = near.join(na, "a").join(nb, "b")
-    same = F.round(F.col("similarity") * (F.col("na") + F.col("nb")) / (1 + F.col("similarity")))
-    return members.unionByName(x.withColumn("o", same / F.greatest("na", "nb")).where(F.col("o") > least).select("a", "b", r6("o").alias("overlap")))
+    reps = m.join(classes.select(F.col("a").alias("id")), "id", "left_semi").drop("h")
+    step = gap + 1
+    low = F.floor(F.col("n") / step)  # own band; a text is also cut as its lower neighbour's band is
+    x = reps.withColumn("band", F.explode(F.array(low, low - 1))).where("band >= 0")
+    shortest = F.greatest(F.col("band") * step, F.lit(1))
+    differ = F.ceil((1 - least) * (F.col("band") * step + 2 * gap) - 1e-9).cast("int") - 1  # fewer than (1 - least) of the longest
+    parts = F.least(2 * (differ + 1), shortest).cast("int")
+    wide = F.floor(shortest / parts).cast("int")
+    pieces = F.regexp_extract_all("content", F.concat(F.lit("(?s).{"), wide.cast("string"), F.lit("}")), F.lit(0))
+    cut = F.transform(F.slice(pieces, F.lit(1), parts), lambda t, i: F.xxhash64(i, t))
+    # Where a text has no more places than may differ, segments decide nothing and its band meets whole.
+    keep = F.greatest(F.lit(0), parts - (parts - differ) + 1).cast("int")
+    x = x.select("id", "wing", "band", "n", keep.alias("keep"), F.when(parts > differ, cut).otherwise(F.array(F.lit(0).cast("long"))).alias("s"))
+    x = materialize(x, "segments")
+    each = x.select("id", "wing", "band", "n", "keep", F.explode("s").alias("seg"))
+    common = each.groupBy("wing", "band", "seg").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(common, ["wing", "band", "seg"]).groupBy("id", "wing", "band", "n", "keep").agg(F.sort_array(F.collect_list(F.struct("df", "seg"))).alias("r"))
+    alone = x.select("id", "band", F.size("s").alias("all"))
+    first = ranked.join(alone, ["id", "band"]).withColumn("r", F.slice("r", F.lit(1), F.greatest(F.lit(0), F.col("keep") - (F.col("all") - F.size("r"))).cast("int")))
+    first = first.select("id", "wing", "band", "n", F.explode("r.seg").alias("seg"))
+    a, b = (first.select("wing", "band", "seg", F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    pairs = a.join(b, ["wing", "band", "seg"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= gap)).select("a", "b").distinct()
+    ta, tb = (reps.select(F.col("id").alias(k), F.col("content").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    same = F.size(F.filter(F.zip_with(F.split("ta", ""), F.split("tb", ""), lambda p, q: (p == q) & (p != "")), lambda t: t))
+    x = pairs.join(ta, "a").join(tb, "b").withColumn("o", same / F.greatest("na", "nb")).where(F.col("o") > least)
+    return members.unionByName(x.select("a", "b", r6("o").alias("overlap")))
 
 
 @query("b7_fuse_on_write", "memory", f"""
@@ -233,13 +245,12 @@ def parse_wikilinks(memory: DataFrame) -> DataFrame:
 
 
 @query("b9_resolve_wikilinks", "memory", """
-WITH l AS (SELECT id, lower(regexp_extract(content, '([A-Za-z]{6,}) ([a-z]+)', 1)) AS target FROM memory WHERE CAST(id AS BIGINT) % 50 = 0), ix AS (SELECT DISTINCT id, tok FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(content), '[\\x{4e00}-\\x{9fff}]+|[a-z0-9_]{2,}'))) AS tok FROM memory))
+WITH l AS (SELECT id, lower(regexp_extract(content, '([A-Za-z]{6,}) ([a-z]+)', 1)) AS target FROM memory), ix AS (SELECT DISTINCT id, tok FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(content), '[\\x{4e00}-\\x{9fff}]+|[a-z0-9_]{2,}'))) AS tok FROM memory))
 SELECT l.id, target, min(ix.id) AS mentions FROM l JOIN ix ON ix.tok = l.target AND ix.id <> l.id GROUP BY 1, 2
-""", every=50)
-@query("b9_resolve_wikilinks_all", "memory")
-def resolve_wikilinks(memory: DataFrame, every: int = 1) -> DataFrame:
-    """For the link target of every (n-th) record, the first other record that holds the word: of each word the two smallest ids are enough."""
-    l = memory.where(F.col("id").cast("long") % every == 0).select(F.col("id").alias("src"), F.lower(F.regexp_extract("content", "([A-Za-z]{6,}) ([a-z]+)", 1)).alias("target")).where("target <> ''")  # noqa: E741
+""")
+def resolve_wikilinks(memory: DataFrame) -> DataFrame:
+    """For the link target of every record, the first other record that holds the word: of each word the two smallest ids are enough."""
+    l = memory.select(F.col("id").alias("src"), F.lower(F.regexp_extract("content", "([A-Za-z]{6,}) ([a-z]+)", 1)).alias("target")).where("target <> ''")  # noqa: E741
     ix = token_index(memory.withColumn("tags", F.array().cast("array<string>"))).join(l.select(F.col("target").alias("tok")).distinct(), "tok", "left_semi")
     first = ix.groupBy("tok").agg(F.min("id").alias("one"))
     second = ix.join(first, "tok").where("id <> one").groupBy("tok").agg(F.min("id").alias("two"))

@@ -108,19 +108,27 @@ def comments(message: DataFrame) -> DataFrame:
 
 @query("h25_comment_threads", "message", """
 WITH RECURSIVE c AS (SELECT concat_ws('-', session_id, turn) AS id, CASE WHEN turn > 0 THEN concat_ws('-', session_id, turn - 1) END AS parent_id FROM message),
-t AS (SELECT id, id AS root, 0 AS depth FROM c WHERE parent_id IS NULL UNION ALL SELECT c.id, t.root, t.depth + 1 FROM c JOIN t ON c.parent_id = t.id WHERE t.depth < 30)
+t AS (SELECT id, id AS root, 0 AS depth FROM c WHERE parent_id IS NULL UNION ALL SELECT c.id, t.root, t.depth + 1 FROM c JOIN t ON c.parent_id = t.id)
 SELECT root, count(*) AS n, max(depth)::BIGINT AS depth FROM t GROUP BY root
 """)
-def comment_threads(message: DataFrame, deepest: int = 30) -> DataFrame:
-    """Per top-level comment, how many it has below (itself included) and how deep they go; one join a level, each level written."""
+def comment_threads(message: DataFrame) -> DataFrame:
+    """Per top-level comment, how many it has below (itself included) and how deep they go.
+
+    Pointers double: after k rounds each comment knows its ancestor 2**k levels up, so rounds follow the logarithm of the
+    depth, and each is a written table. Comments whose parent is missing, or in a circle, belong to no thread."""
     c = materialize(comments(message).select("id", "parent_id"), "comments")
-    level = c.where("parent_id IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    levels = level
-    for k in range(deepest):
-        level = materialize(c.join(level.select(F.col("id").alias("parent_id"), "root"), "parent_id").select("id", "root", F.lit(k + 1).alias("depth")), "level")
-        if level.isEmpty():
+    # up: the ancestor looked at last, null beyond the top; depth: levels from the comment to top, the last one known.
+    now = c.select("id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), F.col("id")).alias("root"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    before = -1
+    while True:
+        left = now.where("root IS NULL").count()
+        if left in (0, before):
             break
-        levels = levels.unionByName(level)
+        before = left
+        ahead = now.select(F.col("id").alias("at"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
+        far = now.where("root IS NULL").join(ahead, F.col("up") == F.col("at")).select("id", F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        now = materialize(now.where("root IS NOT NULL").unionByName(far), "threads")
+    levels = now.where("root IS NOT NULL")
     return levels.groupBy("root").agg(count().alias("n"), F.max("depth").cast("long").alias("depth"))
 
 

@@ -86,11 +86,12 @@ def write_markdown_memories(memory: DataFrame, path: str, style: str = "plain")
     render_markdown(memory, style).select("wing", "text").write.partitionBy("wing").text(path)
 
 
-@query("a4_markdown_round_trip", "memory", "SELECT id, wing, len(regexp_extract_all(content, '\\[\\[')) AS links, length(regexp_replace(content, '\\n+', ' ', 'g'))::BIGINT AS size FROM memory WHERE importance >= 4.5")
-def markdown_round_trip(memory: DataFrame) -> DataFrame:
-    """Important records rendered as Markdown files and read back."""
-    m = memory.where("importance >= 4.5")
-    files = render_markdown(m).select(F.concat_ws("-", "wing", F.pmod(F.xxhash64("id"), F.lit(64))).alias("file"), "wing", "id", "text")
+@query("a4_markdown_round_trip", "memory", "SELECT id, wing, len(regexp_extract_all(content, '\\[\\[')) AS links, length(regexp_replace(content, '\\n+', ' ', 'g'))::BIGINT AS size FROM memory")
+def markdown_round_trip(memory: DataFrame, records: int = 200) -> DataFrame:
+    """All records rendered as Markdown files of about so many, and read back. A wing has as many files as its records need."""
+    files_of = memory.groupBy(F.col("wing").alias("of")).agg(F.ceil(F.count("*") / records).alias("files"))
+    m = render_markdown(memory).join(files_of, F.col("wing") == F.col("of"))
+    files = m.select(F.concat_ws("-", "wing", F.pmod(F.xxhash64("id"), F.col("files"))).alias("file"), "wing", "id", "text")
     texts = files.groupBy("file").agg(F.concat(F.lit("## "), F.min("wing"), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), "\n")).alias("text"))
     back = markdown_records(texts)
     text = F.substring_index("body", "\n", -1)

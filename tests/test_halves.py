@@ -33,10 +33,10 @@ def test_positional_overlap_of_whole_texts(spark, sf):
         n = int(len(long) * cut)
         rows.append((f"z{i}", "w", "\x00" * n + long[n:]))
     df = spark.createDataFrame(rows, "id string, wing string, content string")
-    got = {tuple(r) for r in ingest.positional_overlap_dup_all(df).collect()}
+    got = {tuple(r) for r in ingest.positional_overlap_dup(df).collect()}
     wanted = overlaps_by_hand(rows)
     assert got == wanted and {("x1", "x2", 1.0), ("x9", "y1", 0.9)} <= wanted and any(a == "x1" and b == "z1" for a, b, _ in wanted)
-    assert ingest.positional_overlap_dup_all(df.limit(0)).count() == 0
+    assert ingest.positional_overlap_dup(df.limit(0)).count() == 0
 
 
 def test_noisy_answers(spark, sf):
