@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemolake.functions.columns import cosine
 from mnemolake.operators.vectors import CENTERS, _unit, assign, fit_centers
 from mnemolake.plans.storage import materialize, shared_dir
 
@@ -23,6 +24,7 @@ CODES = 256
 WIDTH = 4  # dimensions of a code
 BLOCK = 32_768  # codes that a task decodes at once
 QUERIES = 1024  # queries that meet them at once
+COPIES = 100  # ids kept of one direction; no search gives more of them
 
 
 class Quantiser(NamedTuple):
@@ -65,13 +67,21 @@ def fit(vectors: DataFrame, cells: int, sample: int = 32_768, steps: int = 6) ->
     return Quantiser(c, books)
 
 
-def build(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """(cell, block, ids, codes) of all vectors with a direction and the quantiser's length, written by cell."""
+def build(vectors: DataFrame, quantiser: Quantiser) -> tuple[DataFrame, DataFrame]:
+    """((cell, block, ids, codes) of all distinct directions of the quantiser's length, written by cell; (first, id): the ids
+    of each direction, up to COPIES, with the smallest, which the index names). So copies don't crowd out other candidates."""
     spark = vectors.sparkSession
     sent = spark.sparkContext.broadcast(quantiser)
     dim = quantiser.centers.shape[1]
     placed = assign(vectors.where(F.size("v") == dim).select("id", F.lit("").alias("g"), "v"), list(quantiser.centers))
 
+    placed = materialize(placed, "directions")
+    rank = F.row_number().over(Window.partitionBy(F.sha2("u", 256)).orderBy("id"))
+    some = placed.select("id", F.sha2("u", 256).alias("h"), rank.alias("at")).where(F.col("at") <= COPIES)
+    first = some.where("at = 1").select("h", F.col("id").alias("first"))
+    members = materialize(some.join(first, "h").select("first", "id"), "members")
+    placed = placed.join(first.select(F.col("first").alias("id")), "id", "left_semi")
+
     def encode(batches):
         q = sent.value
         for b in batches:
@@ -91,10 +101,10 @@ def build(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
     path = f"{shared_dir(spark)}/inverted-{np.random.default_rng().integers(1 << 62):x}"
     made = x.groupBy("cell", "block").applyInArrow(stack, "cell int, block long, ids array<string>, codes binary")
     made.write.partitionBy("cell").parquet(path)
-    return spark.read.schema("block long, ids array<string>, codes binary, cell int").parquet(path)
+    return spark.read.schema("block long, ids array<string>, codes binary, cell int").parquet(path), members
 
 
-def search(index: DataFrame, quantiser: Quantiser, vectors: DataFrame, queries: DataFrame, k: int, probe: int, best: int, least: float) -> DataFrame:
+def search(index: DataFrame, members: DataFrame, quantiser: Quantiser, vectors: DataFrame, queries: DataFrame, k: int, probe: int, best: int, least: float) -> DataFrame:
     """qid, id, s, rk: of every query (qid, qv) the k best of its best candidates by code, scored exactly.
 
     probe: how many cells a query meets. Queries of another length, or without a direction, find nothing.
@@ -139,14 +149,8 @@ def search(index: DataFrame, quantiser: Quantiser, vectors: DataFrame, queries:
     met = there.groupBy("cell", "turn", "block").cogroup(here.groupBy("cell", "turn", "block")).applyInArrow(meet, "qid string, id string, near double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("near"), "id"))
     candidates = met.withColumn("at", rank).where(F.col("at") <= best).select("qid", "id")
-    return exact(candidates, vectors, asked, k, least)
-
-
-def exact(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
-    """qid, id, s, rk of candidates (qid, id) by exact cosine."""
-    from mnemolake.functions.columns import cosine
-
-    x = candidates.join(vectors.select("id", "v"), "id").join(queries.select("qid", "qv"), "qid").select("qid", "id", F.round(cosine("qv", "v"), 9).alias("s")).where(F.col("s") >= least)
+    x = candidates.join(vectors.select("id", "v"), "id").join(asked, "qid").select("qid", F.col("id").alias("first"), F.round(cosine("qv", "v"), 9).alias("s")).where(F.col("s") >= least)
+    x = x.join(members, "first").select("qid", "id", "s")
     return x.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "id"))).where(F.col("rk") <= k)
 
 

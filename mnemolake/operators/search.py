@@ -205,7 +205,7 @@ def vector_topk_approx(vector: DataFrame, ids: list[str] | None = None, k: int =
     if quantiser is None:
         return vector.sparkSession.createDataFrame([], "qid string, id string, score double, rk int")
     many = round(probe * len(quantiser.centers)) if probe < 1 else int(probe)
-    found = ivf.search(ivf.build(vector, quantiser), quantiser, vector, queries, k, many, rerank * k, least)
+    found = ivf.search(*ivf.build(vector, quantiser), quantiser, vector, queries, k, many, rerank * k, least)
     return found.select("qid", "id", r6("s").alias("score"), "rk")
 
 

@@ -41,7 +41,7 @@ def test_clusters_are_found_with_few_cells(spark, monkeypatch):
     u = np.array([r[1] for r in rows if r[0].isdigit() or r[0][0] == "c"])
     names = [r[0] for r in rows if r[0].isdigit() or r[0][0] == "c"]
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    got = vector_topk_approx(df, ids=["1", "7", "8", "50", "n1", "n2", "n3"], k=5, n_cells=20, probe=2, rerank=8).collect()
+    got = vector_topk_approx(df, ids=["1", "7", "8", "50", "n1", "n2", "n3"], k=5, n_cells=20, probe=5, rerank=8).collect()
     hit = 0
     for q in ("1", "7", "8", "50"):
         s = np.round(u @ u[int(q)], 9)
