@@ -27,7 +27,7 @@ SHARDS = 64
 FAN_IN = 32  # vectors or key lists that one task of a tree sums
 ROUND_BYTES = 96 << 20  # of keys, counts and hash that one broadcast holds
 HELD_PAIRS = 1 << 20  # distinct pairs that a task of the first pass holds before it writes them
-UNIT_BYTES = 4 << 20  # text that is aligned at a time
+UNIT_BYTES = 3 << 20  # text that is aligned at a time
 MEMO = 1 << 18  # pairs whose counts a task of the second pass has at hand
 SMALL = 256  # links of a group that are listed one by one
 
