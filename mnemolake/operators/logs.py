@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import secrets
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import count, moment, n, r6, seconds_between
+from mnemolake.operators.privacy import PrivacyLedger, geometric
 from mnemolake.plans.registry import query
-from mnemolake.plans.storage import materialize
+from mnemolake.plans.storage import materialize, shared_dir
 from mnemolake.plans.views import AS_OF
 
 
@@ -240,7 +242,7 @@ def ab_test(access_log: DataFrame, least: int = 30) -> DataFrame:
 def laplace(scale: float, seed: int | None = None):
     """A Laplace deviate by the inverse of its distribution. Without a seed a secret one is drawn, so that nobody can take the noise off."""
     u = F.rand(secrets.randbits(63) if seed is None else seed) - 0.5
-    return -scale * F.signum(u) * F.log(1 - 2 * F.abs(u))
+    return -scale * F.signum(u) * F.log(F.greatest(1 - 2 * F.abs(u), F.lit(2.0**-53)))  # u may be -0.5
 
 
 class PrivacyBudget:
@@ -266,21 +268,24 @@ def _noisy_mean(x: DataFrame, *keep: str) -> DataFrame:
 
 
 @query("h33_dp_histogram", "memory")
-def dp_histogram(memory: DataFrame, budget: PrivacyBudget | None = None, epsilon: float = 0.5, seed: int | None = None) -> DataFrame:
-    """Counts by wing and the mean importance with Laplace noise; a record changes one count by one and the clamped sum by five. A seed is for tests only."""
-    e = (budget or PrivacyBudget(2 * epsilon)).spend(epsilon)
+def dp_histogram(memory: DataFrame, budget: PrivacyBudget | PrivacyLedger | None = None, epsilon: float = 0.5, seed: int | None = None) -> DataFrame:
+    """Counts by wing with geometric noise and the mean importance with Laplace noise; a record changes one count by one and the
+    clamped sum by five. Answers are refused once the budget is spent; callers who share one pass a PrivacyLedger of a common
+    path, without any a new one is made for this answer. A seed is for tests only."""
+    ledger = budget or PrivacyLedger(memory.sparkSession, f"{shared_dir(memory.sparkSession)}/ledger-{uuid.uuid4().hex}", 2 * epsilon)
+    e = ledger.spend(epsilon)
     counts = memory.groupBy("wing").agg(count().alias("k"), F.coalesce(F.sum(_within("importance", 0.0, 5.0)), F.lit(0.0)).alias("s"))
-    noisy = counts.select("wing", (F.col("k") + laplace(1 / (e / 2), seed)).alias("noisy_k"), (F.col("s") + laplace(5 / (e / 2), None if seed is None else seed + 1)).alias("noisy_s"))
+    noisy = counts.select("wing", (F.col("k") + geometric(e / 2, seed)).cast("double").alias("noisy_k"), (F.col("s") + laplace(5 / (e / 2), None if seed is None else seed + 2)).alias("noisy_s"))
     return _noisy_mean(noisy, "wing")
 
 
-def dp_count(rows: DataFrame, budget: PrivacyBudget, epsilon: float, seed: int | None = None) -> DataFrame:
-    """One row, n: the number of rows with Laplace noise, not below 0."""
+def dp_count(rows: DataFrame, budget: PrivacyBudget | PrivacyLedger, epsilon: float, seed: int | None = None) -> DataFrame:
+    """One row, n: the number of rows with geometric noise, not below 0."""
     e = budget.spend(epsilon)
-    return rows.agg(count().alias("k")).select(F.greatest(F.lit(0.0), F.round(F.col("k") + laplace(1 / e, seed))).alias("n"))
+    return rows.agg(count().alias("k")).select(F.greatest(F.lit(0.0), (F.col("k") + geometric(e, seed)).cast("double")).alias("n"))
 
 
-def dp_mean(rows: DataFrame, column: str, low: float, high: float, budget: PrivacyBudget, epsilon: float, seed: int | None = None) -> DataFrame:
+def dp_mean(rows: DataFrame, column: str, low: float, high: float, budget: PrivacyBudget | PrivacyLedger, epsilon: float, seed: int | None = None) -> DataFrame:
     """One row, mean: of the values clamped to low and high, from a noisy sum of their distances from low and a noisy count. Nulls take no part."""
     e = budget.spend(epsilon) / 2
     x = rows.agg(F.count(column).alias("k"), F.coalesce(F.sum(_within(column, low, high) - low), F.lit(0.0)).alias("s"))

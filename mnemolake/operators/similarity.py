@@ -196,28 +196,6 @@ def cluster_keywords(memory: DataFrame, k: int = 20) -> DataFrame:
     return a.groupBy("word").agg(count().alias("n")).where("n >= 2").orderBy(F.desc("n"), "word").limit(k)
 
 
-@query("e12_cluster_hierarchical", "memory", n_clusters=3)
-def cluster_hierarchical(memory: DataFrame, n_clusters: int, per_room: int = 40) -> DataFrame:
-    """Average-link clusters of each room's best results by tag and word overlap; a result set is bounded by per_room."""
-    import numpy as np
-    import pandas as pd
-
-    rn = F.row_number().over(Window.partitionBy("room").orderBy(F.desc("importance"), "id"))
-    best = memory.select("room", "id", F.array_union("tags", tokens("content")).alias("s"), rn.alias("rn")).where(F.col("rn") <= per_room)
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [set(s) for s in pdf["s"]]
-        sim = np.array([[len(a & b) / max(1, len(a | b)) for b in sets] for a in sets])
-        groups = [[i] for i in range(len(sets))]
-        while len(groups) > n_clusters:
-            score, i, j = max((sim[np.ix_(a, b)].mean(), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
-            groups[-i] += groups.pop(-j)
-        number = {i: k for k, g in enumerate(sorted(groups, key=min)) for i in g}
-        return pd.DataFrame({"room": pdf["room"], "id": pdf["id"], "cluster": [number[i] for i in range(len(sets))]})
-
-    return best.orderBy("room", "rn").groupBy("room").applyInPandas(link, "room string, id string, cluster long")
-
-
 @query("e13_cluster_stats", "memory", f"WITH {_KW}, d AS (SELECT word, count(*) AS df FROM kw GROUP BY 1), a AS (SELECT id, arg_max(kw.word, (df, kw.word)) AS word FROM kw JOIN d ON kw.word = d.word GROUP BY id), c AS (SELECT word, count(*) AS n FROM a GROUP BY word HAVING count(*) >= 2 ORDER BY n DESC, word LIMIT 20) SELECT count(*) AS clusters, sum(n)::BIGINT AS records, round(avg(n), 6) AS mean_size, max(n) AS largest, min(n) AS smallest FROM c")
 def cluster_stats(memory: DataFrame) -> DataFrame:
     """Sizes of the keyword clusters."""

@@ -18,6 +18,8 @@ AREAS = [
     "operators.timeline",
     "operators.search",
     "operators.similarity",
+    "operators.causal",
+    "operators.clusters",
     "operators.conflict",
     "operators.graph",
     "operators.knowledge",
