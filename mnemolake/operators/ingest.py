@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from mnemolake.functions.columns import any_of, best_of, count, hits, n, r6
 from mnemolake.operators.search import token_index
 from mnemolake.operators.vectors import classes, sided, vector_pairs
 from mnemolake.plans.registry import query
-from mnemolake.plans.storage import materialize
+from mnemolake.plans.storage import materialize, shared_dir
+from mnemolake.sources.buckets import BucketTable
 
 
 @query("b1_validate", "memory", "SELECT id, round(importance / 5 * 5, 6) AS importance, 1.0::DOUBLE AS confidence, 'active' AS status FROM memory WHERE trim(content) <> '' AND importance / 5 BETWEEN 0.3 AND 1", low=0.3)
@@ -345,15 +348,47 @@ def hash_embed(benchmark: DataFrame) -> DataFrame:
     return trigram_weights(x).select("id", "bucket", r6("weight").alias("weight"))
 
 
-@query("b16_ingest_batch", "memory")
-def ingest_batch(memory: DataFrame) -> DataFrame:
-    """The write path as one plan over an arriving batch: validated, redacted, matched with stored rows by digest, tagged, placed."""
+RECORD = "id string, wing string, room string, importance double, digest string, times long"
+
+
+@query("b16_ingest_batch", "memory vector", near=0.3)
+def ingest_batch(memory: DataFrame, vector: DataFrame, near: float = 0.92) -> DataFrame:
+    """The write path over an arriving batch, every fifth record: one row for each text that arrives, and the table it leaves.
+
+    Texts are validated and redacted (B1, B2), placed in a room (B13), and embedded by their trigrams (B15). Equal texts of a
+    wing arrive once. One that is stored raises the stored record (B4); one that resembles a stored one by its vector is
+    fused with it (B5); the rest are added. Their links are resolved (B9) and contradictions counted (F1). What changes is
+    merged into a table of buckets, of which only the touched ones are rewritten; importance is that of the table after.
+    """
+    from mnemolake.operators.conflict import DATA_OPPOSITES, conflict_pairs
+
+    spark = memory.sparkSession
     old, new = split_batch(memory)
     good = redacted(new.where((F.trim("content") != "") & (F.col("importance") / 5).between(0, 1)), "content", "standard")
-    good = good.withColumn("h", F.sha2("content", 256)).withColumn("room", best_of([(hits(F.lower("content"), ws), name) for name, ws in ROOMS], "general"))
-    stored = old.select(F.sha2("content", 256).alias("h"), "wing").distinct().withColumn("stored", F.lit(True))
-    first = good.groupBy("h", "wing").agg(F.min_by(F.struct("id", "room", "importance", F.size("redactions").alias("redacted")), "id").alias("r"), count().alias("times"))
-    return first.join(stored, ["h", "wing"], "left").select("r.id", "wing", "r.room", "r.importance", "r.redacted", "times", F.when(F.col("stored"), "raise").otherwise("add").alias("action"))
+    good = good.withColumn("digest", F.sha2("content", 256)).withColumn("room", best_of([(hits(F.lower("content"), ws), name) for name, ws in ROOMS], "general"))
+    first = good.groupBy("digest", "wing").agg(F.min_by(F.struct("id", "room", "importance", F.size("redactions").cast("long").alias("redacted")), "id").alias("r"), count().alias("times"))
+    first = materialize(first.select("r.*", "wing", "digest", "times"), "arrived")
+    stored = old.groupBy(F.sha2("content", 256).alias("digest"), "wing").agg(F.min("id").alias("same"))
+    alike = near_duplicate_upsert(memory, vector, near).select("id", F.col("stored").alias("fused"))
+    x = first.join(stored, ["digest", "wing"], "left").join(alike, "id", "left")
+    action = F.when(F.col("same").isNotNull(), "raise").when(F.col("fused").isNotNull(), "fuse").otherwise("add")
+    x = materialize(x.select("id", "wing", "room", "importance", "redacted", "digest", "times", action.alias("action"), F.coalesce("same", "fused", "id").alias("target")), "decided")
+
+    table = BucketTable(spark, f"{shared_dir(spark)}/records-{uuid.uuid4().hex}", RECORD, "id")
+    table.merge(old.select("id", "wing", "room", "importance", F.sha2("content", 256).alias("digest"), F.lit(1).cast("long").alias("times")), 0)
+    more = x.groupBy("target").agg(F.sum("times").alias("more"), F.max("importance").alias("given"), F.min_by(F.struct("wing", "room", "digest"), "id").alias("n"))
+    was = table.read().join(more.select(F.col("target").alias("id")), "id", "left_semi")
+    changed = more.join(was, F.col("target") == F.col("id"), "left")
+    raised = F.when(F.col("id").isNull(), F.col("given")).otherwise(F.least(F.lit(5.0), F.col("importance") + 0.25 * F.col("more")))
+    changed = changed.select(F.col("target").alias("id"), *[F.coalesce(c, f"n.{c}").alias(c) for c in ("wing", "room", "digest")], raised.alias("importance"), (F.coalesce("times", F.lit(0)) + F.col("more")).alias("times"))
+    table.merge(changed, 1)
+
+    embedded = trigram_weights(good.join(first.select("id"), "id", "left_semi").select("id", "content")).groupBy("id").agg(count().alias("dimensions"))
+    links = resolve_wikilinks(memory).groupBy("id").agg(F.min("mentions").alias("mentions"))
+    pairs = conflict_pairs(memory, DATA_OPPOSITES)
+    against = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(count().alias("conflicts"))
+    out = x.join(embedded, "id", "left").join(links, "id", "left").join(against, "id", "left").join(table.read().select(F.col("id").alias("target"), F.col("importance").alias("now"), F.col("times").alias("seen")), "target")
+    return out.select("id", "wing", "room", "action", "target", "redacted", "times", "seen", r6("now").alias("importance"), F.coalesce("dimensions", F.lit(0)).cast("long").alias("dimensions"), "mentions", F.coalesce("conflicts", F.lit(0)).cast("long").alias("conflicts"))
 
 
 @query("b17_sessions_from_bridge", "message", """

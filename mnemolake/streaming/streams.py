@@ -15,6 +15,7 @@ from mnemolake.functions.columns import count, moment, n, r6
 from mnemolake.operators.ingest import message_importance
 from mnemolake.operators.search import token_index
 from mnemolake.plans.registry import query
+from mnemolake.sources.buckets import BucketTable
 from mnemolake.sources.files import scratch
 from mnemolake.streaming.focus import Focus
 
@@ -147,20 +148,13 @@ def focus_buffer(message: DataFrame) -> DataFrame:
 
 @query("l9_stream_changes", "access_log", "SELECT memory_id, arg_max(operation, (ts, event_id)) AS operation, max(event_id) FILTER (ts IS NOT NULL) AS last_event FROM access_log GROUP BY memory_id")
 def stream_changes(access_log: DataFrame) -> DataFrame:
-    """A change feed merged batch by batch, the latest change of a record winning; each batch makes a new version of the table from the one before."""
-    spark, out = access_log.sparkSession, scratch(access_log, "changes")
+    """A change feed merged batch by batch into a table of buckets, the latest change of a record winning: a batch rewrites the
+    buckets it touches only, and one that is repeated changes nothing."""
     schema = "memory_id string, operation string, ts timestamp_ntz, event_id long, last_event long"
+    table = BucketTable(access_log.sparkSession, scratch(access_log, "changes"), schema, "memory_id", ["ts", "event_id"], buckets=16, most=["last_event"])
 
     def act(batch: DataFrame, k: int) -> None:
-        now = batch.select("memory_id", "operation", "ts", "event_id", F.col("event_id").alias("last_event"))
-        if k:
-            now = now.unionByName(spark.read.schema(schema).parquet(f"{out}/v={k - 1}"))
-        latest = now.groupBy("memory_id").agg(F.max_by(F.struct("operation", "ts", "event_id"), F.struct("ts", "event_id")).alias("r"), F.max("last_event").alias("last_event"))
-        latest.select("memory_id", "r.*", "last_event").write.mode("overwrite").parquet(f"{out}/v={k}")
-        act.last = k
-
-    act.last = 0
-    each_batch(as_stream(access_log.repartition(3, "event_id"), 1), act)
-    return spark.read.schema(schema).parquet(f"{out}/v={act.last}").select("memory_id", "operation", "last_event")
-
+        table.merge(batch.select("memory_id", "operation", "ts", "event_id", F.col("event_id").alias("last_event")), k)
 
+    each_batch(as_stream(access_log.repartition(3, "event_id"), 1), act)
+    return table.read().select("memory_id", "operation", "last_event")
