@@ -99,7 +99,12 @@ def parse_queries(message: DataFrame) -> DataFrame:
     return q.select("qid", intent.alias("intent"), F.size(F.filter(F.array_distinct(words("text")), lambda x: F.length(x) >= 4)).cast("long").alias("n_keywords"))
 
 
-@query("c9_run_parsed", "memory message")
+@query("c9_run_parsed", "memory message", f"""
+WITH {_ASKED}, p AS (SELECT qid, CASE WHEN contains(text, 'summary') THEN 'summary' WHEN contains(text, 'ago') OR contains(text, 'yesterday') THEN 'timeline' ELSE 'search' END AS intent,
+  CAST(CASE WHEN regexp_matches(text, '[0-9]+ days? ago') THEN CAST({{AS_OF}} AS DATE) - CAST(regexp_extract(text, '([0-9]+) days? ago', 1) AS INT) WHEN contains(text, 'yesterday') THEN CAST({{AS_OF}} AS DATE) - 1 WHEN contains(text, 'today') THEN CAST({{AS_OF}} AS DATE) ELSE TRY_CAST(nullif(regexp_extract(text, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') AS DATE) END AS VARCHAR) AS day,
+  len(list_filter(list_distinct(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+')), lambda x: length(x) >= 4))::BIGINT AS k FROM q), d AS (SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS n FROM memory GROUP BY 1)
+SELECT qid, intent, p.day, CASE intent WHEN 'timeline' THEN coalesce(n, 0) WHEN 'summary' THEN (SELECT count(*) FROM memory) ELSE k END AS n FROM p LEFT JOIN d ON d.day = p.day
+""")
 def run_parsed(memory: DataFrame, message: DataFrame) -> DataFrame:
     """What each intent returns: counts for summaries, a day's records for timelines, nothing to rank for the rest."""
     parsed = parse_queries(message).join(mentioned_time(message), "qid")

@@ -119,7 +119,10 @@ def duplicate_groups(memory: DataFrame, th: float = 0.8) -> DataFrame:
     return cls.join(comp, F.col("cls") == F.col("node"), "left").select("id", F.coalesce("component", "cls").alias("component"))
 
 
-@query("e4_dup_words_greedy", "memory", th=0.85)
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(content), '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))"
+
+
+@query("e4_dup_words_greedy", "memory", f"WITH RECURSIVE {_SETS.format(_WORDS)}, p AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id <> b.id AND least(len(a.s), len(b.s)) >= 0.85 * greatest(len(a.s), len(b.s)) WHERE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.85), w AS (SELECT id AS node, id AS root FROM c UNION SELECT p.b, w.root FROM w JOIN p ON p.a = w.node), k AS (SELECT node, min(root) AS leader FROM w GROUP BY node) SELECT leader, count(*) AS n FROM ts t JOIN c ON c.s = t.s JOIN k ON k.node = c.id GROUP BY leader HAVING count(*) > 1", th=0.85)
 def dup_words(memory: DataFrame, th: float) -> DataFrame:
     """Groups by white-space words; the order-bound greedy leader is replaced by connected components."""
     cls = materialize(set_classes(memory, F.array_distinct(words("content"))), "classes")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import count, moment, n, r6
-from mnemolake.operators.ingest import message_importance
+from mnemolake.operators.ingest import _MI, message_importance
 from mnemolake.operators.search import token_index
 from mnemolake.plans.registry import query
 from mnemolake.sources.buckets import BucketTable
@@ -47,7 +47,7 @@ def ingested(messages: DataFrame, least: float = 0.4) -> DataFrame:
     return messages.withColumn("importance", r6(message_importance("text", "role"))).where(F.col("importance") >= least).select("session_id", "turn", "role", F.md5("text").alias("key"), "importance")
 
 
-@query("l1_stream_ingest", "message")
+@query("l1_stream_ingest", "message", f"SELECT session_id, turn, role, md5(text) AS key, round(({_MI})::DOUBLE, 6) AS importance FROM message WHERE round(({_MI})::DOUBLE, 6) >= 0.4")
 def stream_ingest(message: DataFrame) -> DataFrame:
     """New message files ingested once; the source log is the ledger."""
     return to_end(ingested(as_stream(message)))
