@@ -9,6 +9,7 @@ from mnemolake.functions.columns import any_of, count, days_old, jaccard, moment
 from mnemolake.operators.similarity import keywords
 from mnemolake.operators.ordered import within_key
 from mnemolake.plans.registry import query
+from mnemolake.plans.storage import materialize
 from mnemolake.plans.views import AS_OF
 
 # Words that claim and words that deny, pair by pair.
@@ -71,19 +72,31 @@ def conflict_pairs(memory: DataFrame, opposites=OPPOSITES) -> DataFrame:
 
 
 @query("f2_agent_conflicts", "memory", f"""
-WITH {_masks_sql()}, d AS (SELECT *, CAST(created_at AS DATE) AS day FROM m WHERE pos <> 0 OR neg <> 0)
-SELECT a.id AS a, b.id AS b, round(least(1.0, 0.4 * (bit_count(a.pos & b.neg) + bit_count(a.neg & b.pos)) + 0.2 * len(list_intersect(a.tags, b.tags))::DOUBLE / len(list_distinct(list_concat(a.tags, b.tags)))), 6) AS confidence
-FROM d a JOIN d b ON a.room = b.room AND a.day = b.day AND a.id < b.id AND a.author <> b.author WHERE ((a.pos & b.neg) | (a.neg & b.pos)) <> 0
+WITH {_masks_sql()}, k AS (SELECT author, list_sort(list_distinct(tags)) AS s, pos, neg, min(id) AS id, count(*) AS n FROM m WHERE pos <> 0 OR neg <> 0 GROUP BY 1, 2, 3, 4)
+SELECT a.id AS a, b.id AS b, round(least(1.0, 0.4 * (bit_count(a.pos & b.neg) + bit_count(a.neg & b.pos)) + 0.2 * len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s)))), 6) AS confidence, a.n * b.n AS pairs
+FROM k a JOIN k b ON a.id < b.id AND a.author <> b.author WHERE ((a.pos & b.neg) | (a.neg & b.pos)) <> 0
 """, opposites=DATA_OPPOSITES)
 def agent_conflicts(memory: DataFrame, opposites=OPPOSITES) -> DataFrame:
-    """Opposite claims of different authors in one room on one day; .4 for each pair of lists hit and .2 of tag overlap."""
+    """Opposite claims of different authors among all records; .4 for each pair of lists hit and .2 of tag overlap.
+
+    Records of one author with equal tags and claims are one class, named by its smallest id; a row stands for so many pairs
+    of records. Classes meet by the list that one claims and the other denies. Records without an author take no part.
+    """
     pos, neg = polarity(opposites)
-    m = memory.select("id", "room", "author", "tags", F.to_date("created_at").alias("day"), pos.alias("pos"), neg.alias("neg")).where("pos <> 0 OR neg <> 0")
-    a, b = (m.select("room", "day", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "author", "tags", "pos", "neg")]) for k in "ab")
-    x = F.col("pos_a").bitwiseAND(F.col("neg_b"))
-    y = F.col("neg_a").bitwiseAND(F.col("pos_b"))
-    j = a.join(b, ["room", "day"]).where((F.col("id_a") < F.col("id_b")) & (F.col("author_a") != F.col("author_b")) & (x.bitwiseOR(y) != 0))
-    return j.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), r6(F.least(F.lit(1.0), 0.4 * (F.bit_count(x) + F.bit_count(y)) + 0.2 * jaccard("tags_a", "tags_b"))).alias("confidence"))
+    m = memory.where("author IS NOT NULL").select("id", "author", F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias("s"), pos.alias("pos"), neg.alias("neg")).where("pos <> 0 OR neg <> 0")
+    k = materialize(m.groupBy("author", "s", "pos", "neg").agg(F.min("id").alias("id"), count().alias("n")), "claims")
+    lists = F.sequence(F.lit(0), F.lit(len(opposites) - 1))
+
+    def hit(mask: str):
+        return F.explode(F.filter(lists, lambda i: F.col(mask).cast("long").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0)).alias("list")
+
+    claims, denials = k.select(F.col("id").alias("x"), "author", hit("pos")), k.select(F.col("id").alias("y"), F.col("author").alias("other"), hit("neg"))
+    met = claims.join(denials, "list").where("author <> other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    one, two = (k.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "s", "pos", "neg", "n")]) for side in "ab")
+    j = met.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
+    x, y = F.col("pos_a").bitwiseAND(F.col("neg_b")), F.col("neg_a").bitwiseAND(F.col("pos_b"))
+    overlap = F.when((F.size("s_a") > 0) | (F.size("s_b") > 0), jaccard("s_a", "s_b")).otherwise(0.0)
+    return j.select("a", "b", r6(F.least(F.lit(1.0), 0.4 * (F.bit_count(x) + F.bit_count(y)) + 0.2 * overlap)).alias("confidence"), (F.col("n_a") * F.col("n_b")).alias("pairs"))
 
 
 @query("f3_resolve", "memory", """
