@@ -34,15 +34,36 @@ def hot_words(memory: DataFrame, most: int = 200) -> DataFrame:
     return token_index(memory).groupBy("tok").agg(count().alias("df")).orderBy(F.desc("df"), "tok").limit(most)
 
 
+def facets(memory: DataFrame, wing: str | None = None, room: str | None = None, author: str | None = None, least: float = 0.0) -> DataFrame:
+    """The records of a wing, room and author, from an importance on: filters that reach the scan."""
+    out = memory.where(F.col("importance") >= least) if least > 0 else memory
+    for column, value in (("wing", wing), ("room", room), ("author", author)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    return out
+
+
 def top(df: DataFrame, score: str, k: int, *by: str) -> DataFrame:
     rk = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), "id"))
     return df.withColumn("rk", rk.cast("long")).where(F.col("rk") <= k)
 
 
-def fts(memory: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, id, s, rk: number of query tokens that the record holds. The query side is the caller's stated list."""
+def matches(memory: DataFrame, queries: DataFrame, *carried: str) -> DataFrame:
+    """qid, id, tok and the carried columns: the query tokens that each record holds.
+
+    Tokens that nobody asked for are dropped inside their row, so what is exploded follows the hits and not the texts.
+    The query side is the caller's stated list and is broadcast.
+    """
     qt = queries.select("qid", F.explode(tokens("text")).alias("tok"))
-    return top(token_index(memory).join(qt, "tok").groupBy("qid", "id").agg(count().alias("s")), "s", k, "qid")
+    asked = qt.agg(F.collect_set("tok").alias("asked"))  # one row
+    both = F.array_union(tokens("content"), F.transform("tags", lambda t: F.lower(t)))
+    held = memory.select("id", *carried, both.alias("held")).crossJoin(F.broadcast(asked))
+    return held.select("id", *carried, F.explode(F.array_intersect("held", "asked")).alias("tok")).join(F.broadcast(qt), "tok")
+
+
+def fts(memory: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """qid, id, s, rk: number of query tokens that the record holds."""
+    return top(matches(memory, queries).groupBy("qid", "id").agg(count().alias("s")), "s", k, "qid")
 
 
 @query("d2_fts_search", "memory", f"""
@@ -260,18 +281,60 @@ def hybrid_search(memory: DataFrame, vector: DataFrame, queries: list[tuple[str,
     return top(fused, "s", k, "qid").select("qid", "id", r6("score", 8).alias("score"), "rk")
 
 
+_BOOST = "0.15 * exp(-0.1 * (date_diff('second', created_at, {AS_OF}) / 3600.0) / 24) + 0.05 * importance / 5 + least(0.09, 0.03 * len(tags))"
+
+
+def boost(as_of: str = AS_OF) -> Column:
+    """What retention, importance and tags add to a fused score."""
+    return 0.15 * F.exp(-0.1 * hours_old("created_at", as_of) / 24) + 0.05 * F.col("importance") / 5 + F.least(F.lit(0.09), 0.03 * F.size("tags"))
+
+
+def substring_hits(memory: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """qid, id, s, rk: .8 where the text holds the whole query, and .2 for each tag that does."""
+    low = queries.select("qid", F.lower("text").alias("low"))
+    x = memory.select("id", F.lower("content").alias("c"), "tags").crossJoin(F.broadcast(low))  # a stated query list against all rows
+    in_tags = F.size(F.filter("tags", lambda t: F.contains(F.lower(t), F.col("low"))))
+    s = F.when(F.contains("c", F.col("low")), 0.8).otherwise(0.0) + 0.2 * F.greatest(in_tags, F.lit(0))
+    return top(x.select("qid", "id", F.round(s, 9).alias("s")).where("s > 0"), "s", k, "qid")
+
+
 @query("d10_recall", "memory vector", f"""
-WITH {_HYBRID}, b AS (SELECT *, score + 0.15 * exp(-0.1 * (date_diff('second', created_at, {{AS_OF}}) / 3600.0) / 24) + 0.05 * importance / 5 + least(0.09, 0.03 * len(tags)) AS boosted FROM h)
+WITH {_HYBRID}, b AS (SELECT *, score + {_BOOST} AS boosted FROM h)
 SELECT qid, id, round(score, 8) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(boosted::DOUBLE, 9) DESC, id) AS rk FROM b
 """)
 def recall(memory: DataFrame, vector: DataFrame, queries: list[tuple[str, str]] = QUERIES, k: int = 10, as_of: str = AS_OF) -> DataFrame:
     """Fused ranking reordered by retention, importance and tags; the score returned is the fused one."""
     fused = rrf(_channels(memory, vector, queries, k)).join(memory.select("id", "importance", "tags", "created_at"), "id")
-    boosted = F.col("score") + 0.15 * F.exp(-0.1 * hours_old("created_at", as_of) / 24) + 0.05 * F.col("importance") / 5 + F.least(F.lit(0.09), 0.03 * F.size("tags"))
-    x = fused.withColumn("b", F.round(boosted, 9))
+    x = fused.withColumn("b", F.round(F.col("score") + boost(as_of), 9))
     return x.select("qid", "id", r6("score", 8).alias("score"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("b"), "id")).cast("long").alias("rk"))
 
 
+PARTIAL = [("p1", "thened heention"), ("p2", "HENED"), ("p3", "rc1"), ("p4", "zzzz nothing"), ("p5", "en in"), ("p6", "an t")]
+_PARTIAL = "q(qid, text) AS (VALUES ('p1', 'thened heention'), ('p2', 'HENED'), ('p3', 'rc1'), ('p4', 'zzzz nothing'), ('p5', 'en in'), ('p6', 'an t'))"
+
+
+@query("d10_recall_fallback", "memory", f"""
+WITH {_FTS.replace(_Q, _PARTIAL)}, h AS (SELECT fts.qid, fts.id, (1.0 / (60 + rk))::DOUBLE AS score, created_at, importance, tags FROM fts JOIN memory m ON m.id = fts.id WHERE importance >= 1.5),
+b AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round((score + {_BOOST})::DOUBLE, 9) DESC, id) AS rk FROM h),
+s AS (SELECT qid, id, CASE WHEN contains(lower(content), lower(text)) THEN 0.8 ELSE 0 END + 0.2 * len(list_filter(tags, lambda t: contains(lower(t), lower(text)))) AS s FROM (SELECT * FROM q WHERE qid NOT IN (SELECT qid FROM fts)), (SELECT * FROM memory WHERE importance >= 1.5))
+SELECT qid, id, round(score, 8) AS score, rk, 'tokens' AS found_by FROM b
+UNION ALL SELECT qid, id, round(s::DOUBLE, 8), rk, 'substring' FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rk FROM s WHERE s > 0) WHERE rk <= 10
+""".replace("FROM memory UNION ALL", "FROM memory WHERE importance >= 1.5 UNION ALL").replace("lower(unnest(tags)) FROM memory)", "lower(unnest(tags)) FROM memory WHERE importance >= 1.5)"), queries=PARTIAL, least=1.5)
+def recall_or_substring(memory: DataFrame, queries: list[tuple[str, str]], k: int = 10, wing: str | None = None, room: str | None = None, author: str | None = None, least: float = 0.0, as_of: str = AS_OF) -> DataFrame:
+    """Records by tokens in the boosted order of `recall`; a query that no token hits is looked for as a substring of texts and tags.
+
+    Facets are filters below both ways. A query that neither way finds has no rows.
+    """
+    kept = facets(memory, wing, room, author, least)
+    asked = query_table(memory, queries)
+    found = fts(kept, asked, k).select("qid", "id", (1.0 / (60 + F.col("rk"))).alias("score"))
+    by_token = found.join(kept.select("id", "importance", "tags", "created_at"), "id").withColumn("b", F.round(F.col("score") + boost(as_of), 9))
+    by_token = top(by_token, "b", k, "qid").select("qid", "id", r6("score", 8).alias("score"), "rk", F.lit("tokens").alias("found_by"))
+    missed = asked.join(F.broadcast(by_token.select("qid").distinct()), "qid", "left_anti")
+    by_part = substring_hits(kept, missed, k).select("qid", "id", r6("s", 8).alias("score"), "rk", F.lit("substring").alias("found_by"))
+    return by_token.unionByName(by_part)
+
+
 def recency_step(ts: str, as_of: str) -> Column:
     d = days_old(ts, as_of)
     return F.when(d <= 1, 1.0).when(d <= 7, 0.8).when(d <= 30, 0.5).otherwise(0.2)
