@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.functions.columns import cosine, count, days_old, estimate_tokens, hours_old, occurrences, r6, tokens
+from mnemolake.functions.columns import cosine, count, days_old, estimate_tokens, hours_old, occurrences, r6, tokens, words
 from mnemolake.plans.registry import query
 from mnemolake.plans.views import AS_OF
 
@@ -340,6 +340,14 @@ def recency_step(ts: str, as_of: str) -> Column:
     return F.when(d <= 1, 1.0).when(d <= 7, 0.8).when(d <= 30, 0.5).otherwise(0.2)
 
 
+def rerank_score(as_of: str = AS_OF) -> Column:
+    """Over columns score (fused), text (the query), content, created_at and importance."""
+    asked = F.array_distinct(F.split("text", " "))
+    ctx = F.size(F.filter(asked, lambda w: F.contains(F.lower("content"), w))) / F.size(asked)
+    quality = F.when(F.length("content") > 200, 1.0).when(F.length("content") > 50, 0.7).otherwise(0.4)
+    return 0.35 * F.least(F.lit(1.0), F.col("score") * 60) + 0.25 * ctx + 0.15 * recency_step("created_at", as_of) + 0.15 * (F.col("importance") / 5) + 0.1 * quality
+
+
 @query("d11_rerank", "memory vector", f"""
 WITH {_HYBRID}, x AS (SELECT h.qid, id, least(1.0, score * 60) AS rel, len(list_filter(list_distinct(string_split(q.text, ' ')), lambda w: contains(lower(content), w)))::DOUBLE / len(list_distinct(string_split(q.text, ' '))) AS ctx,
   CASE WHEN d <= 1 THEN 1.0 WHEN d <= 7 THEN 0.8 WHEN d <= 30 THEN 0.5 ELSE 0.2 END AS rec, importance / 5 AS imp, CASE WHEN length(content) > 200 THEN 1.0 WHEN length(content) > 50 THEN 0.7 ELSE 0.4 END AS qual FROM (SELECT *, date_diff('second', created_at, {{AS_OF}}) / 86400.0 AS d FROM h) h JOIN q ON q.qid = h.qid)
@@ -348,11 +356,143 @@ SELECT qid, id, round((0.35 * rel + 0.25 * ctx + 0.15 * rec + 0.15 * imp + 0.1 *
 def rerank(memory: DataFrame, vector: DataFrame, queries: list[tuple[str, str]] = QUERIES, k: int = 10, as_of: str = AS_OF) -> DataFrame:
     """.35 fused rank + .25 query words present + .15 recency + .15 importance + .1 quality."""
     fused = rrf(_channels(memory, vector, queries, k)).join(memory, "id").join(F.broadcast(query_table(memory, queries)), "qid")
-    asked = F.array_distinct(F.split("text", " "))
-    ctx = F.size(F.filter(asked, lambda w: F.contains(F.lower("content"), w))) / F.size(asked)
-    quality = F.when(F.length("content") > 200, 1.0).when(F.length("content") > 50, 0.7).otherwise(0.4)
-    score = 0.35 * F.least(F.lit(1.0), F.col("score") * 60) + 0.25 * ctx + 0.15 * recency_step("created_at", as_of) + 0.15 * (F.col("importance") / 5) + 0.1 * quality
-    return fused.select("qid", "id", r6(score).alias("score"))
+    return fused.select("qid", "id", r6(rerank_score(as_of)).alias("score"))
+
+
+def graph_channel(entity: DataFrame, relation: DataFrame, memory: DataFrame, queries: DataFrame, k: int, most: int = 5) -> DataFrame:
+    """qid, id, s, rk: records that relations of the entities named in a query lead to, by confidence.
+
+    An entity counts if its name holds a query word of two characters or more; the first `most` by id are followed, so
+    what is broadcast has at most that many rows for each query.
+    """
+    asked = queries.select("qid", F.explode(F.filter(words("text"), lambda w: F.length(w) >= 2)).alias("w"))
+    named = entity.select(F.col("id").alias("e"), F.lower("name").alias("name")).join(F.broadcast(asked), F.contains("name", F.col("w"))).select("qid", "e").distinct()
+    first = named.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("e"))).where(F.col("rn") <= most).select("qid", "e")
+    led = relation.select(F.col("subject_id").alias("e"), F.col("object_id").alias("id"), "confidence").join(F.broadcast(first), "e")
+    return top(led.join(memory.select("id"), "id", "left_semi").groupBy("qid", "id").agg(F.max("confidence").alias("s")), "s", k, "qid")
+
+
+def tag_relations(memory: DataFrame) -> DataFrame:
+    """Each tag leads to the records that carry it, with their importance as confidence."""
+    return memory.select("id", "importance", F.explode("tags").alias("tag")).select(F.concat(F.lit("tag:"), "tag").alias("subject_id"), F.lit("tags").alias("predicate"), F.col("id").alias("object_id"), (F.col("importance") / 5).alias("confidence"))
+
+
+def tag_entities(memory: DataFrame) -> DataFrame:
+    tag = memory.select(F.explode("tags").alias("name")).distinct()
+    return tag.select(F.concat(F.lit("tag:"), "name").alias("id"), "name", F.lit("tag").alias("type"))
+
+
+#: Words that no explanation names as a keyword.
+STOPWORDS = ["the", "a", "an", "of", "in", "on", "to", "and", "or", "is", "are", "的", "了", "是", "在"]
+
+
+def reasons(as_of: str = AS_OF) -> tuple[Column, Column, Column]:
+    """Match type, reasons and confidence of a result with columns text, keywords, content, tags, created_at and the channel ranks."""
+    low = F.lower("content")
+    matched = F.filter("keywords", lambda w: F.contains(low, w))
+    tags = F.filter("tags", lambda t: F.contains(F.lower("text"), F.lower(t)))
+    named = F.array_join(F.slice(matched, 1, 5), ", ")
+    ranks = F.array_join(F.filter(F.array(
+        F.when(F.col("text_rank") <= 3, F.concat(F.lit("text rank "), F.col("text_rank").cast("string"))),
+        F.when(F.col("vector_rank") <= 3, F.concat(F.lit("vector rank "), F.col("vector_rank").cast("string"))),
+        F.when(F.col("graph_rank").isNotNull(), "graph"),
+    ), lambda x: x.isNotNull()), ", ")
+    age = days_old("created_at", as_of)
+    why = F.filter(F.array(
+        F.when(F.size(matched) > 0, F.concat(F.when(F.size(matched) == F.size("keywords"), "all words: ").otherwise("words: "), named)),
+        F.when(F.size(tags) > 0, F.concat(F.lit("tags: "), F.array_join(F.slice(tags, 1, 3), ", "))),
+        F.when(ranks != "", ranks),
+        F.when(age < 1, "today").when(age < 7, F.concat(F.floor(age).cast("string"), F.lit(" days ago"))).when(age < 30, "this month"),
+    ), lambda x: x.isNotNull())
+    kind = F.when(F.size(matched) > 0, "keyword").when(F.size(tags) > 0, "tag").otherwise("semantic")
+    return kind, F.array_join(why, "; "), F.least(F.lit(1.0), 0.25 * F.size(why))
+
+
+def keywords_of(text: str) -> Column:
+    """Sorted words of a query: two characters or more and no stop word, and runs of CJK or of three word characters."""
+    low = F.lower(text)
+    plain = F.filter(words(text), lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS))
+    runs = F.regexp_extract_all(low, F.lit("[\\u4e00-\\u9fff]{2,}|[a-z0-9_]{3,}"), F.lit(0))
+    return F.array_sort(F.array_union(plain, runs))
+
+
+ASKED = [("h1", "thened heention src3", "0"), ("h2", "inthat anthe", None), ("h3", "src1 the eronthwh", "7"), ("h4", "zzzz nothing", None), ("h5", "zzzz qqqq", "42")]
+_ASKED = """q(qid, text, vec) AS (VALUES ('h1', 'thened heention src3', '0'), ('h2', 'inthat anthe', NULL), ('h3', 'src1 the eronthwh', '7'), ('h4', 'zzzz nothing', NULL), ('h5', 'zzzz qqqq', '42'))"""
+_WHOLE = (
+    "m AS (SELECT * FROM memory WHERE importance >= 1.2), "
+    + _FTS.replace(_Q, _ASKED).replace("FROM memory", "FROM m").replace("rk <= 10", "rk <= 50")
+    + """, vs AS (SELECT q.qid, v.id, round(list_cosine_similarity(a.v::DOUBLE[], v.v::DOUBLE[]), 9) AS s FROM q JOIN vector a ON a.id = q.vec, (SELECT * FROM vector WHERE id IN (SELECT id FROM m)) v),
+vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rk FROM vs WHERE s >= 0.2) WHERE rk <= 50),
+tg AS (SELECT DISTINCT 'tag:' || t AS e, t FROM (SELECT unnest(tags) AS t FROM m)), qw AS (SELECT qid, unnest(regexp_split_to_array(lower(text), '[ ]+')) AS w FROM q),
+te AS (SELECT qid, e FROM (SELECT qid, e, row_number() OVER (PARTITION BY qid ORDER BY e) AS rn FROM (SELECT DISTINCT qid, e FROM tg, qw WHERE length(w) >= 2 AND contains(lower(t), w))) WHERE rn <= 5),
+gs AS (SELECT qid, id, max(importance / 5) AS s FROM te JOIN (SELECT id, importance, 'tag:' || unnest(tags) AS e FROM m) USING (e) GROUP BY 1, 2),
+gt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rk FROM gs) WHERE rk <= 50),
+ch AS (SELECT qid, id, rk, 1.0 AS w, 't' AS c FROM fts UNION ALL SELECT qid, id, rk, 1.0, 'v' FROM vt UNION ALL SELECT qid, id, rk, 0.5, 'g' FROM gt),
+fu AS (SELECT qid, id, sum(w / (60 + rk))::DOUBLE AS score, max(CASE c WHEN 't' THEN rk END) AS text_rank, max(CASE c WHEN 'v' THEN rk END) AS vector_rank, max(CASE c WHEN 'g' THEN rk END) AS graph_rank FROM ch GROUP BY 1, 2),
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rn FROM fu) WHERE rn <= 10),
+xx AS (SELECT be.*, q.text, content, tags, importance, date_diff('second', created_at, {AS_OF}) / 86400.0 AS d, lower(content) AS low, string_split(q.text, ' ') AS ws,
+  list_sort(list_distinct(list_filter(string_split(lower(q.text), ' '), lambda w: length(w) >= 2 AND w <> 'the') || regexp_extract_all(lower(q.text), '[a-z0-9_]{3,}'))) AS kw FROM be JOIN m ON m.id = be.id JOIN q ON q.qid = be.qid),
+yy AS (SELECT *, list_filter(kw, lambda w: contains(low, w)) AS mt, list_filter(tags, lambda t: contains(lower(text), lower(t))) AS tt, 0.35 * least(1.0, score * 60) + 0.25 * len(list_filter(ws, lambda w: contains(low, w)))::DOUBLE / len(ws)
+  + 0.15 * CASE WHEN d <= 1 THEN 1.0 WHEN d <= 7 THEN 0.8 WHEN d <= 30 THEN 0.5 ELSE 0.2 END + 0.15 * (importance / 5) + 0.1 * CASE WHEN length(content) > 200 THEN 1.0 WHEN length(content) > 50 THEN 0.7 ELSE 0.4 END AS final FROM xx),
+zz AS (SELECT *, list_filter([CASE WHEN len(mt) > 0 THEN CASE WHEN len(mt) = len(kw) THEN 'all words: ' ELSE 'words: ' END || array_to_string(mt[1:5], ', ') END, CASE WHEN len(tt) > 0 THEN 'tags: ' || array_to_string(tt[1:3], ', ') END,
+  nullif(array_to_string(list_filter([CASE WHEN text_rank <= 3 THEN 'text rank ' || text_rank END, CASE WHEN vector_rank <= 3 THEN 'vector rank ' || vector_rank END, CASE WHEN graph_rank IS NOT NULL THEN 'graph' END], lambda x: x IS NOT NULL), ', '), ''),
+  CASE WHEN d < 1 THEN 'today' WHEN d < 7 THEN floor(d)::BIGINT || ' days ago' WHEN d < 30 THEN 'this month' END], lambda x: x IS NOT NULL) AS why FROM yy)"""
+)
+
+
+@query("d9_hybrid_explained", "memory vector", f"""
+WITH {_WHOLE} SELECT qid, id, round(final::DOUBLE, 6) AS score, round(score, 8) AS fused, row_number() OVER (PARTITION BY qid ORDER BY round(final::DOUBLE, 9) DESC, id) AS rk, text_rank, vector_rank, graph_rank,
+CASE WHEN len(mt) > 0 THEN 'keyword' WHEN len(tt) > 0 THEN 'tag' ELSE 'semantic' END AS match_type, array_to_string(why, '; ') AS reasons, least(1.0, 0.25 * len(why))::DOUBLE AS confidence FROM zz
+""", queries=ASKED, least=1.2)
+def hybrid_by_tags(memory: DataFrame, vector: DataFrame, queries=ASKED, **settings) -> DataFrame:
+    """`hybrid` with the graph of tags as its third channel; a query may name a stored vector to search with."""
+    vectors = {qid: v for qid, _, v in queries if v is not None}
+    named = memory.sparkSession.createDataFrame(list(vectors.items()), "qid string, id string")
+    qv = vector.join(F.broadcast(named), "id").select("qid", F.col("v").alias("qv"))
+    return hybrid(memory, vector, tag_entities(memory), tag_relations(memory), [(q, t) for q, t, _ in queries], qv, **settings)
+
+
+def hybrid(memory: DataFrame, vector: DataFrame, entity: DataFrame, relation: DataFrame, queries: list[tuple[str, str]], vectors: DataFrame, k: int = 10, depth: int = 50, weights: tuple[float, float, float] = (1.0, 1.0, 0.5), wing: str | None = None, room: str | None = None, author: str | None = None, least: float = 0.0, close: float = 0.2, as_of: str = AS_OF) -> DataFrame:
+    """The whole search: token, vector and graph channels below the facets, fused by rank, the best k reranked and explained.
+
+    `vectors` is a bounded table (qid, qv) of the queries that have one. Each channel gives its best `depth`. Columns:
+    qid, id, score (reranked), fused, rk, the rank in each channel or null, match_type, reasons and confidence. A query
+    that no channel answers has no rows; ties go to the smaller id.
+    """
+    kept = facets(memory, wing, room, author, least)
+    asked = query_table(memory, queries)
+    seen = vector if kept is memory else vector.join(kept.select("id"), "id", "left_semi")
+    channels = [("text_rank", fts(kept, asked, depth)), ("vector_rank", vector_top(seen, vectors, depth, close)), ("graph_rank", graph_channel(entity, relation, kept, asked, depth))]
+    both = None
+    for (name, df), weight in zip(channels, weights, strict=True):
+        one = df.select("qid", "id", (F.lit(float(weight)) / (60 + F.col("rk"))).alias("w"), *[F.when(F.lit(n == name), F.col("rk")).alias(n) for n, _ in channels])
+        both = one if both is None else both.unionByName(one)
+    fused = both.groupBy("qid", "id").agg(F.sum("w").alias("score"), *[F.max(n).alias(n) for n, _ in channels])
+    best = top(fused.withColumn("s", F.round("score", 9)), "s", k, "qid").drop("rk", "s")
+    # k rows a query meet the records, so the texts never move
+    x = kept.join(F.broadcast(best), "id").join(F.broadcast(asked.withColumn("keywords", keywords_of("text"))), "qid")
+    kind, why, sure = reasons(as_of)
+    x = x.select("qid", "id", F.col("score").alias("fused"), F.round(rerank_score(as_of), 9).alias("final"), *[n for n, _ in channels], kind.alias("match_type"), why.alias("reasons"), sure.alias("confidence"))
+    return top(x, "final", k, "qid").select("qid", "id", r6("final").alias("score"), r6("fused", 8).alias("fused"), "rk", *[n for n, _ in channels], "match_type", "reasons", "confidence")
+
+
+@query("d15_rewrite_hints", "memory vector", f"""
+WITH {_WHOLE}, un AS (SELECT qid, list_sort(list(w)) AS ws FROM (SELECT DISTINCT q.qid, w FROM (SELECT qid, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM q) q WHERE NOT EXISTS (SELECT 1 FROM zz WHERE zz.qid = q.qid AND contains(low, w))) GROUP BY qid),
+ag AS (SELECT qid, count(*) AS n, avg(round(final::DOUBLE, 6)) < 0.3 AS weak, sum((0.1 * importance / 5 > 0.08)::INT) < 0.3 * count(*) AS slight FROM zz GROUP BY qid)
+SELECT q.qid, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'broader words; other spelling or synonyms' ELSE array_to_string(list_filter([CASE WHEN ws IS NOT NULL THEN 'synonyms of ' || array_to_string(ws, ', ') END, CASE WHEN weak THEN 'more context' END, CASE WHEN slight THEN 'more important records' END], lambda x: x IS NOT NULL), '; ') END AS hints
+FROM q LEFT JOIN ag USING (qid) LEFT JOIN un USING (qid)
+""", queries=ASKED, least=1.2)
+def rewrite_hints(memory: DataFrame, vector: DataFrame, queries=ASKED, **settings) -> DataFrame:
+    """How each query might be put better: its words that no result holds, weak scores, results of little importance."""
+    asked = query_table(memory, [(q, t) for q, t, _ in queries]).select("qid", F.array_distinct(words("text")).alias("ws"))
+    found = hybrid_by_tags(memory, vector, queries, **settings).select("qid", "id", "score")
+    x = memory.select("id", "content", "importance").join(F.broadcast(found), "id").join(F.broadcast(asked), "qid")
+    held = F.filter("ws", lambda w: F.contains(F.lower("content"), w))
+    per = x.groupBy("qid").agg(count().alias("n"), (F.avg("score") < 0.3).alias("weak"), (F.sum(F.when(0.1 * F.col("importance") / 5 > 0.08, 1).otherwise(0)) < 0.3 * F.count("*")).alias("slight"), F.array_distinct(F.flatten(F.collect_list(held))).alias("held"))  # k rows of a few words for each query
+    y = asked.join(per, "qid", "left")
+    lost = F.array_sort(F.array_except("ws", "held"))
+    hints = F.array_join(F.filter(F.array(F.when(F.size(lost) > 0, F.concat(F.lit("synonyms of "), F.array_join(lost, ", "))), F.when(F.col("weak"), "more context"), F.when(F.col("slight"), "more important records")), lambda h: h.isNotNull()), "; ")
+    return y.select("qid", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "broader words; other spelling or synonyms").otherwise(hints).alias("hints"))
 
 
 @query("d12_hologram_encode", "memory")
