@@ -289,13 +289,13 @@ def boost(as_of: str = AS_OF) -> Column:
     return 0.15 * F.exp(-0.1 * hours_old("created_at", as_of) / 24) + 0.05 * F.col("importance") / 5 + F.least(F.lit(0.09), 0.03 * F.size("tags"))
 
 
-def substring_hits(memory: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, id, s, rk: .8 where the text holds the whole query, and .2 for each tag that does."""
+def substring_scores(memory: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, id, wing, importance, s over 0: .8 where the text holds the whole query, and .2 for each tag that does."""
     low = queries.select("qid", F.lower("text").alias("low"))
-    x = memory.select("id", F.lower("content").alias("c"), "tags").crossJoin(F.broadcast(low))  # a stated query list against all rows
+    x = memory.select("id", "wing", "importance", F.lower("content").alias("c"), "tags").crossJoin(F.broadcast(low))  # a stated query list against all rows
     in_tags = F.size(F.filter("tags", lambda t: F.contains(F.lower(t), F.col("low"))))
     s = F.when(F.contains("c", F.col("low")), 0.8).otherwise(0.0) + 0.2 * F.greatest(in_tags, F.lit(0))
-    return top(x.select("qid", "id", F.round(s, 9).alias("s")).where("s > 0"), "s", k, "qid")
+    return x.select("qid", "id", "wing", "importance", F.round(s, 9).alias("s")).where("s > 0")
 
 
 @query("d10_recall", "memory vector", f"""
@@ -331,7 +331,7 @@ def recall_or_substring(memory: DataFrame, queries: list[tuple[str, str]], k: in
     by_token = found.join(kept.select("id", "importance", "tags", "created_at"), "id").withColumn("b", F.round(F.col("score") + boost(as_of), 9))
     by_token = top(by_token, "b", k, "qid").select("qid", "id", r6("score", 8).alias("score"), "rk", F.lit("tokens").alias("found_by"))
     missed = asked.join(F.broadcast(by_token.select("qid").distinct()), "qid", "left_anti")
-    by_part = substring_hits(kept, missed, k).select("qid", "id", r6("s", 8).alias("score"), "rk", F.lit("substring").alias("found_by"))
+    by_part = top(substring_scores(kept, missed), "s", k, "qid").select("qid", "id", r6("s", 8).alias("score"), "rk", F.lit("substring").alias("found_by"))
     return by_token.unionByName(by_part)
 
 

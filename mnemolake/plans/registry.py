@@ -24,6 +24,7 @@ AREAS = [
     "operators.graph",
     "operators.knowledge",
     "operators.filters",
+    "operators.questions",
     "operators.ingest",
     "sources.files",
     "streaming.streams",
