@@ -86,13 +86,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVO
 
     Both tables hold vec_id and v (array<long>) and queries are rows of vectors. Ties go to the smaller vec_id (null
     last); equal rows are candidates of each other; fewer than k others give fewer rows; an empty table gives none.
+    Empty vectors score 0 with every other, also where all are empty. Scores that might pass 64 bits (a squared length
+    of 2**63 or more) raise ValueError, since the score column could not hold them.
     The pivots are `pivots` rows of least hash, a bounded sample that decides only which work is spared.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
-    dim = vectors.agg(F.max(F.size("v"))).first()[0]
-    if not dim:
+    squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    longest, widest = vectors.agg(F.max(F.size("v")), F.max(squared)).first()
+    if longest is None:
         return spark.createDataFrame([], schema)
+    if widest >= 2.0**63 * (1 - 1e-9):
+        raise ValueError(f"scores pass 64 bits: a vector has the squared length {widest:.3g}")
+    dim = max(1, longest)  # empty vectors count as zero
     chosen = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(pivots).select("v").collect()
     at = np.zeros((len(chosen), dim))
     for i, r in enumerate(chosen):

@@ -109,6 +109,21 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(v, v.limit(0)).count() == 0
 
 
+def test_top_k_of_empty_vectors_and_repeated_rows(spark):
+    schema = "vec_id long, embedding array<float>"
+    v = topk.quantised(spark.createDataFrame([(i, []) for i in (0, 1, 2)], schema))
+    assert rows_of(topk.top_k(v, v.where("vec_id = 0")), "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 0), (0, 2, 2, 0)]
+    v = topk.quantised(spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, []), (2, [-1.0])], schema))
+    got = rows_of(topk.top_k(v, v.where("vec_id = 0")), "query_id", "rank", "vec_id", "score")
+    assert got == sorted([(0, 1, 0, 65536), (0, 2, 1, 0), (0, 3, 2, -65536)] * 2)
+
+
+def test_top_k_beyond_64_bits(spark):
+    v = topk.quantised(spark.createDataFrame([(0, [1e19]), (1, [1.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(v, v)
+
+
 # -- decontamination -------------------------------------------------------------------------------------------------
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
