@@ -17,6 +17,7 @@ from mnemolake.operators.search import token_index
 from mnemolake.plans.registry import query
 from mnemolake.sources.buckets import BucketTable
 from mnemolake.sources.files import scratch
+from mnemolake.streaming.event_time import EventTable, sessions, windows
 from mnemolake.streaming.focus import Focus
 
 
@@ -89,10 +90,13 @@ def replay_since(access_log: DataFrame, since: str) -> DataFrame:
     return _flat(event_counts(access_log.where(F.col("ts") >= moment(since)).withColumn("at", F.col("ts").cast("timestamp")), "6 hours"))
 
 
-@query("l5_stream_sessions", "access_log", """
+_SESSIONS = """
 WITH f AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM access_log WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k
-""", gap="2 hours")
+"""
+
+
+@query("l5_stream_sessions", "access_log", _SESSIONS, gap="2 hours")
 def stream_sessions(access_log: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Sessions of users in a stream: no event for longer than the gap ends one."""
     far = access_log.limit(1).withColumn("ts", moment("2030-01-01 00:00:00")).withColumn("user_id", F.lit("_end"))
@@ -121,10 +125,13 @@ def audit_alerts(events: DataFrame, slow_ms: float = 300.0) -> DataFrame:
     return w.where((F.col("failed") > 0.25 * F.col("n")) | (F.col("slow") > 0.5 * F.col("n")))
 
 
-@query("l7_stream_audit_alerts", "access_log", """
+_ALERTS = """
 WITH e AS (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR]) AS s, success, duration_ms FROM access_log),
 w AS (SELECT s, count(*) AS n, count(*) FILTER (NOT success) AS failed, count(*) FILTER (duration_ms > 300) AS slow FROM e GROUP BY s) SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, n, failed, slow FROM w WHERE failed > 0.25 * n OR slow > 0.5 * n
-""")
+"""
+
+
+@query("l7_stream_audit_alerts", "access_log", _ALERTS)
 def stream_audit_alerts(access_log: DataFrame) -> DataFrame:
     """audit_alerts over a stream."""
     far = access_log.limit(1).withColumn("ts", moment("2030-01-01 00:00:00"))
@@ -132,6 +139,38 @@ def stream_audit_alerts(access_log: DataFrame) -> DataFrame:
     return to_end(audit_alerts(s)).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "failed", "slow").where("start < '2029'")
 
 
+def event_table(access_log: DataFrame, kind: tuple, delay: str, slices: int, at_once: int) -> EventTable:
+    """The log arrives as files of time slices, some at a time and in no order, and is merged batch by batch."""
+    shape, fold, schema = kind
+    table = EventTable(access_log.sparkSession, scratch(access_log, "event-time"), shape, fold, delay, schema)
+    files = access_log.withColumn("at", F.col("ts").cast("timestamp")).repartitionByRange(slices, "at")
+    each_batch(as_stream(files, at_once), table.merge)
+    return table
+
+
+@query("l3_counts_with_late", "access_log", _TUMBLE.format(""))
+def counts_with_late(access_log: DataFrame, slices: int = 8, at_once: int = 2) -> DataFrame:
+    """Tumbling counts over many micro-batches, late rows folded in."""
+    counts = event_table(access_log, windows("6 hours", ["operation"], {}), "2 days", slices, at_once).read()
+    return counts.select(F.date_format("w_start", "yyyy-MM-dd HH:mm").alias("start"), "operation", "n")
+
+
+@query("l5_sessions_with_late", "access_log", _SESSIONS)
+def sessions_with_late(access_log: DataFrame, gap: str = "2 hours", slices: int = 8, at_once: int = 2) -> DataFrame:
+    """Sessions over many micro-batches: a late event may lengthen a session or join two that were reported apart."""
+    table = event_table(access_log, sessions(gap, "user_id"), "2 days", slices, at_once)
+    table.compact()
+    return table.read().select("user_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("l7_alerts_with_late", "access_log", _ALERTS)
+def alerts_with_late(access_log: DataFrame, slow_ms: float = 300.0, slices: int = 8, at_once: int = 2) -> DataFrame:
+    """Sliding windows with many failures or slow operations over many micro-batches, late rows folded in."""
+    sums = {"failed": F.when(~F.col("success"), 1).otherwise(0), "slow": F.when(F.col("duration_ms") > slow_ms, 1).otherwise(0)}
+    w = event_table(access_log, windows("2 hours", [], sums, "1 hour"), "2 days", slices, at_once).read()
+    return w.where((F.col("failed") > 0.25 * F.col("n")) | (F.col("slow") > 0.5 * F.col("n"))).select(F.date_format("w_start", "yyyy-MM-dd HH:mm").alias("start"), "n", "failed", "slow")
+
+
 @query("l8_focus_buffer", "message")
 def focus_buffer(message: DataFrame) -> DataFrame:
     """The focus of every session at the end of a stream of messages; state is bounded per session."""
