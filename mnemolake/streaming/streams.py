@@ -18,7 +18,7 @@ from mnemolake.plans.registry import query
 from mnemolake.sources.buckets import BucketTable
 from mnemolake.sources.files import scratch
 from mnemolake.streaming.event_time import EventTable, sessions, windows
-from mnemolake.streaming.focus import Focus
+from mnemolake.streaming.focus import Focus, TimedFocus
 
 
 def as_stream(df: DataFrame, per_trigger: int | None = 1_000) -> DataFrame:
@@ -185,6 +185,46 @@ def focus_buffer(message: DataFrame) -> DataFrame:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
+def in_slices(df: DataFrame, at: str, slices: int, end: DataFrame | None = None) -> DataFrame:
+    """df as a stream of files that arrive in order of time, one slice of it after the other and `end` last, a file a micro-batch."""
+    path = scratch(df, "stream-in")
+    lo, hi = df.select(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    width = max(1, ((hi or 0) - (lo or 0)) // slices + 1)
+    number = F.floor((F.unix_micros(at) - F.lit(lo or 0)) / F.lit(width))
+    for i in range(slices):  # a stated number of files, written one after the other
+        df.where(number == i).coalesce(1).write.mode("append").parquet(path)
+    if end is not None:
+        end.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def timed(message: DataFrame) -> DataFrame:
+    """Turns with a time of their own, later turns further apart, their importance and feeling."""
+    minutes = F.col("session_id").cast("long") * 7 % 1000 + 3 * F.col("turn") * F.col("turn")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + 60 * minutes)
+    feeling = F.least(F.lit(1.0), 0.2 * F.regexp_count("text", F.lit("[!?]")))
+    return message.select("session_id", F.col("turn").cast("long").alias("turn"), at.alias("at"), F.unix_millis(at).alias("at_ms"), message_importance("text", "role").cast("double").alias("importance"), F.coalesce(feeling, F.lit(0.0)).alias("valence"))
+
+
+@query("l8_focus_with_time", "message")
+def focus_with_time(message: DataFrame, size: int = 5, idle_minutes: int = 30, slices: int = 6) -> DataFrame:
+    """What each session held when it fell idle: turns in focus that fade with event time, the weakest leaving a full buffer.
+
+    The stream ends with an event far ahead, whose watermark makes the last sessions leave the store.
+    """
+    spark, name = message.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        turns = timed(message)
+        far = spark.range(1).select(F.lit("_end").alias("session_id"), F.lit(0).cast("long").alias("turn"), F.timestamp_seconds(F.lit(1_900_000_000)).alias("at"), F.lit(1_900_000_000_000).cast("long").alias("at_ms"), F.lit(0.0).alias("importance"), F.lit(0.0).alias("valence"))
+        s = in_slices(turns, "at", slices, far)
+        out = s.withWatermark("at", "10 minutes").groupBy("session_id").transformWithStateInPandas(TimedFocus(size, idle_minutes), "session_id string, last_ms long, turn long, activation double", "Append", "EventTime")
+        return to_end(out).where("session_id <> '_end'").select("session_id", "last_ms", "turn", r6("activation").alias("activation"))
+    finally:
+        spark.conf.set(name, before)
+
+
 @query("l9_stream_changes", "access_log", "SELECT memory_id, arg_max(operation, (ts, event_id)) AS operation, max(event_id) FILTER (ts IS NOT NULL) AS last_event FROM access_log GROUP BY memory_id")
 def stream_changes(access_log: DataFrame) -> DataFrame:
     """A change feed merged batch by batch into a table of buckets, the latest change of a record winning: a batch rewrites the
