@@ -107,6 +107,34 @@ def resolve(memory: DataFrame) -> DataFrame:
     return memory.groupBy(F.left("content", F.lit(20)).alias("topic")).agg(F.max_by("id", F.struct("created_at", "id")).alias("last_write"), F.max_by("id", F.struct("importance", "id")).alias("highest_priority"), count().alias("n")).where("n > 1")
 
 
+@query("f3_resolve_pairs", "memory", """
+WITH t AS (SELECT left(content, 20) AS topic, arg_max(id, (created_at, id)) AS a, arg_max(id, (importance, id)) AS b FROM memory GROUP BY 1 HAVING count(*) > 1), j AS (SELECT topic, a, b, x.content AS ca, y.content AS cb, x.tags AS ta, y.tags AS tb FROM t JOIN memory x ON x.id = a JOIN memory y ON y.id = b)
+SELECT topic, a || ',' || b AS sources, unnest(['last_write', 'priority', 'merge', 'manual']) AS policy, unnest([a, b, CASE WHEN a = b THEN a END, CASE WHEN a = b THEN a END]) AS kept, unnest([ca, cb, CASE WHEN a = b THEN ca ELSE '[merged] ' || ca || chr(10) || '---' || chr(10) || cb END, NULL]) AS content,
+unnest([array_to_string(list_sort(ta), ','), array_to_string(list_sort(tb), ','), array_to_string(list_sort(list_distinct(ta || tb)), ','), NULL]) AS tags, unnest([false, false, false, a <> b]) AS review FROM j
+""")
+def resolve_pairs(memory: DataFrame) -> DataFrame:
+    """The latest and the most important record of each topic that has several, resolved by every policy.
+
+    last_write and priority keep one of the two. merge joins both texts and the union of their tags to a new record (kept
+    is null, unless both are one record). manual keeps neither and marks the pair for review. Texts of two records a topic
+    are read, however many it has; ids are joined to records behind that cut.
+    """
+    t = memory.groupBy(F.left("content", F.lit(20)).alias("topic")).agg(F.max_by("id", F.struct("created_at", "id")).alias("a"), F.max_by("id", F.struct("importance", "id")).alias("b"), count().alias("n")).where("n > 1").drop("n")
+    one, two = (memory.select(F.col("id").alias(k), F.col("content").alias(f"c{k}"), F.coalesce("tags", F.array().cast("array<string>")).alias(f"t{k}")) for k in "ab")
+    j = t.join(one, "a").join(two, "b")
+    same = F.col("a") == F.col("b")
+
+    def tags(c):
+        return F.array_join(F.array_sort(c), ",")
+
+    merged = F.when(same, F.col("ca")).otherwise(F.concat(F.lit("[merged] "), "ca", F.lit("\n---\n"), "cb"))
+    none = F.lit(None).cast("string")
+    kept = F.when(same, F.col("a"))
+    rows = [("last_write", F.col("a"), F.col("ca"), tags("ta"), F.lit(False)), ("priority", F.col("b"), F.col("cb"), tags("tb"), F.lit(False)), ("merge", kept, merged, tags(F.array_union("ta", "tb")), F.lit(False)), ("manual", kept, none, none, ~same)]
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), k.alias("kept"), c.alias("content"), g.alias("tags"), r.alias("review")) for p, k, c, g, r in rows]))
+    return j.select("topic", F.concat_ws(",", "a", "b").alias("sources"), each.alias("x")).select("topic", "sources", "x.*")
+
+
 @query("f4_topic_contradictions", "memory", f"""
 WITH {_masks_sql()} SELECT tag, count(*) FILTER (pos <> 0) AS claims, count(*) FILTER (neg <> 0) AS denials, arg_max(id, (importance, id)) AS keeper FROM (SELECT id, importance, pos, neg, unnest(tags) AS tag FROM m) GROUP BY tag HAVING bool_or(pos <> 0) AND bool_or(neg <> 0)
 """, opposites=DATA_OPPOSITES)

@@ -49,6 +49,51 @@ def fuse_topic(memory: DataFrame, topics: list[str], most: int = 20) -> DataFram
     return g.agg(count().alias("n"), r6(F.least(F.lit(1.0), 0.3 + 0.05 * F.count("*"))).alias("confidence"), r6(F.avg("importance")).alias("importance"), F.array_join(ids, ",").alias("evolution"))
 
 
+def _masks() -> str:
+    from mnemolake.operators.conflict import _masks_sql
+
+    return _masks_sql()
+
+
+_WORD = "[\\x{{4e00}}-\\x{{9fff}}]{{2,}}|[a-z]{{3,}}"
+
+
+@query("k2_fused_topics", "memory", f"""
+WITH {_masks()}, t AS (SELECT topic, m.*, row_number() OVER (PARTITION BY topic ORDER BY importance DESC, id) AS rn FROM (VALUES ('thened'), ('inth'), ('src7'), ('zzzz')) AS v(topic), m WHERE contains(lower(content), topic) OR list_contains(tags, topic)), r AS (SELECT * FROM t WHERE rn <= 20),
+w AS (SELECT topic, word, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, word) AS k FROM (SELECT topic, unnest(regexp_extract_all(lower(content), '{_WORD.replace("{{", "{").replace("}}", "}")}')) AS word FROM r) WHERE word <> topic GROUP BY topic, word),
+kw AS (SELECT topic, array_to_string(list(word ORDER BY k), ',') AS keywords FROM w WHERE k <= 8 GROUP BY topic),
+s AS (SELECT topic, rn, u.i AS pos, trim(u.s) AS s FROM (SELECT topic, rn, unnest(list_transform({_SENT}, lambda x, i: {{'s': x, 'i': i}})) AS u FROM r)),
+d AS (SELECT topic, s, row_number() OVER (PARTITION BY topic ORDER BY min((rn, pos))) AS k FROM s WHERE length(s) BETWEEN 11 AND 199 GROUP BY topic, s),
+kp AS (SELECT topic, array_to_string(list(s ORDER BY k), ' | ') AS key_points FROM d WHERE k <= 10 GROUP BY topic),
+g AS (SELECT topic, count(*) AS n, round(least(1.0, 0.5 + avg(importance) / 10 + count(*) / 50.0), 6) AS confidence, strftime(min(created_at), '%Y-%m-%d') AS earliest, strftime(max(created_at), '%Y-%m-%d') AS latest, array_to_string(list(id ORDER BY rn), ',') AS sources, array_to_string(list(id ORDER BY created_at, id), ',') AS evolution,
+  count(*) FILTER (pos <> 0) AS claims, count(*) FILTER (neg <> 0) AS denials FROM r GROUP BY topic)
+SELECT topic, n, confidence, earliest, latest, sources, evolution, coalesce(keywords, '') AS keywords, coalesce(key_points, '') AS key_points, claims, denials, claims > 0 AND denials > 0 AS contradictory FROM g LEFT JOIN kw USING (topic) LEFT JOIN kp USING (topic)
+""", topics=["thened", "inth", "src7", "zzzz"], opposites=DATA_OPPOSITES)
+def fused_topics(memory: DataFrame, topics: list[str], opposites, most: int = 20, words: int = 8, points: int = 10) -> DataFrame:
+    """Each stated topic's leading records as one piece of knowledge: sources, order in time, keywords, key points (the first
+    distinct sentences of 11 to 199 characters), claims and denials, and confidence. Topics without records have no row.
+
+    Texts are cut to the leading records of a topic before words or sentences are taken, so that is all that moves.
+    """
+    pos, neg = polarity(opposites)
+    m = memory.select("id", "content", "importance", "created_at", "tags", F.lower("content").alias("c"), F.explode(F.array(*map(F.lit, topics))).alias("topic"))
+    t = m.where(F.contains("c", F.col("topic")) | F.array_contains("tags", F.col("topic"))).select("topic", "id", "importance", "created_at")
+    lead = leading(t, most, "topic", F.desc("importance"), "id")
+    r = memory.select("id", "content", pos.alias("pos"), neg.alias("neg")).join(F.broadcast(lead), "id")  # `most` rows a topic
+    word = r.select("topic", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[\\u4e00-\\u9fff]{2,}|[a-z]{3,}"), F.lit(0))).alias("word")).where("word <> topic").groupBy("topic", "word").agg(count().alias("n"))
+    s = sentences(r, "topic", "rn").where(F.length("s").between(11, 199)).groupBy("topic", "s").agg(F.min(F.struct("rn", "pos")).alias("k"))
+
+    def joined(value: str, sep: str, *order):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value]), sep)
+
+    kw = leading(word, words, "topic", F.desc("n"), "word").groupBy("topic").agg(joined("word", ",", "rn").alias("keywords"))
+    kp = leading(s, points, "topic", "k").groupBy("topic").agg(joined("s", " | ", "rn").alias("key_points"))
+    g = r.groupBy("topic").agg(count().alias("n"), r6(F.least(F.lit(1.0), 0.5 + F.avg("importance") / 10 + F.count("*") / 50.0)).alias("confidence"), F.date_format(F.min("created_at"), "yyyy-MM-dd").alias("earliest"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("latest"),
+        joined("id", ",", "rn").alias("sources"), joined("id", ",", "created_at").alias("evolution"), n(F.col("pos") != 0).alias("claims"), n(F.col("neg") != 0).alias("denials"))
+    out = g.join(kw, "topic", "left").join(kp, "topic", "left")
+    return out.select("topic", "n", "confidence", "earliest", "latest", "sources", "evolution", F.coalesce("keywords", F.lit("")).alias("keywords"), F.coalesce("key_points", F.lit("")).alias("key_points"), "claims", "denials", ((F.col("claims") > 0) & (F.col("denials") > 0)).alias("contradictory"))
+
+
 @query("k3_progressive_summary", "memory", """
 WITH w AS (SELECT lower(regexp_extract(content, '[A-Za-z]+')) AS w, importance FROM memory) SELECT 2 AS level, w AS key, count(*) AS n, round(avg(importance), 6) AS importance FROM w GROUP BY w HAVING count(*) >= 2 UNION ALL SELECT 3, NULL, count(*), round(avg(importance), 6) FROM w
 """)
@@ -132,12 +177,6 @@ def narratives(memory: DataFrame, most: int = 30, least: int = 3) -> DataFrame:
     return t.groupBy("wing").agg(count().alias("n"), r6(F.avg("importance")).alias("importance"), F.array_join(story, " | ").alias("story")).where(F.col("n") >= least)
 
 
-def _masks() -> str:
-    from mnemolake.operators.conflict import _masks_sql
-
-    return _masks_sql()
-
-
 @query("k10_hypotheses", "memory", f"""
 WITH {_masks()} SELECT room, count(*) AS n, count(*) FILTER (pos <> 0) AS evidence, count(*) FILTER (neg <> 0) AS against, round(count(*) FILTER (pos <> 0)::DOUBLE / nullif(count(*) FILTER (pos <> 0 OR neg <> 0), 0), 6) AS support, count(*) FILTER (date_diff('second', created_at, {{AS_OF}}) / 86400.0 <= 15) AS recent FROM m GROUP BY room HAVING count(*) >= 3
 """, opposites=DATA_OPPOSITES)
