@@ -216,12 +216,19 @@ WITH {_SPLIT}, p AS (SELECT o.id, o.content AS oc, n.content AS nc, n.id AS nid
 SELECT id, md5(arg_max(CASE WHEN length(nc) > length(oc) THEN nc ELSE oc END, (length(CASE WHEN length(nc) > length(oc) THEN nc ELSE oc END), nid))) AS digest, round(least(1.0, 0.5 + 0.1 * count(*)), 6) AS confidence, count(*) AS fused_count FROM p GROUP BY id
 """)
 def fuse_on_write(memory: DataFrame) -> DataFrame:
-    """Stored records that incoming ones resemble (wing and beginning): the longest text, confidence and count."""
+    """Stored records that incoming ones resemble (wing and beginning): the longest text, confidence and count.
+
+    The incoming ones of a wing and beginning are one row first (the longest, the last id, how many), so no pair is made and no
+    text is sent.
+    """
     old, new = split_batch(memory)
-    key = F.left("content", F.lit(30)).alias("k")
-    p = old.select("id", "wing", key, F.col("content").alias("oc")).join(new.select("wing", key, F.col("content").alias("nc"), F.col("id").alias("nid")), ["wing", "k"])
-    best = F.when(F.length("nc") > F.length("oc"), F.col("nc")).otherwise(F.col("oc"))
-    return p.groupBy("id").agg(F.md5(F.max_by(best, F.struct(F.length(best), "nid"))).alias("digest"), r6(F.least(F.lit(1.0), 0.5 + 0.1 * F.count("*"))).alias("confidence"), count().alias("fused_count"))
+    key, size = F.left("content", F.lit(30)).alias("k"), F.length("content").alias("size")
+    top = F.struct(size, F.col("id").alias("nid"), F.md5("content").alias("digest"))
+    given = new.groupBy("wing", key).agg(F.max(top).alias("top"), F.max("id").alias("last"), F.count("*").alias("n"))
+    p = old.select("id", "wing", key, size, F.md5("content").alias("own")).join(given, ["wing", "k"])
+    best = F.when(F.col("top.size") > F.col("size"), F.col("top")).otherwise(F.struct("size", F.col("last").alias("nid"), F.col("own").alias("digest")))
+    found = p.groupBy("id").agg(F.max(best).alias("best"), F.sum("n").alias("n"))
+    return found.select("id", F.col("best.digest").alias("digest"), r6(F.least(F.lit(1.0), 0.5 + 0.1 * F.col("n"))).alias("confidence"), F.col("n").alias("fused_count"))
 
 
 LINK = "\\[\\[(?:([^\\]|:]+):)?([^\\]|]+)(?:\\|([^\\]]+))?\\]\\]"
