@@ -24,3 +24,29 @@ def test_fused_writes_meet_one_row_a_group(spark):
             best = max(((len(max(text, t, key=len)), j, t if len(t) > len(text) else text) for j, t, _ in new))
             want[i] = (hashlib.md5(best[2].encode()).hexdigest(), len(new))
     assert {r["id"]: (r["digest"], r["fused_count"]) for r in got.collect()} == want
+
+
+def test_unlike_sets_that_share_a_rare_word_are_ruled_out_before_whole_sets_are_sent(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from mnemolake.operators import similarity
+
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        ws = rng.sample(range(4000), rng.choice([5, 40, 200, 1500]))
+        rows.append((f"{i:03d}", " ".join(f"w{x}" for x in ws)))
+        rows.append((f"{i:03d}x", " ".join(f"w{x}" for x in ws[: len(ws) - len(ws) // 12] + [5000 + i])))
+    sets, left = {i: set(t.split()) for i, t in rows}, []
+    whole = similarity.near_in_parity
+
+    def counted(pairs, th):
+        left.append((pairs.count(), out := whole(pairs, th)))
+        return out
+
+    monkeypatch.setattr(similarity, "near_in_parity", counted)
+    got = similarity.jaccard_pairs(spark.createDataFrame(rows, "id string, content string"), F.split("content", " "), 0.8)
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in got.collect()} == want and len(want) >= 200
+    assert left[0][1].count() < 1.2 * len(want)
