@@ -94,23 +94,26 @@ def reachable(links: DataFrame) -> DataFrame:
 def lost_without(links: DataFrame) -> DataFrame:
     """(cause, effect): effects that no chain from an uncaused event leads to any more once the cause is taken out.
 
-    Uncaused events have no link to them. What only hangs on a circle without such an event is never counted. For all
-    causes at once: of what a cause reaches, an effect is safe if a link leads to it from a node that the cause does not
-    reach and that an uncaused event does, or from a safe one; the rest is lost. Work follows the pairs that reach each other.
+    Uncaused events have no link to them. What only hangs on a circle without such an event is never counted. A cause loses
+    what it dominates: what all chains from uncaused events to the effect go through. A node's dominators are itself and
+    what its causes' dominators have in common; rounds take those on whose causes changed, until none does. Work follows
+    the links and their few common dominators, not the pairs that reach each other.
     """
     links = materialize(links.where("cause <> effect").select("cause", "effect").distinct(), "links")
-    reach = reachable(links).where("cause <> effect")
-    reach = materialize(reach, "reached")
     uncaused = links.select(F.col("cause").alias("node")).distinct().join(links.select(F.col("effect").alias("node")), "node", "left_anti")
-    ahead = links.select(F.col("cause").alias("node"), F.col("effect").alias("to"))
-    held = _growing(uncaused, lambda new: new.join(ahead, "node").select(F.col("to").alias("node")), ["node"], "held")
-    of_interest = reach.join(held.select(F.col("node").alias("effect")), "effect").select("cause", "effect")
-    # A link p -> effect with p held, p not the cause, and p not reached by the cause.
-    steps = of_interest.join(links.select(F.col("cause").alias("p"), "effect"), "effect").where("p <> cause")
-    outside = steps.join(held.select(F.col("node").alias("p")), "p").join(reach.select("cause", F.col("effect").alias("p")), ["cause", "p"], "left_anti")
-    inside = materialize(steps.select("cause", "p", F.col("effect").alias("to")), "inside")
-    safe = _growing(outside.select("cause", "effect"), lambda new: new.join(inside, (new["cause"] == inside["cause"]) & (new["effect"] == inside["p"])).select(new["cause"], F.col("to").alias("effect")), ["cause", "effect"], "safe")
-    return of_interest.join(safe, ["cause", "effect"], "left_anti").distinct()
+    known = new = materialize(uncaused.select("node", F.col("node").alias("over")), "dominators")
+    while not new.isEmpty():
+        touched = links.join(new.select(F.col("node").alias("cause")).distinct(), "cause", "left_semi").select("effect").distinct()
+        met = links.join(touched, "effect", "left_semi").join(known, F.col("cause") == F.col("node")).select("effect", "cause", "over")
+        causes = met.where("over = cause").groupBy("effect").agg(F.count("*").alias("causes"))
+        common = met.groupBy("effect", "over").agg(F.count("*").alias("n")).join(causes, "effect").where("n = causes").select(F.col("effect").alias("node"), "over")
+        now = materialize(common.unionByName(touched.select(F.col("effect").alias("node"), F.col("effect").alias("over"))).distinct(), "dominators")
+        counted = [d.groupBy("node").agg(F.count("*").alias(k)) for d, k in ((now, "n"), (known, "was"))]
+        # Dominators of a known node only ever get fewer, so their number tells whether they changed.
+        changed = counted[0].join(counted[1], "node", "left").where("was IS NULL OR n <> was").select("node")
+        new = materialize(now.join(changed, "node", "left_semi"), "dominators-changed")
+        known = materialize(known.join(new.select("node").distinct(), "node", "left_anti").unionByName(new), "dominators")
+    return known.where("over <> node").select(F.col("over").alias("cause"), F.col("node").alias("effect"))
 
 
 @query("i14_what_if", "relation")

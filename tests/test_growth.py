@@ -50,3 +50,16 @@ def test_unlike_sets_that_share_a_rare_word_are_ruled_out_before_whole_sets_are_
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert {(r["a"], r["b"]) for r in got.collect()} == want and len(want) >= 200
     assert left[0][1].count() < 1.2 * len(want)
+
+
+def test_lost_effects_need_no_pairs_of_causes_and_reached_effects(spark, monkeypatch):
+    from mnemolake.operators import causal
+
+    def refuse(links):
+        raise AssertionError("all reached pairs were listed")
+
+    monkeypatch.setattr(causal, "reachable", refuse)
+    links = [("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "d"), ("b", "f"), ("f", "g"), ("a", "h"), ("x", "y"), ("y", "x")]
+    got = causal.lost_without(spark.createDataFrame(links, "cause string, effect string"))
+    want = {("c", "d"), ("c", "e"), ("d", "e"), ("b", "f"), ("b", "g"), ("f", "g"), ("a", "h")}
+    assert {(r["cause"], r["effect"]) for r in got.collect()} == want
