@@ -63,3 +63,18 @@ def test_lost_effects_need_no_pairs_of_causes_and_reached_effects(spark, monkeyp
     got = causal.lost_without(spark.createDataFrame(links, "cause string, effect string"))
     want = {("c", "d"), ("c", "e"), ("d", "e"), ("b", "f"), ("b", "g"), ("f", "g"), ("a", "h")}
     assert {(r["cause"], r["effect"]) for r in got.collect()} == want
+
+
+def test_a_block_of_vectors_is_sent_once_a_side(spark, monkeypatch):
+    import numpy as np
+
+    from mnemolake.operators import vectors as vv
+
+    monkeypatch.setattr(vv, "SIDES", 4)
+    v = np.random.default_rng(5).normal(size=(600, 16))
+    got = vv.vector_pairs(spark.createDataFrame([(f"{i:03d}", x.tolist()) for i, x in enumerate(v)], "id string, v array<double>"), 0.5, block=10)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(np.round(u @ u.T, 9) >= 0.5, 1))
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(f"{a:03d}", f"{b:03d}") for a, b in zip(i, j)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Aggregate [x" in plan
