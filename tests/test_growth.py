@@ -78,3 +78,21 @@ def test_a_block_of_vectors_is_sent_once_a_side(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in got.collect()} == {(f"{a:03d}", f"{b:03d}") for a, b in zip(i, j)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Aggregate [x" in plan
+
+
+def test_shared_keywords_are_counted_by_subsets(spark):
+    from collections import Counter
+    from itertools import combinations
+    from random import Random
+
+    from mnemolake.operators import similarity
+
+    rng = Random(2)
+    words = ["".join(x) for x in combinations("pqrst", 3)]
+    rows = [(f"{i:03d}", " ".join(rng.sample(words, rng.choice([1, 2, 5, 8]))), rng.choice("xyz")) for i in range(120)]
+    m = spark.createDataFrame(rows, "id string, content string, wing string")
+    want = Counter()
+    for (_, t, w), (_, u, v) in combinations(rows, 2):
+        if w != v and len(set(t.split()) & set(u.split())) >= 2:
+            want[min(w, v), max(w, v)] += 1
+    assert {(r["a"], r["b"]): r["n"] for r in similarity.wing_cooccurrence(m).collect()} == want
