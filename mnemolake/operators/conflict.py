@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import any_of, count, days_old, jaccard, moment, n, r6
-from mnemolake.operators.similarity import keywords
+from mnemolake.operators.similarity import keyword_subsets, keywords, shared_keywords
 from mnemolake.operators.ordered import within_key
 from mnemolake.plans.registry import query
 from mnemolake.plans.storage import materialize
@@ -71,6 +71,25 @@ def conflict_pairs(memory: DataFrame, opposites=OPPOSITES) -> DataFrame:
     return j.select("a", "b", "shared", r6(F.least(F.lit(1.0), 0.8 * F.when(strong, 1.5).otherwise(1.0))).alias("confidence"), F.when(strong, "high").otherwise("medium").alias("severity"))
 
 
+def conflict_counts(memory: DataFrame, opposites=OPPOSITES) -> DataFrame:
+    """(id, conflicts): how many pairs of conflict_pairs() each record is in, without listing them.
+
+    Claims are counted for every subset of shared keywords, as in keyword_subsets(); a record's subsets add up the opposite ones.
+    """
+    pos, neg = polarity(opposites)
+    m = memory.select("id", pos.alias("pos"), neg.alias("neg")).where("pos <> 0 OR neg <> 0")
+    kw = memory.join(m.select("id"), "id", "left_semi")
+    each = materialize(keyword_subsets(m.join(shared_keywords(kw), "id"), "id", "pos", "neg"), "keyword-subsets")
+    claims = each.groupBy("k1", "k2", "pos", "neg").agg(F.count("*").alias("n"))
+    mine, theirs = claims.select("k1", "k2", "pos", "neg"), claims.select("k1", "k2", F.col("pos").alias("p"), F.col("neg").alias("q"), "n")
+    opposite = F.col("pos").bitwiseAND(F.col("q")).bitwiseOR(F.col("neg").bitwiseAND(F.col("p"))) != 0
+    against = mine.join(theirs, ["k1", "k2"]).where(opposite).groupBy("k1", "k2", "pos", "neg").agg(F.sum("n").alias("n"))
+    x = each.join(against, ["k1", "k2", "pos", "neg"])
+    # A record that claims and denies one thing would count itself.
+    own = F.when(F.first("pos").bitwiseAND(F.first("neg")) != 0, 1).otherwise(0)
+    return x.groupBy("id").agg((F.sum(F.col("weight") * F.col("n")) - own).alias("conflicts")).where("conflicts > 0")
+
+
 @query("f2_agent_conflicts", "memory", f"""
 WITH {_masks_sql()}, k AS (SELECT author, list_sort(list_distinct(tags)) AS s, pos, neg, min(id) AS id, count(*) AS n FROM m WHERE pos <> 0 OR neg <> 0 GROUP BY 1, 2, 3, 4)
 SELECT a.id AS a, b.id AS b, round(least(1.0, 0.4 * (bit_count(a.pos & b.neg) + bit_count(a.neg & b.pos)) + 0.2 * len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s)))), 6) AS confidence, a.n * b.n AS pairs

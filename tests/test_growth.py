@@ -85,7 +85,7 @@ def test_shared_keywords_are_counted_by_subsets(spark):
     from itertools import combinations
     from random import Random
 
-    from mnemolake.operators import similarity
+    from mnemolake.operators import conflict, similarity
 
     rng = Random(2)
     words = ["".join(x) for x in combinations("pqrst", 3)]
@@ -96,3 +96,5 @@ def test_shared_keywords_are_counted_by_subsets(spark):
         if w != v and len(set(t.split()) & set(u.split())) >= 2:
             want[min(w, v), max(w, v)] += 1
     assert {(r["a"], r["b"]): r["n"] for r in similarity.wing_cooccurrence(m).collect()} == want
+    pairs = Counter(x for r in conflict.conflict_pairs(m, [(["pqr"], ["qrs"])]).collect() for x in (r["a"], r["b"]))
+    assert {r["id"]: r["conflicts"] for r in conflict.conflict_counts(m, [(["pqr"], ["qrs"])]).collect()} == pairs and pairs
