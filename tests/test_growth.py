@@ -98,3 +98,15 @@ def test_shared_keywords_are_counted_by_subsets(spark):
     assert {(r["a"], r["b"]): r["n"] for r in similarity.wing_cooccurrence(m).collect()} == want
     pairs = Counter(x for r in conflict.conflict_pairs(m, [(["pqr"], ["qrs"])]).collect() for x in (r["a"], r["b"]))
     assert {r["id"]: r["conflicts"] for r in conflict.conflict_counts(m, [(["pqr"], ["qrs"])]).collect()} == pairs and pairs
+
+
+def test_near_trigram_sets_send_no_blocks_of_whole_sets(spark, monkeypatch):
+    from mnemolake.operators import sets, similarity
+
+    def refuse(*_):
+        raise AssertionError("blocks of whole sets were made")
+
+    monkeypatch.setattr(sets, "make_blocks", refuse)
+    rows = [("1", "the quick brown fox jumps over the lazy dog again"), ("2", "the quick brown fox jumps over the lazy dog again!"), ("3", "something else"), ("4", "something else"), ("5", None), ("6", "ab")]
+    got = similarity.dup_char3(spark.createDataFrame(rows, "id string, content string"))
+    assert {(r["a"], r["b"]) for r in got.collect()} == {("1", "2"), ("3", "4")}
