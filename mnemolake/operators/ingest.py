@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import any_of, best_of, count, hits, n, r6
+from mnemolake.operators.overlap import place_pairs
 from mnemolake.operators.search import token_index
 from mnemolake.operators.vectors import classes, sided, vector_pairs
 from mnemolake.plans.registry import query
@@ -175,40 +176,17 @@ def positional_overlap_dup(memory: DataFrame, least: float = 0.85, gap: int = 5)
     texts of a wing are one class, linked to its smallest id with overlap 1; other pairs are between those ids. Null or
     empty texts and null wings have none.
 
-    Texts are dealt by bands of lengths. At most d of the places that two texts of a band and the next have may differ, so
-    of 2 (d + 1) equal-width segments at least d + 2 are equal; with segments ordered by rarity two such texts share one
-    of their first ones, and only those are joined. A candidate is checked on the whole texts.
+    Texts meet by bands of lengths and a pair is given up as soon as too many of its places differ (operators/overlap.py), so
+    what is shuffled is each text twice.
     """
     m = memory.select("id", "wing", "content", F.length("content").alias("n")).where(F.col("wing").isNotNull() & (F.col("n") > 0))
     m = m.withColumn("h", F.sha2("content", 256))
     classes = materialize(m.groupBy("wing", "h").agg(F.min("id").alias("a")), "same-text")
     members = m.join(classes, ["wing", "h"]).where(F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
     reps = m.join(classes.select(F.col("a").alias("id")), "id", "left_semi").drop("h")
-    step = gap + 1
-    low = F.floor(F.col("n") / step)  # own band; a text is also cut as its lower neighbour's band is
-    x = reps.withColumn("band", F.explode(F.array(low, low - 1))).where("band >= 0")
-    shortest = F.greatest(F.col("band") * step, F.lit(1))
-    differ = F.ceil((1 - least) * (F.col("band") * step + 2 * gap) - 1e-9).cast("int") - 1  # fewer than (1 - least) of the longest
-    parts = F.least(2 * (differ + 1), shortest).cast("int")
-    wide = F.floor(shortest / parts).cast("int")
-    pieces = F.regexp_extract_all("content", F.concat(F.lit("(?s).{"), wide.cast("string"), F.lit("}")), F.lit(0))
-    cut = F.transform(F.slice(pieces, F.lit(1), parts), lambda t, i: F.xxhash64(i, t))
-    # Where a text has no more places than may differ, segments decide nothing and its band meets whole.
-    keep = F.greatest(F.lit(0), parts - (parts - differ) + 1).cast("int")
-    x = x.select("id", "wing", "band", "n", keep.alias("keep"), F.when(parts > differ, cut).otherwise(F.array(F.lit(0).cast("long"))).alias("s"))
-    x = materialize(x, "segments")
-    each = x.select("id", "wing", "band", "n", "keep", F.explode("s").alias("seg"))
-    common = each.groupBy("wing", "band", "seg").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(common, ["wing", "band", "seg"]).groupBy("id", "wing", "band", "n", "keep").agg(F.sort_array(F.collect_list(F.struct("df", "seg"))).alias("r"))
-    alone = x.select("id", "band", F.size("s").alias("all"))
-    first = ranked.join(alone, ["id", "band"]).withColumn("r", F.slice("r", F.lit(1), F.greatest(F.lit(0), F.col("keep") - (F.col("all") - F.size("r"))).cast("int")))
-    first = first.select("id", "wing", "band", "n", F.explode("r.seg").alias("seg"))
-    a, b = (first.select("wing", "band", "seg", F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    pairs = a.join(b, ["wing", "band", "seg"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= gap)).select("a", "b").distinct()
-    ta, tb = (reps.select(F.col("id").alias(k), F.col("content").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-    same = F.size(F.filter(F.zip_with(F.split("ta", ""), F.split("tb", ""), lambda p, q: (p == q) & (p != "")), lambda t: t))
-    x = pairs.join(ta, "a").join(tb, "b").withColumn("o", same / F.greatest("na", "nb")).where(F.col("o") > least)
-    return members.unionByName(x.select("a", "b", r6("o").alias("overlap")))
+    pairs = place_pairs(reps.withColumnRenamed("wing", "g"), least, gap)
+    return members.unionByName(pairs.select("a", "b", r6("o").alias("overlap")))
+
 
 
 @query("b7_fuse_on_write", "memory", f"""
