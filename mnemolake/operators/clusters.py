@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.operators.search import every_nth, vector_top
+from mnemolake.operators.search import every_nth, query_blocks, vector_top
 from mnemolake.plans.registry import query
 
 
@@ -94,6 +94,11 @@ def cluster_results(results: DataFrame, memory: DataFrame, vector: DataFrame, mo
 
 
 @query("e12_cluster_hierarchical", "memory vector", every=50)
-def cluster_searches(memory: DataFrame, vector: DataFrame, every: int, k: int = 50, most: int = 5, least: float = 0.3) -> DataFrame:
-    """The k best results of every n-th record's search, clustered query by query."""
-    return cluster_results(vector_top(vector, every_nth(vector, every), k, 0.0), memory, vector, most, least)
+def cluster_searches(memory: DataFrame, vector: DataFrame, every: int, k: int = 50, most: int = 5, least: float = 0.3, block: int = 512) -> DataFrame:
+    """The k best results of every n-th record's search, clustered query by query. The searches pass in blocks of about `block`: a task
+    holds k rows for each query of its block only."""
+    found = None
+    for q in query_blocks(every_nth(vector, every), block):
+        one = vector_top(vector, q, k, 0.0)
+        found = one if found is None else found.unionByName(one)
+    return cluster_results(found, memory, vector, most, least)
