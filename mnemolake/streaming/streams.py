@@ -107,7 +107,10 @@ def stream_sessions(access_log: DataFrame, gap: str = "30 minutes") -> DataFrame
 
 @query("l6_stream_thresholds", "memory")
 def stream_thresholds(memory: DataFrame, steps: tuple[tuple[int, str], ...] = ((10, "fuse"), (20, "compress"), (50, "consolidate"))) -> DataFrame:
-    """What each micro-batch sets off, by the number of new records in it; actions are named here, their operators are in the lifecycle area."""
+    """What each micro-batch sets off, by the number of new records in it; actions are named here, their operators are in the lifecycle area.
+
+    Counting needs the records' ids only, so no text is dealt to the few files that make the batches.
+    """
     spark, out = memory.sparkSession, scratch(memory, "actions")
 
     def act(batch: DataFrame, k: int) -> None:
@@ -115,7 +118,7 @@ def stream_thresholds(memory: DataFrame, steps: tuple[tuple[int, str], ...] = ((
         due = F.filter(F.array(*[F.when(F.col("records") >= least, F.lit(name)) for least, name in steps]), lambda x: x.isNotNull())
         size.select(F.lit(k).cast("long").alias("batch"), "records", F.array_join(due, ",").alias("actions")).write.mode("overwrite").parquet(f"{out}/b={k}")
 
-    each_batch(as_stream(memory.repartition(4, "id"), 1), act)
+    each_batch(as_stream(memory.select("id").repartition(4, "id"), 1), act)
     return spark.read.schema("batch long, records long, actions string").parquet(f"{out}/*")
 
 
