@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from mnemolake.functions.columns import count, r6
 from mnemolake.operators.ingest import redacted
 from mnemolake.plans.registry import query
-from mnemolake.plans.storage import shared_dir
+from mnemolake.plans.storage import materialize, shared_dir
 
+WINGS = 100_000  # that are broadcast, at most
 RECORD = "id string, content string, wing string, room string, hall string, importance double, emotional_weight double, source_file string, tags array<string>, author string, created_at string, metadata map<string, string>"
 DEFAULTS = {"wing": "default", "room": "general", "hall": "hall_facts", "importance": 3.0, "emotional_weight": 0.0, "source_file": "", "author": ""}
 
@@ -89,7 +90,9 @@ def write_markdown_memories(memory: DataFrame, path: str, style: str = "plain")
 @query("a4_markdown_round_trip", "memory", "SELECT id, wing, len(regexp_extract_all(content, '\\[\\[')) AS links, length(regexp_replace(content, '\\n+', ' ', 'g'))::BIGINT AS size FROM memory")
 def markdown_round_trip(memory: DataFrame, records: int = 200) -> DataFrame:
     """All records rendered as Markdown files of about so many, and read back. A wing has as many files as its records need."""
-    files_of = memory.groupBy(F.col("wing").alias("of")).agg(F.ceil(F.count("*") / records).alias("files"))
+    files_of = materialize(memory.groupBy(F.col("wing").alias("of")).agg(F.ceil(F.count("*") / records).alias("files")), "files-of-wings")
+    # A few wings hold all texts: a shuffle by wing would send each wing's to one task.
+    files_of = F.broadcast(files_of) if files_of.count() <= WINGS else files_of
     m = render_markdown(memory).join(files_of, F.col("wing") == F.col("of"))
     files = m.select(F.concat_ws("-", "wing", F.pmod(F.xxhash64("id"), F.col("files"))).alias("file"), "wing", "id", "text")
     texts = files.groupBy("file").agg(F.concat(F.lit("## "), F.min("wing"), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), "\n")).alias("text"))
