@@ -7,9 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.functions.columns import any_of, best_of, count, hits, n, r6
+from mnemolake.functions.columns import any_of, best_of, count, hits, n, r6, tokens
 from mnemolake.operators.overlap import place_pairs
-from mnemolake.operators.search import token_index
 from mnemolake.operators.vectors import classes, sided, vector_pairs
 from mnemolake.plans.registry import query
 from mnemolake.plans.storage import materialize, shared_dir
@@ -237,12 +236,14 @@ WITH l AS (SELECT id, lower(regexp_extract(content, '([A-Za-z]{6,}) ([a-z]+)', 1
 SELECT l.id, target, min(ix.id) AS mentions FROM l JOIN ix ON ix.tok = l.target AND ix.id <> l.id GROUP BY 1, 2
 """)
 def resolve_wikilinks(memory: DataFrame) -> DataFrame:
-    """For the link target of every record, the first other record that holds the word: of each word the two smallest ids are enough."""
+    """For the link target of every record, the first other record that holds the word: of each word the two smallest ids are enough.
+
+    Targets are of six Latin letters or more, so other tokens are dropped within their row; each partition keeps two ids a word.
+    """
     l = memory.select(F.col("id").alias("src"), F.lower(F.regexp_extract("content", "([A-Za-z]{6,}) ([a-z]+)", 1)).alias("target")).where("target <> ''")  # noqa: E741
-    ix = token_index(memory.withColumn("tags", F.array().cast("array<string>"))).join(l.select(F.col("target").alias("tok")).distinct(), "tok", "left_semi")
-    first = ix.groupBy("tok").agg(F.min("id").alias("one"))
-    second = ix.join(first, "tok").where("id <> one").groupBy("tok").agg(F.min("id").alias("two"))
-    held = first.join(second, "tok", "left")
+    ix = memory.select("id", F.explode(F.filter(tokens("content"), lambda t: F.regexp_like(t, F.lit("^[a-z]{6,}$")))).alias("tok"))
+    two = ix.withColumn("r", F.dense_rank().over(Window.partitionBy("tok").orderBy("id"))).where("r <= 2")
+    held = two.groupBy("tok").agg(F.min("id").alias("one"), F.max(F.when(F.col("r") == 2, F.col("id"))).alias("two"))
     found = l.join(held, F.col("tok") == F.col("target")).select(F.col("src").alias("id"), "target", F.when(F.col("one") != F.col("src"), F.col("one")).otherwise(F.col("two")).alias("mentions"))
     return found.where("mentions IS NOT NULL").distinct()
 
