@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemolake.functions.columns import any_of, count, moment, r6, words
 from mnemolake.operators.search import _BOOST, _INDEX, _TOK, boost, matches, query_table, substring_scores, top
 from mnemolake.plans.registry import query
+from mnemolake.plans.storage import materialize
 from mnemolake.plans.views import AS_OF
 
 # The first word of a list that a question holds decides.
@@ -44,14 +45,16 @@ def named_day(text: Column, as_of: str = AS_OF) -> Column:
     """The date a text names, in this order: so many days, weeks (7), months (30) or years (365) ago or ahead; a day word; year-month-day with - or / or as in Chinese. Null if there is none, or no such day."""
     today, low = F.to_date(moment(as_of)), F.lower(text)
     pattern = "(?:^|[^0-9])([0-9]{1,4}) ?(天|周|个?月|年|days?|weeks?|months?|years?) ?(前|后|ago|ahead|later)"
-    many = F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")).cast("int")
-    unit, way = F.regexp_extract(low, pattern, 2), F.regexp_extract(low, pattern, 3)
+    said = F.regexp_extract(low, pattern, 0)  # a text is searched once, its groups are taken from what was found
+    many = F.nullif(F.regexp_extract(said, pattern, 1), F.lit("")).cast("int")
+    unit, way = F.regexp_extract(said, pattern, 2), F.regexp_extract(said, pattern, 3)
     length = F.when(unit.rlike("^(天|day)"), 1).when(unit.rlike("^(周|week)"), 7).when(unit.rlike("(月|month)"), 30).otherwise(365)
     moved = F.date_add(today, F.when(way.isin("前", "ago"), -many * length).otherwise(many * length))
     word = first_of(low, DAYS, F.lit(None).cast("int"))
     ymd = "([0-9]{4})[年/-]([0-9]{1,2})[月/-]([0-9]{1,2})"
-    parts = [F.lpad(F.regexp_extract(low, ymd, i), 4 if i == 1 else 2, "0") for i in (1, 2, 3)]
-    day = F.when(low.rlike(ymd), F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd"))
+    written = F.regexp_extract(low, ymd, 0)
+    parts = [F.lpad(F.regexp_extract(written, ymd, i), 4 if i == 1 else 2, "0") for i in (1, 2, 3)]
+    day = F.when(written != "", F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd"))
     return F.when(many.isNotNull(), moved).when(word.isNotNull(), F.date_add(today, word)).otherwise(day)
 
 
@@ -100,8 +103,9 @@ SELECT id, CAST(day AS VARCHAR) AS day FROM (SELECT id, {_day_sql('lower(text)')
 def records_about(memory: DataFrame, start: str, end: str, as_of: str = AS_OF) -> DataFrame:
     """Records whose text names a day of a range, ends included."""
     text = F.concat("content", F.lit(" "), F.element_at(F.array(*map(F.lit, TAILS)), (F.length("content") % len(TAILS) + 1).cast("int")))
-    day = named_day(text, as_of)
-    return memory.select("id", day.alias("day")).where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("id", F.col("day").cast("string").alias("day"))
+    # Written before the filter, which would search every text again for each of its ends.
+    days = materialize(memory.select("id", named_day(text, as_of).alias("day")), "named-days")
+    return days.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("id", F.col("day").cast("string").alias("day"))
 
 
 def _without(column: str, gone: list[str]) -> str:
