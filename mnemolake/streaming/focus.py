@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -56,6 +57,25 @@ def leaver(items: dict[int, tuple[float, float]]) -> int:
     raise ValueError("no items")
 
 
+def advance(held: dict[int, tuple[float, float]], last: int | None, new: list[tuple[int, int, float, float]], size: int, idle: int) -> tuple[list[tuple[int, dict[int, tuple[float, float]]]], dict[int, tuple[float, float]], int | None]:
+    """What a session gave as it fell idle (with its last time), holds, and its last time, after new turns (at_ms, turn, importance, valence)."""
+    gave = []
+    for at, turn, importance, valence in sorted(new):
+        at = at if last is None else max(at, last)
+        if last is not None and at > last + idle:  # its timer has not come yet
+            gave.append((last, held))
+            held = {}
+        elif last is not None:
+            held = {t: (faded(a, v, (at - last) / 60_000), v) for t, (a, v) in held.items()}
+            held = {t: (a, v) for t, (a, v) in held.items() if a >= GONE}
+        held = {t: x for t, x in held.items() if t != turn}
+        while len(held) >= size:
+            del held[leaver(held)]
+        held[int(turn)] = (float(importance), float(valence))
+        last = at
+    return gave, held, last
+
+
 class TimedFocus(StatefulProcessor):
     """Per session the turns in focus, which fade with event time; a session idle for so long gives what it held and leaves the store.
 
@@ -80,23 +100,13 @@ class TimedFocus(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self._held()
-        held, last = dict(before), int(self.last.get()[0]) if self.last.exists() else None
+        last = int(self.last.get()[0]) if self.last.exists() else None
         new = [r for pdf in rows for r in zip(pdf["at_ms"].tolist(), pdf["turn"].tolist(), pdf["importance"].tolist(), pdf["valence"].tolist(), strict=True)]
         if last is not None:
             self.handle.deleteTimer(last + self.idle)
-        for at, turn, importance, valence in sorted(new):
-            at = at if last is None else max(at, last)
-            if last is not None and at > last + self.idle:  # its timer has not come yet
-                yield self._rows(key[0], last, held)
-                held = {}
-            elif last is not None:
-                held = {t: (faded(a, v, (at - last) / 60_000), v) for t, (a, v) in held.items()}
-                held = {t: (a, v) for t, (a, v) in held.items() if a >= GONE}
-            held.pop(turn, None)
-            while len(held) >= self.size:
-                del held[leaver(held)]
-            held[int(turn)] = (float(importance), float(valence))
-            last = at
+        gave, held, last = advance(dict(before), last, new, self.size, self.idle)
+        for then, items in gave:
+            yield self._rows(key[0], then, items)
         for t in before.keys() - held.keys():
             self.items.removeKey((t,))
         for t, x in held.items():
@@ -113,3 +123,45 @@ class TimedFocus(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class PackedFocus(StatefulProcessor):
+    """As TimedFocus, for transformWithState: a session is one value of at most `size` items and rows are plain.
+
+    Each call of the store is a message to the JVM and each pandas frame costs as much as a session's whole work, so a session
+    takes one read, one write and its timer, and no frames.
+    """
+
+    def __init__(self, size: int = 5, idle_minutes: int = 30):
+        self.size, self.idle = size, idle_minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("held", "last long, turns array<long>, activations array<double>, valences array<double>")
+
+    def _held(self) -> tuple[int | None, dict[int, tuple[float, float]]]:
+        found = self.state.get()
+        return (None, {}) if found is None else (int(found[0]), {t: (a, v) for t, a, v in zip(*found[1:], strict=True)})
+
+    def _rows(self, session: str, last: int, held: dict[int, tuple[float, float]]) -> Iterator[Row]:
+        for t in sorted(held):
+            yield Row(session_id=session, last_ms=last, turn=t, activation=held[t][0])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before, held = self._held()
+        gave, held, last = advance(held, before, [(r["at_ms"], r["turn"], r["importance"], r["valence"]) for r in rows], self.size, self.idle)
+        for then, items in gave:
+            yield from self._rows(key[0], then, items)
+        self.state.update((last, list(held), [a for a, _ in held.values()], [v for _, v in held.values()]))
+        if before != last:
+            if before is not None:
+                self.handle.deleteTimer(before + self.idle)
+            self.handle.registerTimer(last + self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, held = self._held()
+        self.state.clear()
+        yield from self._rows(key[0], last, held)
+
+    def close(self) -> None:
+        pass

@@ -15,10 +15,11 @@ from mnemolake.functions.columns import count, moment, n, r6
 from mnemolake.operators.ingest import _MI, message_importance
 from mnemolake.operators.search import token_index
 from mnemolake.plans.registry import query
+from mnemolake.plans.storage import materialize
 from mnemolake.sources.buckets import BucketTable
 from mnemolake.sources.files import scratch
 from mnemolake.streaming.event_time import EventTable, sessions, windows
-from mnemolake.streaming.focus import Focus, TimedFocus
+from mnemolake.streaming.focus import Focus, PackedFocus
 
 
 def as_stream(df: DataFrame, per_trigger: int | None = 1_000) -> DataFrame:
@@ -189,8 +190,11 @@ def focus_buffer(message: DataFrame) -> DataFrame:
 
 
 def in_slices(df: DataFrame, at: str, slices: int, end: DataFrame | None = None) -> DataFrame:
-    """df as a stream of files that arrive in order of time, one slice of it after the other and `end` last, a file a micro-batch."""
-    path = scratch(df, "stream-in")
+    """df as a stream of files that arrive in order of time, one slice of it after the other and `end` last, a file a micro-batch.
+
+    df is computed once; slices are cut from what that wrote, which the file of each is copied from.
+    """
+    path, df = scratch(df, "stream-in"), materialize(df, "timed")
     lo, hi = df.select(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
     width = max(1, ((hi or 0) - (lo or 0)) // slices + 1)
     number = F.floor((F.unix_micros(at) - F.lit(lo or 0)) / F.lit(width))
@@ -222,7 +226,7 @@ def focus_with_time(message: DataFrame, size: int = 5, idle_minutes: int = 30, s
         turns = timed(message)
         far = spark.range(1).select(F.lit("_end").alias("session_id"), F.lit(0).cast("long").alias("turn"), F.timestamp_seconds(F.lit(1_900_000_000)).alias("at"), F.lit(1_900_000_000_000).cast("long").alias("at_ms"), F.lit(0.0).alias("importance"), F.lit(0.0).alias("valence"))
         s = in_slices(turns, "at", slices, far)
-        out = s.withWatermark("at", "10 minutes").groupBy("session_id").transformWithStateInPandas(TimedFocus(size, idle_minutes), "session_id string, last_ms long, turn long, activation double", "Append", "EventTime")
+        out = s.withWatermark("at", "10 minutes").groupBy("session_id").transformWithState(PackedFocus(size, idle_minutes), "session_id string, last_ms long, turn long, activation double", "Append", "EventTime")
         return to_end(out).where("session_id <> '_end'").select("session_id", "last_ms", "turn", r6("activation").alias("activation"))
     finally:
         spark.conf.set(name, before)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.plans import views
 from mnemolake.streaming import streams
-from mnemolake.streaming.focus import TimedFocus, leaver
+from mnemolake.streaming.focus import PackedFocus, TimedFocus, leaver
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -67,3 +67,47 @@ def test_who_leaves():
     assert leaver({1: (0.45, 0.9), 2: (0.4, 0.9), 3: (0.7, 0.0)}) == 2
     assert leaver({1: (0.85, 0.0), 2: (0.7, 0.0)}) == 2
     assert leaver({2: (0.9, 0.0), 1: (0.9, 0.0)}) == 1
+
+
+def test_turns_are_computed_once_for_all_slices(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(600).select("id", F.timestamp_seconds(F.col("id") * 60).alias("at")).mapInArrow(count, "id long, at timestamp")
+    streams.in_slices(df, "at", 6)
+    assert seen.value == 600
+
+
+def test_a_session_is_one_value_and_three_calls(spark):
+    calls, kept = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept.get("x")
+
+        def update(self, x):
+            calls.append("update")
+            kept["x"] = x
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append("register")
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+
+    p = PackedFocus(2, 30)
+    p.init(Handle())
+    rows = [{"at_ms": 60_000 * t, "turn": t, "importance": 0.9, "valence": 0.0} for t in range(3)]
+    assert list(p.handleInputRows(("s",), iter(rows), None)) == [] and calls == ["get", "update", "register"]
+    late = {"at_ms": 60_000 * 50, "turn": 9, "importance": 0.5, "valence": 0.0}
+    assert [(r["turn"], r["last_ms"]) for r in p.handleInputRows(("s",), iter([late]), None)] == [(1, 120_000), (2, 120_000)]
+    assert calls[3:] == ["get", "update", "delete", "register"] and kept["x"][1] == [9]
