@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import count, moment, n, r6
 from mnemolake.operators.ingest import _MI, message_importance
-from mnemolake.operators.search import token_index
+from mnemolake.operators.search import record_tokens
+from mnemolake.operators.similarity import KNOWN
 from mnemolake.plans.registry import query
 from mnemolake.plans.storage import materialize
 from mnemolake.sources.buckets import BucketTable
@@ -57,12 +58,27 @@ def stream_ingest(message: DataFrame) -> DataFrame:
 
 @query("l2_stream_index", "memory", "SELECT tok, count(*) AS df FROM (SELECT DISTINCT id, tok FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(content), '[\\x{4e00}-\\x{9fff}]+|[a-z0-9_]{2,}'))) AS tok FROM memory UNION ALL SELECT id, lower(unnest(tags)) FROM memory)) GROUP BY tok HAVING count(*) >= 50")
 def stream_index(memory: DataFrame, least: int = 50) -> DataFrame:
-    """The token index built from a stream in which records repeat: unseen ids only, each batch written under its own number, so a repeated batch overwrites itself."""
-    twice = memory.unionByName(memory.where(F.col("id").cast("long") % 3 == 0))
+    """The token index built from a stream in which records repeat: unseen ids only, each batch written under its own number, so a repeated batch overwrites itself.
+
+    The index holds a record's tokens as one row. An id that has outlived the watermark may come to it twice, so ids are counted
+    first; only the tokens of such ids are made distinct, all others are counted as they are read.
+    """
+    twice = memory.unionByName(memory.where(F.col("id").cast("long") % 3 == 0)).select("id", "content", "tags", "created_at")
     s = as_stream(twice).withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", "40 days").dropDuplicatesWithinWatermark(["id"])
     out = scratch(memory, "index")
-    each_batch(s, lambda batch, k: token_index(batch).write.mode("overwrite").parquet(f"{out}/batch={k}"))
-    return memory.sparkSession.read.parquet(out).select("id", "tok").distinct().groupBy("tok").agg(count().alias("df")).where(F.col("df") >= least)
+    each_batch(s, lambda batch, k: batch.select("id", record_tokens().alias("toks")).write.mode("overwrite").parquet(f"{out}/batch={k}"))
+    return document_counts(memory.sparkSession.read.parquet(out).select("id", "toks")).where(F.col("df") >= least)
+
+
+def document_counts(index: DataFrame) -> DataFrame:
+    """(tok, df) of an index (id, toks): how many ids hold each token, whatever rows an id has."""
+    several = materialize(index.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "repeated-ids")
+    each = index.select("id", F.explode("toks").alias("tok"))
+    if many := several.count():
+        same, several = index["id"].eqNullSafe(several["id"]), F.broadcast(several) if many <= KNOWN else several
+        one, more = (index.join(several, same, how).select("id", F.explode("toks").alias("tok")) for how in ("left_anti", "left_semi"))
+        each = one.unionByName(more.distinct())
+    return each.groupBy("tok").agg(count().alias("df"))
 
 
 def event_counts(events: DataFrame, window: str = "1 hour") -> DataFrame:

@@ -39,3 +39,20 @@ def test_first_other_record_with_the_word(spark):
     assert {tuple(r) for r in df.collect()} == wanted and len(wanted) > 3
     plan = registry.QUERIES["b9_resolve_wikilinks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan
+
+
+def test_document_counts_make_only_repeated_ids_distinct(spark):
+    rows = [("1", ["a", "b"]), ("2", ["a"]), ("1", ["b", "c"]), (None, ["a"]), (None, ["a", "d"]), ("3", None), ("4", [])]
+    index = spark.createDataFrame(rows, "id string, toks array<string>")
+    held = {(i, t) for i, toks in rows for t in toks or []}
+    assert {tuple(r) for r in streams.document_counts(index).collect()} == set(Counter(t for _, t in held).items())
+    plan = streams.document_counts(index.where("id = '2' OR id = '4'"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan
+
+
+def test_stream_index_is_counted_from_one_row_a_record(spark, sf, monkeypatch):
+    seen, inner = [], streams.document_counts
+    monkeypatch.setattr(streams, "document_counts", lambda index: seen.append(index.count()) or inner(index))
+    m = views.view(spark, sf, "memory")
+    streams.stream_index(m)
+    assert seen == [m.count()]
