@@ -56,3 +56,8 @@ def test_stream_index_is_counted_from_one_row_a_record(spark, sf, monkeypatch):
     m = views.view(spark, sf, "memory")
     streams.stream_index(m)
     assert seen == [m.count()]
+
+
+def test_conflict_pairs_intersect_keywords_of_results_only(spark, sf):
+    plan = registry.QUERIES["f1_conflict_pairs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in plan and all("array_intersect" not in x for x in plan.splitlines() if "Join" in x or "Filter" in x)
