@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import any_of, best_of, count, hits, n, r6, tokens
 from mnemolake.operators.overlap import place_pairs
+from mnemolake.operators.sets import codes, packed_trigrams
 from mnemolake.operators.vectors import classes, sided, vector_pairs
 from mnemolake.plans.registry import query
 from mnemolake.plans.storage import materialize, shared_dir
@@ -313,15 +317,63 @@ def collect_session(message: DataFrame, last: int = 50, least: float = 0.4, cut:
     return k.groupBy(F.md5(F.left("text", F.lit(cut))).alias("key")).agg(F.min(F.concat_ws("-", "session_id", "turn")).alias("first_from"), r6(F.max("imp")).alias("importance"))
 
 
+GRAMS = 1 << 18  # whose buckets a worker remembers
+
+
 def trigram_weights(df: DataFrame, dim: int = 384) -> DataFrame:
-    """(id, bucket, weight): character trigrams hashed by md5 to buckets, L2-normalised per text."""
-    text = F.lower("content")
-    grams = F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))).otherwise(F.split(text, ""))
-    g = df.select("id", F.explode(F.filter(grams, lambda x: x != "")).alias("g"))
-    counted = g.groupBy("id", "g").agg(F.count("*").alias("k"))
-    b = counted.groupBy("id", (F.conv(F.left(F.md5("g"), F.lit(7)), 16, 10).cast("long") % dim).alias("bucket")).agg(F.sum("k").alias("k"))
-    norm = b.groupBy("id").agg(F.sqrt(F.sum(F.col("k") * F.col("k"))).alias("norm"))
-    return b.join(norm, "id").select("id", "bucket", (F.col("k") / F.col("norm")).alias("weight"))
+    """(id, bucket, weight): character trigrams hashed by md5 to buckets, L2-normalised per text.
+
+    A text's trigrams are cut and counted within its row, so its work grows with its length and only its buckets are sent.
+    """
+    rows = df.where("id IS NOT NULL").select("id", F.lower("content").alias("low"))
+    each = bucket_counts(rows, dim).groupBy("id").agg(F.flatten(F.collect_list("b")).alias("b"))
+
+    def run(batches):
+        for b in batches:
+            of, bucket, weight = [], [], []
+            for row, found in enumerate(b.column(1)):
+                k = np.bincount(found.values.field("bucket").to_numpy(), found.values.field("k").to_numpy(), dim)
+                at = np.flatnonzero(k)
+                of.append(np.full(len(at), row))
+                bucket.append(at)
+                weight.append(k[at] / np.sqrt((k * k).sum()))
+            if of:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(bucket)), pa.array(np.concatenate(weight))], ["id", "bucket", "weight"])
+
+    return each.mapInArrow(run, "id string, bucket long, weight double")
+
+
+def bucket_counts(low: DataFrame, dim: int) -> DataFrame:
+    """(id, b) of rows (id, low) that have any: how many trigrams fall to each bucket; shorter texts have their characters."""
+
+    def run(batches):
+        known: dict[int, int] = {}
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                part = whole.slice(first, 256)
+                of, ends, buckets, counts = [], [0], [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    if not text:
+                        continue
+                    short = len(text) < 3
+                    grams, n = np.unique(-1 - codes(text) if short else packed_trigrams(codes(text)), return_counts=True)
+                    if len(known) > GRAMS:
+                        known.clear()
+                    for g in grams.tolist():
+                        if g not in known:
+                            gram = "".join(chr(c) for c in ((-1 - g,) if short else (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF)))
+                            known[g] = int(hashlib.md5(gram.encode()).hexdigest()[:7], 16) % dim
+                    k = np.bincount([known[g] for g in grams.tolist()], n, dim).astype(np.int64)
+                    at = np.flatnonzero(k)
+                    of.append(row)
+                    ends.append(ends[-1] + len(at))
+                    buckets.append(at)
+                    counts.append(k[at])
+                if of:
+                    b = pa.StructArray.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(counts))], ["bucket", "k"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), b)], ["id", "b"])
+
+    return low.select("id", "low").mapInArrow(run, "id string, b array<struct<bucket: long, k: long>>")
 
 
 @query("b15_hash_embed", "benchmark", """
