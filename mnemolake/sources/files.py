@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions.columns import count, r6
@@ -75,11 +75,25 @@ def markdown_records(files: DataFrame) -> DataFrame:
     return g.select("file", F.col("n").alias("position"), "wing", "title", "body")
 
 
+def one_line(c: str) -> Column:
+    """A name as the rest of one line, and null as \\N; named() takes it back."""
+    return F.coalesce(F.replace(F.replace(c, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")), F.lit("\\N"))
+
+
+def named(c: str) -> Column:
+    return F.when(F.col(c) != "\\N", F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\")))
+
+
 def render_markdown(memory: DataFrame, style: str = "plain") -> DataFrame:
-    """(wing, room, id, text): a record's Markdown, stars for importance; the obsidian style links the first three tags."""
+    """(wing, room, id, text): a record's Markdown, stars for importance; the obsidian style links the first three tags.
+
+    A text that reads as a heading, is blank or begins with a backslash has one before it, so that it is read back as it was; null is \\N.
+    """
     stars = F.repeat(F.lit("★"), F.floor("importance").cast("int"))
     links = F.array_join(F.transform(F.slice("tags", 1, 3), lambda t: F.concat(F.lit("[["), t, F.lit("]]"))), " ") if style == "obsidian" else F.lit("")
-    return memory.select("wing", "id", F.concat_ws("\n", F.concat(F.lit("### "), "id"), F.concat_ws(" ", stars, links), F.regexp_replace("content", "\n+", " ")).alias("text"))
+    line = F.regexp_replace("content", "\n+", " ")
+    line = F.coalesce(F.when(F.regexp_like(line, F.lit("^(?:[#\\\\]| *$)")), F.concat(F.lit("\\"), line)).otherwise(line), F.lit("\\N"))
+    return memory.select("wing", "id", F.concat_ws("\n", F.concat(F.lit("### "), one_line("id")), F.concat_ws(" ", stars, links), line).alias("text"))
 
 
 def write_markdown_memories(memory: DataFrame, path: str, style: str = "plain") -> None:
@@ -93,12 +107,12 @@ def markdown_round_trip(memory: DataFrame, records: int = 200) -> DataFrame:
     files_of = materialize(memory.groupBy(F.col("wing").alias("of")).agg(F.ceil(F.count("*") / records).alias("files")), "files-of-wings")
     # A few wings hold all texts: a shuffle by wing would send each wing's to one task.
     files_of = F.broadcast(files_of) if files_of.count() <= WINGS else files_of
-    m = render_markdown(memory).join(files_of, F.col("wing") == F.col("of"))
-    files = m.select(F.concat_ws("-", "wing", F.pmod(F.xxhash64("id"), F.col("files"))).alias("file"), "wing", "id", "text")
+    m = render_markdown(memory).join(files_of, F.col("wing").eqNullSafe(F.col("of"))).withColumn("wing", one_line("wing"))
+    files = m.select(F.concat_ws("-", "wing", F.pmod(F.xxhash64("id", "text"), F.col("files"))).alias("file"), "wing", "id", "text")
     texts = files.groupBy("file").agg(F.concat(F.lit("## "), F.min("wing"), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), "\n")).alias("text"))
-    back = markdown_records(texts)
-    text = F.substring_index("body", "\n", -1)
-    return back.select(F.col("title").alias("id"), "wing", F.regexp_count("body", F.lit("\\[\\[")).alias("links"), F.length(text).cast("long").alias("size"))
+    back = markdown_records(texts).select(named("title").alias("id"), named("wing").alias("wing"), F.substring_index("body", "\n", -1).alias("line"))
+    text = F.when(F.col("line") != "\\N", F.regexp_replace("line", "^\\\\", ""))
+    return back.select("id", "wing", F.regexp_count(text, F.lit("\\[\\[")).alias("links"), F.length(text).cast("long").alias("size"))
 
 
 @query("a5_render_markdown", "memory", "SELECT id, wing, repeat('★', floor(importance)::INT) || ' [[' || tags[1] || ']] [[' || tags[2] || ']] [[' || tags[3] || ']]' AS line FROM memory")

@@ -5,9 +5,13 @@ import math
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from mnemolake.operators import ingest
+from mnemolake.plans import registry
+from mnemolake.sources import files
 
 
 def test_trigram_weights_of_long_texts(spark):
@@ -29,3 +33,17 @@ def test_trigram_weights_of_long_texts(spark):
     got = {(r["id"], r["bucket"]): r["weight"] for r in ingest.trigram_weights(spark.createDataFrame(rows, "id string, content string").repartition(2)).collect()}
     assert time.time() - began < 60  # the square of a text's length took minutes
     assert got.keys() == wanted.keys() and all(math.isclose(got[k], wanted[k], rel_tol=1e-12) for k in wanted)
+
+
+def test_markdown_gives_back_texts_that_look_like_markup(spark):
+    contents = ["plain [[x]]", "### title", "## wing", "#", "", "  ", "\n\n", "\n## a\n### b [[", "\\N", "\\", "\\# [[", "\\n\\b", "★★", None, "\t", "a\r\n\n b"]
+    rows = [(str(k), c, "en", 1.0 + k % 3) for k, c in enumerate(contents)]
+    rows += [(None, "no name", "en", 2.0), (None, "nor here", None, 2.0), ("a\\n\nb\\", "odd name", "\\N", 2.0), ("\\N", "odd", "w\nv", 2.0), ("", "[[", "", 0.0), ("x", "no stars", "en", None), ("x", None, "en", 0.0), ("x", "", "en", None)]
+    m = spark.createDataFrame(rows, "id string, content string, wing string, importance double").withColumn("tags", F.array(F.lit("t")))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE memory (id VARCHAR, content VARCHAR, wing VARCHAR, importance DOUBLE)")
+    con.executemany("INSERT INTO memory VALUES (?, ?, ?, ?)", rows)
+    sql = registry.ORACLES["a4_markdown_round_trip"]
+    wanted = Counter(con.execute(sql[sql.rindex("SELECT id, wing, len(") :]).fetchall())
+    for records in (2, 100):
+        assert Counter(map(tuple, files.markdown_round_trip(m, records).collect())) == wanted
