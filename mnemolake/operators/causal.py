@@ -25,7 +25,7 @@ def cause_effect_pairs(memory: DataFrame, cause: list[str], effect: list[str], l
     """Cause-marked with effect-marked records whose tags overlap by more than least (over 0), among all records.
 
     One row for each pair of tag classes: the smallest ids, the overlap, and how many pairs of different records it stands
-    for. Classes meet on their rarest tags only, so a tag that a third of the records have is no join key.
+    for. Classes meet by the parities of their tags, so a tag that a third of the records have is no join key.
     """
     text = F.lower("content")
     m = memory.select("id", F.array_sort(F.array_distinct("tags")).alias("s"), F.coalesce(any_of(text, cause), F.lit(False)).alias("c"), F.coalesce(any_of(text, effect), F.lit(False)).alias("e")).where((F.col("c") | F.col("e")) & (F.size("s") > 0))
