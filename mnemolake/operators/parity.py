@@ -39,9 +39,9 @@ WORDS = "[^ \t\n\r\f]+"
 
 
 def widths(n: np.ndarray, th: float) -> np.ndarray:
-    """Bits of the parity of a set of n members: as many as rule out unlike sets, a power of two from 64 on."""
+    """Bits of a first parity of a set of n members: a power of two from 64 on, of which half less three deviations are more than may differ."""
     differ = 2 * n * (1 - th) / (1 + th)
-    return 2 ** np.ceil(np.log2(np.maximum(64, 1.05 * (2 + np.sqrt(4 + 2 * differ)) ** 2))).astype(np.int64)
+    return 2 ** np.ceil(np.log2(np.maximum(64, (1.5 + np.sqrt(2.25 + 2 * differ)) ** 2))).astype(np.int64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -184,11 +184,11 @@ def near_keys(a: Side, b: Side, th: float, gap: int | None, same: bool) -> tuple
                     shape, size = (up - i, end - j), (up - i) * (end - j)
                     w, c, keep = (v[:size].reshape(shape) for v in (word, few, left_over))
                     # Three words differ in 192 bits at most, which a byte holds.
-                    differ = np.zeros(shape, np.uint8 if words <= 3 else np.uint16 if words < 1024 else np.uint32)
+                    differ = np.empty(shape, np.uint8 if words <= 3 else np.uint16 if words < 1024 else np.uint32)
                     for k in range(words):
                         np.bitwise_xor(x[k][:, None], y[k][None, :], out=w)
-                        np.bitwise_count(w, out=c if words > 1 else differ)
-                        if words > 1:
+                        np.bitwise_count(w, out=c if k else differ)
+                        if k:
                             differ += c
                     most = (large + int(b.n[end - 1])) * share + 1e-6
                     np.less_equal(differ, min(math.floor(most), np.iinfo(differ.dtype).max), out=keep)
